@@ -11,7 +11,8 @@ d(A, B) = 1 - |A and B| / |A or B| is a metric; two documents link when d <= r.
   and because a linked B lacks at most |A| - ceil((1-r)|A|) shingles of A, A is copied
   into that many further regions of its own shingles. Linked sets meet in a region.
 * Inside a region a document becomes pivot p and every member is compared with it: as many
-  comparisons as members. Members within r of p are joined through p. Of the rest, x and y
+  comparisons as members. It is the one of the fewest uncommon shingles, since the copies of a
+  text have more of these than the text itself. Members within r of p are joined through p. Of the rest, x and y
   can link only if |d(x,p) - d(y,p)| <= r, so those outside r and the boundary members in
   their window form the region of the next level, which takes its own pivot. Regions whose
   members are all in one component are done. After ``levels`` levels the members that are
@@ -36,9 +37,9 @@ from gneiss.llm.common import materialise
 from gneiss.llm.components import components
 from gneiss.llm.shingles import mix, shingle_sets
 
-#: Most shingles in the list that is broadcast to order shingles, and the share of a
-#: task's documents (at least COMMON_LEAST of them) from which a shingle is put forward.
-COMMON, COMMON_SHARE, COMMON_LEAST = 500_000, 0.0005, 6
+#: Most shingles in the list that is broadcast to order shingles, and the count from which one is listed:
+#: tasks put forward what they meet twice in some 4 million shingles, and these counts are added up.
+COMMON, COMMON_LEAST = 1_000_000, 8
 
 
 def _fold_width(n: int) -> int:
@@ -54,7 +55,7 @@ def _profiles(width: int):
     """One row a document (id, n, sig, counts), and rows with null id: (sig: a shingle that is common here, n: how often)."""
 
     def run(batches):
-        seen, docs = [], 0
+        seen = []
         for batch in batches:
             ids, ns, sigs, counts = batch.column(0), [], [], []
             for s in shingle_sets(batch.column(1), width):
@@ -62,31 +63,31 @@ def _profiles(width: int):
                 sigs.append(_fingerprint(s))
                 counts.append(np.minimum(np.bincount((s & np.uint64(_fold_width(len(s)) - 1)).astype(np.int64), minlength=_fold_width(len(s))), 255).astype(np.uint8).tobytes())
                 seen.append(s)
-            docs += len(ns)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(counts, pa.binary())], ["id", "n", "sig", "counts"])
             if sum(map(len, seen)) > 4_000_000:
-                yield from _often(seen, docs)
-                seen, docs = [], 0
+                yield from _often(seen)
+                seen = []
         if seen:
-            yield from _often(seen, docs)
+            yield from _often(seen)
 
     return run
 
 
-def _often(sets: list[np.ndarray], docs: int):
+def _often(sets: list[np.ndarray]):
     values, often = np.unique(np.concatenate(sets), return_counts=True)
-    keep = often >= max(COMMON_LEAST, COMMON_SHARE * docs)
+    keep = often > 1
     n = int(keep.sum())
     yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(often[keep], pa.int64()), pa.array(values[keep].view(np.int64)), pa.nulls(n, pa.binary())], ["id", "n", "sig", "counts"])
 
 
 def _regions(width: int, percent: int, common):
-    """(s, sig, n, pos): each distinct set of a task in the regions of its first shingles."""
+    """(s, sig, n, pos, rare): each distinct set of a task in the regions of its first shingles; ``rare``
+    is how many in a thousand of its shingles are not common."""
 
     def run(batches):
         often, done = common.value, set()
         for batch in batches:
-            out = [[], [], [], []]
+            out = [[], [], [], [], []]
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
                 if not n or (sig := int(_fingerprint(s))) in done:
@@ -101,8 +102,9 @@ def _regions(width: int, percent: int, common):
                 out[1].append(np.full(k, sig, np.int64))
                 out[2].append(np.full(k, n, np.int32))
                 out[3].append(np.arange(k, dtype=np.int32))
+                out[4].append(np.full(k, 1000 * (n - int(last.sum())) // n, np.int32))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["s", "sig", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["s", "sig", "n", "pos", "rare"])
 
     return run
 
@@ -160,14 +162,16 @@ class JaccardJoin:
 
     def _profile(self) -> DataFrame:
         made = materialise(self.texts.mapInArrow(_profiles(self.width), "id long, n long, sig long, counts binary"), "profiles")
-        often = made.where("counts is null").groupBy("sig").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sig").limit(COMMON)
+        often = made.where("counts is null").groupBy("sig").agg(F.sum("n").alias("n")).where(f"n >= {COMMON_LEAST}").orderBy(F.desc("n"), "sig").limit(COMMON)
         at = np.sort(np.array([x.sig for x in often.select("sig").toLocalIterator()], np.int64).view(np.uint64))
         self.common = self.texts.sparkSession.sparkContext.broadcast(at)
         return made.where("counts is not null")
 
-    def _near(self, x: str, y: str) -> str:
-        """Sizes and places of a shared shingle that a linked pair can have."""
-        both = f"least(least({x}.n, {y}.n), 1 + least({x}.n - {x}.pos, {y}.n - {y}.pos) - 1 + least({x}.pos, {y}.pos))"
+    def _near(self, x: str, y: str, first: bool = False) -> str:
+        """Sizes and places of a shared shingle that a linked pair can have. ``first``: of its first shared
+        shingle, before which it shares none; every linked pair meets in the region of that one too."""
+        both = f"least({x}.n - {x}.pos, {y}.n - {y}.pos)" + ("" if first else f" + least({x}.pos, {y}.pos)")
+        both = f"({both})"
         return f"100 * {both} >= {self.percent} * ({x}.n + {y}.n - {both})"
 
     def _measure(self, pairs: DataFrame) -> DataFrame:
@@ -194,7 +198,7 @@ class JaccardJoin:
         return materialise(exact.select("a", "b", F.col("d").alias("dlo"), F.col("d").alias("dhi"), "linked").union(beyond), "measured")
 
     def _join(self) -> DataFrame:
-        entries = self.texts.select("text").mapInArrow(_regions(self.width, self.percent, self.common), "s long, sig long, n int, pos int")
+        entries = self.texts.select("text").mapInArrow(_regions(self.width, self.percent, self.common), "s long, sig long, n int, pos int, rare int")
         order = Window.partitionBy("s").orderBy("sig")
         region = (
             entries.withColumn("again", F.lag("sig").over(order).eqNullSafe(F.col("sig")))
@@ -202,31 +206,31 @@ class JaccardJoin:
             .withColumn("next", F.lead("sig").over(order))
             .withColumn("place", F.row_number().over(order))
             .where("place > 1 or next is not null")
-            .select("s", "sig", "n", "pos")
+            .select("s", "sig", "n", "pos", "rare")
         )
         region = materialise(region, "regions")
         links = None
         for level in range(self.levels):
-            pivot = region.groupBy("s").agg(F.min(F.struct("sig", "n", "pos")).alias("p")).select("s", "p.*").alias("p")
+            pivot = region.groupBy("s").agg(F.min(F.struct("rare", "sig", "n", "pos")).alias("p")).select("s", "p.*")
             star = region.alias("x").join(pivot.withColumnRenamed("s", "ps").alias("p"), F.expr("x.s = p.ps")).where("x.sig <> p.sig")
-            star = star.select("x.s", "x.sig", "x.n", "x.pos", F.col("p.sig").alias("pivot"), F.expr(self._near("x", "p")).alias("near"))
+            star = star.select("x.s", "x.sig", "x.n", "x.pos", "x.rare", F.col("p.sig").alias("pivot"), F.expr(self._near("x", "p")).alias("near"))
             measured = self._measure(star.where("near").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
             new = measured.where("linked").select("a", "b")
             links = new if links is None else links.union(new)
             # those that the pivot rejected without measure are beyond r, and no more is known of them
             spread = star.join(measured.select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "dlo", "dhi", "linked"), ["sig", "pivot"], "left").select(
-                "s", "sig", "n", "pos", F.coalesce("dlo", F.lit(self.r)).alias("dlo"), F.coalesce("dhi", F.lit(1.0)).alias("dhi"), F.coalesce("linked", F.lit(False)).alias("home")
+                "s", "sig", "n", "pos", "rare", F.coalesce("dlo", F.lit(self.r)).alias("dlo"), F.coalesce("dhi", F.lit(1.0)).alias("dhi"), F.coalesce("linked", F.lit(False)).alias("home")
             )
             joined = components(links)
-            spread = spread.join(joined, spread.sig == joined.node, "left").select("s", "sig", "n", "pos", "dlo", "dhi", "home", F.coalesce("comp", "sig").alias("comp"))
+            spread = spread.join(joined, spread.sig == joined.node, "left").select("s", "sig", "n", "pos", "rare", "dlo", "dhi", "home", F.coalesce("comp", "sig").alias("comp"))
             stats = spread.groupBy("s").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(~F.col("home"), F.col("dlo"))).alias("edge"))
             # one component: done. Otherwise a home member stays where its window reaches someone outside
             left = spread.join(stats.where("size > 1 and c0 <> c1"), "s").where(f"not home or dhi + {self.r} + 1e-9 >= edge")
-            left = materialise(left.select("s", "sig", "n", "pos", "dlo", "dhi", "comp", "size"), "left")
+            left = materialise(left.select("s", "sig", "n", "pos", "rare", "dlo", "dhi", "comp", "size"), "left")
             small = left.where(f"size <= {self.block}") if level + 1 < self.levels else left
             found = self._measure(self._across(small))
             links = materialise(links.union(found.where("linked").select("a", "b")), "links")
-            region = left.where(f"size > {self.block}").select("s", "sig", "n", "pos")
+            region = left.where(f"size > {self.block}").select("s", "sig", "n", "pos", "rare")
             if level + 1 < self.levels and not region.limit(1).count():
                 break
         return links
@@ -241,7 +245,7 @@ class JaccardJoin:
         on = "x.s = y.s and x.i = y.i and x.j = y.j and x.sig < y.sig and x.comp <> y.comp"
         ours = "(x.mine <> y.mine or x.i = x.j)"
         window = f"x.dlo - y.dhi <= {self.r} + 1e-9 and y.dlo - x.dhi <= {self.r} + 1e-9"
-        return x.join(y, F.expr(f"{on} and {ours} and {window} and {self._near('x', 'y')}")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
+        return x.join(y, F.expr(f"{on} and {ours} and {window} and {self._near('x', 'y', first=True)}")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
     def members(self) -> DataFrame:
         """(id, n, sig, comp): every row of ``docs`` with the component of its set, the smallest id in it.
