@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gneiss.llm.common import materialise, table
+from gneiss.llm.decontaminate import keep_clean
 from gneiss.llm.jaccard_join import keep_one
+from gneiss.llm.langid import keep_known
+from gneiss.llm.mixing import mixed_documents
+from gneiss.llm.sharding import assign_shards
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is near no language's centroids go."""
+    return keep_known(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,9 +23,24 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-STAGES = [("jaccard", near_copies)]
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: a document stays as often as the mix takes it."""
+    return mixed_documents(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document of the mix goes: doc_id, size, text_crc32, shard, grown_shard, slot."""
+    return assign_shards(docs).withColumn("slot", F.col("slot").cast("long"))
+
+
+STAGES = [("language", language), ("jaccard", near_copies), ("benchmark", benchmark), ("mix", mix), ("shard", shards)]
 
-#: Hashed vectors and trained centroids have no SQL form; tests hold the stages against brute force.
+#: Hashed vectors, trained centroids and banded alignment have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
