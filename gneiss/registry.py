@@ -1,4 +1,8 @@
 """Every query of the library and its SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from gneiss import q_archive, q_records
+
+_MODULES = [q_records, q_archive]
+
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
