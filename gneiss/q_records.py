@@ -141,12 +141,12 @@ def detrended_spread(spark, sf_dir):
     return d.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.stddev_samp("residual"), 1).alias("std"))
 
 
-_HIST = "SELECT floor(o_totalprice / {w}) * {w} AS bin_left, count(*) AS n, round(sum(o_totalprice), 1) AS sum_v FROM orders GROUP BY 1"
+_HIST = "SELECT floor(o_totalprice / {w}) * {w} AS bin_left, count(*) AS n, round(sum(o_totalprice), 2) AS sum_v FROM orders GROUP BY 1"
 
 
 @query(_HIST.format(w="1000.0"))
 def hist_build(spark, sf_dir):
-    return histogram.build(table(spark, sf_dir, "orders"), [], "o_totalprice", 1000.0).select("bin_left", "n", F.round("sum_v", 1).alias("sum_v"))
+    return histogram.build(table(spark, sf_dir, "orders"), [], "o_totalprice", 1000.0).select("bin_left", "n", F.round("sum_v", 2).alias("sum_v"))
 
 
 @query("SELECT l_returnflag, floor(l_extendedprice / 5000.0) * 5000.0 AS bin_left, round(sum(l_quantity), 2) AS freq, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -167,7 +167,7 @@ def hist_resize(spark, sf_dir):
 def hist_merge(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     parts = [histogram.build(o.where(f"o_orderkey % 3 = {k}"), [], "o_totalprice", 1000.0) for k in range(3)]
-    return histogram.merged(parts[0].union(parts[1]).union(parts[2]), []).select("bin_left", "n", F.round("sum_v", 1).alias("sum_v"))
+    return histogram.merged(parts[0].union(parts[1]).union(parts[2]), []).select("bin_left", "n", F.round("sum_v", 2).alias("sum_v"))
 
 
 @query("""WITH a AS (SELECT floor(o_totalprice / 10000.0) * 10000.0 AS b, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
