@@ -40,6 +40,8 @@ from gneiss.llm.shingles import mix, shingle_sets
 #: Most shingles in the list that is broadcast to order shingles, and the count from which one is listed:
 #: tasks put forward what they meet twice in some 4 million shingles, and these counts are added up.
 COMMON, COMMON_LEAST = 1_000_000, 8
+#: Ids of documents to be measured that are broadcast to the scan of the texts; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def _fold_width(n: int) -> int:
@@ -150,8 +152,8 @@ class JaccardJoin:
     empty tables.
     """
 
-    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, levels: int = 3, block: int = 64):
-        self.width, self.percent, self.levels, self.block = width, percent, levels, block
+    def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, levels: int = 3, small: int = 64, block: int = 1024):
+        self.width, self.percent, self.levels, self.small, self.block = width, percent, levels, small, block
         self.r = 1 - percent / 100
         self.texts = docs.select(docs[id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
         self.profiles = self._profile()
@@ -185,7 +187,8 @@ class JaccardJoin:
         )
         bound = materialise(with_counts.select("ra", "rb", "na", "nb", "ca", "cb", "a", "b").mapInArrow(_keep_ids(_bounded(self.percent)), "ra long, rb long, dlo double, far boolean, a long, b long"), "bounds")
         near = bound.where("not far")
-        need = near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct()
+        need = materialise(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
+        need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
         sets = materialise(self.texts.join(need, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.width), "id long, items array<long>"), "sets")
         exact = (
             near.join(sets.select(F.col("id").alias("ra"), F.col("items").alias("x")), "ra")
@@ -227,10 +230,10 @@ class JaccardJoin:
             # one component: done. Otherwise a home member stays where its window reaches someone outside
             left = spread.join(stats.where("size > 1 and c0 <> c1"), "s").where(f"not home or dhi + {self.r} + 1e-9 >= edge")
             left = materialise(left.select("s", "sig", "n", "pos", "rare", "dlo", "dhi", "comp", "size"), "left")
-            small = left.where(f"size <= {self.block}") if level + 1 < self.levels else left
+            small = left.where(f"size <= {self.small}") if level + 1 < self.levels else left
             found = self._measure(self._across(small))
             links = materialise(links.union(found.where("linked").select("a", "b")), "links")
-            region = left.where(f"size > {self.block}").select("s", "sig", "n", "pos", "rare")
+            region = left.where(f"size > {self.small}").select("s", "sig", "n", "pos", "rare")
             if level + 1 < self.levels and not region.limit(1).count():
                 break
         return links

@@ -25,7 +25,9 @@ DIMS, MOST_LANGS, UNDETERMINED = 4096, 500, "und"
 #: Texts of one matrix, and characters after which a matrix is closed early.
 BATCH, BATCH_CHARS = 256, 1_000_000
 #: What a text may lie beyond the farthest training text of its centroid.
-SLACK = 0.1
+SLACK = 0.15
+#: A text of fewer different n-grams says too little to be far from anything: it is rejected only without common ones.
+LEAST_GRAMS = 40
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -130,11 +132,12 @@ class LanguageModel:
         known = [i for i, t in enumerate(texts) if t and self.langs and re.search(r"[^\W\d_]", t)]
         done = 0
         for batch in _batches([texts[i] for i in known]):
-            cos = vectors(batch, self.idf) @ self.centroids.T
+            v = vectors(batch, self.idf)
+            cos, grams = v @ self.centroids.T, (v > 0).sum(1)
             best = cos.argmax(1)
             for j, b in enumerate(best):
                 c = float(min(1.0, max(0.0, cos[j, b])))
-                out[known[done + j]] = (self.langs[b], c, 1 - c > min(self.radii[b] + SLACK, 1 - 1e-6))
+                out[known[done + j]] = (self.langs[b], c, 1 - c > (0.995 if grams[j] < LEAST_GRAMS else min(self.radii[b] + SLACK, 0.995)))
             done += len(batch)
         return out
 
