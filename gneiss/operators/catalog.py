@@ -73,3 +73,30 @@ def health(files: DataFrame) -> DataFrame:
     """``code`` of files that can't be used: M3 empty, M4 unreadable, M6 invalid name."""
     code = F.when(F.col("size") == 0, "M3").when(~F.col("readable"), "M4").when(~F.col("name").rlike(r"^[A-Za-z0-9._-]+$"), "M6")
     return files.withColumn("code", code).where("code is not null")
+
+
+#: Years that a file of a frequency may span.
+MOST_YEARS = {"3hr": 1, "6hr": 1, "day": 5, "mon": 10, "sem": 10}
+
+
+def period_cut(files: DataFrame, series: list[str], freq: str) -> DataFrame:
+    """``code`` of files (d_beg, d_end digits): ``span`` covers more years than its frequency may; ``begin`` or ``end`` does not
+    stand at a year's boundary, which only a series' first begin and last end need not."""
+    w = Window.partitionBy(*series).orderBy("d_beg", "d_end")
+    limit = F.element_at(F.create_map(*[x for k, v in MOST_YEARS.items() for x in (F.lit(k), F.lit(v))]), F.col(freq))
+    span = F.substring("d_end", 1, 4).cast("int") - F.substring("d_beg", 1, 4).cast("int") + 1
+    month = lambda c: F.substring(c, 5, 2)
+    first, last = F.lag("d_beg").over(w).isNull(), F.lead("d_beg").over(w).isNull()
+    code = F.when(span > limit, "span").when(~first & ~month("d_beg").isin("", "01"), "begin").when(~last & ~month("d_end").isin("", "12"), "end")
+    return files.withColumn("code", code)
+
+
+def next_files(files: DataFrame, series: list[str], order: list[str], n: int) -> DataFrame:
+    """The next ``n`` files of each series."""
+    return files.withColumn("_r", F.row_number().over(Window.partitionBy(*series).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def overlapping(files: DataFrame, lo: float, hi: float) -> DataFrame:
+    """Files with any time in [lo, hi], and the part of it that they hold."""
+    f = files.where((F.col("end") >= lo) & (F.col("begin") <= hi))
+    return f.withColumn("from", F.greatest("begin", F.lit(lo))).withColumn("to", F.least("end", F.lit(hi)))

@@ -92,7 +92,7 @@ CELL_METHODS = ("point", "sum", "maximum", "median", "mid_range", "minimum", "me
 def cell_methods(atts: DataFrame) -> DataFrame:
     """(file_id, var, dims, method, known, scope) of each ``dim: [dim:] method [where|over|within ...] [(comment)]`` entry."""
     entry = r"((?:\w+: ?)+)(\w+)((?: (?:where|over|within) \w+)*)"
-    all_ = F.regexp_extract_all("value", F.lit(entry), F.lit(0))
+    all_ = F.regexp_extract_all(F.regexp_replace("value", r"\([^)]*\)", ""), F.lit(entry), F.lit(0))
     e = atts.select("file_id", "var", F.posexplode(all_).alias("pos", "entry"))
     method = F.regexp_extract("entry", entry, 2)
     return e.select(
@@ -141,3 +141,37 @@ def packing_faults(vars: DataFrame) -> DataFrame:
 def ragged_faults(counts: DataFrame, sizes: DataFrame) -> DataFrame:
     """Files whose ragged arrays' counts do not add up to the sample dimension. counts: (file_id, count); sizes: (file_id, size)."""
     return counts.groupBy("file_id").agg(F.sum("count").alias("total")).join(sizes, "file_id").where("total <> size")
+
+
+def changed_variables(files: DataFrame, series: list[str], order: str, vars: str) -> DataFrame:
+    """(series, order, var, code): 3_14 a variable of the file before is missing, 3_15 one is new. ``vars`` is an array."""
+    before = F.lag(vars).over(Window.partitionBy(*series).orderBy(order))
+    f = files.withColumn("_b", before).where("_b is not null")
+    gone = F.transform(F.array_except("_b", vars), lambda v: F.struct(v.alias("var"), F.lit("3_14").alias("code")))
+    new = F.transform(F.array_except(vars, "_b"), lambda v: F.struct(v.alias("var"), F.lit("3_15").alias("code")))
+    return f.select(*series, order, F.explode(F.concat(gone, new)).alias("f")).select(*series, order, "f.var", "f.code")
+
+
+def looked_up(vars: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``vars`` with the requirement table's ``columns``; ``code`` is 3_1 where the table has no such row, else the first column
+    whose value is not as required, or null."""
+    t = table.select(*keys, *[F.col(c).alias(f"want_{c}") for c in columns], F.lit(True).alias("_in"))
+    j = vars.join(t, keys, "left")
+    code = F.when(F.col("_in").isNull(), "3_1")
+    for c in columns:
+        code = code.when(~F.col(c).eqNullSafe(F.col(f"want_{c}")), c)
+    return j.withColumn("code", code).drop("_in")
+
+
+def domain(grids: DataFrame, domains: DataFrame) -> DataFrame:
+    """``domain`` of each grid (name, nlon, nlat): the row of that name, else the first of the same sizes; ``by`` says which."""
+    d = domains.select(F.col("name").alias("d_name"), F.col("nlon").alias("d_nlon"), F.col("nlat").alias("d_nlat"))
+    named = grids.join(d.select(F.col("d_name").alias("name"), F.lit(True).alias("_n")), "name", "left")
+    sized = d.groupBy(F.col("d_nlon").alias("nlon"), F.col("d_nlat").alias("nlat")).agg(F.min("d_name").alias("_s"))
+    j = named.join(sized, ["nlon", "nlat"], "left")
+    return j.withColumn("domain", F.when(F.col("_n"), F.col("name")).otherwise(F.col("_s"))).withColumn("by", F.when(F.col("_n"), "name").when(F.col("_s").isNotNull(), "size")).drop("_n", "_s")
+
+
+def duplicated(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that a rule table has more than once, and how often."""
+    return table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

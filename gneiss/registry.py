@@ -1,8 +1,8 @@
 """Every query of the library and its SQL."""
 
-from gneiss import q_archive, q_records
+from gneiss import q_archive, q_records, q_rules
 
-_MODULES = [q_records, q_archive]
+_MODULES = [q_records, q_archive, q_rules]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
