@@ -33,6 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+#: Rows of a few numbers that may be broadcast; the side of a join beyond it is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and marked for broadcast if it has ``BROADCAST_ROWS`` at most, so that a join with
+    documents does not move their texts; else as it is, and Spark shuffles both sides."""
+    df = materialise(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -20,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import small_side
 from gneiss.llm.shingles import chunks, text_buffers
 
 Q = 8
 #: Edits in a byte of an item, and the least bytes of an item that is searched for: a shorter one is no evidence.
-RATE, LEAST = 0.05, 40
+RATE, LEAST = 0.07, 40
 #: Bytes of benchmark text that are broadcast at once.
 BLOCK_BYTES = 16_000_000
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -205,4 +206,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` without the documents that hold an item; rows of null id stay."""
     gone = leaks(docs, benchmark, id=id, **options).select(F.col("id").alias(id)).distinct()
-    return docs.join(gone, id, "left_anti")
+    return docs.join(small_side(gone, "gone"), id, "left_anti")

@@ -33,15 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise
+from gneiss.llm.common import materialise, small_side
 from gneiss.llm.components import components
 from gneiss.llm.shingles import mix, shingle_sets
 
 #: Most shingles in the list that is broadcast to order shingles, and the count from which one is listed:
 #: tasks put forward what they meet twice in some 4 million shingles, and these counts are added up.
 COMMON, COMMON_LEAST = 1_000_000, 8
-#: Ids of documents to be measured that are broadcast to the scan of the texts; more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
 
 
 def _fold_width(n: int) -> int:
@@ -187,8 +185,7 @@ class JaccardJoin:
         )
         bound = materialise(with_counts.select("ra", "rb", "na", "nb", "ca", "cb", "a", "b").mapInArrow(_keep_ids(_bounded(self.percent)), "ra long, rb long, dlo double, far boolean, a long, b long"), "bounds")
         near = bound.where("not far")
-        need = materialise(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
-        need = F.broadcast(need) if need.count() <= BROADCAST_IDS else need
+        need = small_side(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
         sets = materialise(self.texts.join(need, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.width), "id long, items array<long>"), "sets")
         exact = (
             near.join(sets.select(F.col("id").alias("ra"), F.col("items").alias("x")), "ra")
@@ -282,4 +279,4 @@ def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with one document of each group of near copies, the one of the smallest id; rows of null id stay."""
     at = JaccardJoin(docs, id=id, **options).members()
     gone = at.where("id <> comp").select(F.col("id").alias(id)).distinct()
-    return docs.join(gone, id, "left_anti")
+    return docs.join(small_side(gone, "gone"), id, "left_anti")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import hash_long, materialise, n_words
+from gneiss.llm.common import hash_long, materialise, n_words, small_side
 
 GOLDEN = 0.6180339887498949
 #: Cells of [0, 1) by which slots meet the stretches of sources; slots of one chunk are ranked together.
@@ -134,6 +134,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as mixed: a document of which the mix takes words stays, as often as it is taken
     (the nearest whole number, once at least); one of which it takes none goes. Columns as in ``docs``."""
     taken = SourceMix(docs, **options).taken.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    taken = small_side(taken, "taken")
     times = F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_size"))).cast("int")
     names = [f"`{c}`" for c in docs.columns]
     return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).select(*names)
