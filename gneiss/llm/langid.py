@@ -3,7 +3,11 @@
 A text's vector holds the tf-idf weights of its letter bigrams and trigrams, hashed to ``DIMS``
 places and scaled to length 1. Each language has several centroids, clusters of its training
 vectors; a text gets the language of the centroid of greatest cosine. A text farther from it
-than that centroid's texts lie is rejected.
+than that centroid's texts of about as many n-grams lie is rejected.
+
+A short text lies far from every centroid because it has few n-grams, so each centroid has a radius for each band of
+different n-grams (``BANDS``): the ``QUANTILE`` of the distances of its own training texts and of excerpts of them,
+and ``MARGIN``. The quantile keeps single junk texts from setting it.
 
 Document frequencies are counted over all training texts in Spark. The centroids are fitted on a
 sample of about ``per_lang`` texts of each language, drawn by a hash of the text, and so are of
@@ -24,10 +28,16 @@ from pyspark.sql import functions as F
 DIMS, MOST_LANGS, UNDETERMINED = 4096, 500, "und"
 #: Texts of one matrix, and characters after which a matrix is closed early.
 BATCH, BATCH_CHARS = 256, 1_000_000
-#: What a text may lie beyond the farthest training text of its centroid.
-SLACK = 0.15
-#: A text of fewer different n-grams says too little to be far from anything: it is rejected only without common ones.
-LEAST_GRAMS = 40
+#: Where bands of different n-grams end, and characters of the excerpts that fill the bands of short texts.
+BANDS, EXCERPTS = (10, 20, 40, 80, 160, 320, 640, 1280), (8, 16, 32, 64, 128, 256, 512, 1024)
+#: A radius is this quantile of distances and this share of the way from there to 1, the distance of texts without a common n-gram.
+QUANTILE, MARGIN = 0.99, 0.2
+#: It takes so many texts of the centroid's own (fewer have no such quantile), or so many of its language.
+LEAST_OWN, LEAST_ALL = 100, 20
+#: The largest radius: a text farther away has hardly an n-gram in common with the centroid.
+FARTHEST = 0.995
+#: Of a language's texts a centroid has this share at least, and two texts.
+LEAST_SHARE = 0.02
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -69,20 +79,60 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from farthest-first starts: centroids of length 1, and each row's cluster."""
+    """Spherical k-means, started from rows drawn in proportion to their distance from the starts before them: ``k`` centroids
+    of length 1 at most, and each row's cluster. Clusters of fewer than ``LEAST_SHARE`` of the rows are given up to the others."""
+    draw = np.random.default_rng(0)
     at = [int(np.argmax(x @ x.mean(0)))]
     while len(at) < min(k, len(x)):
-        at.append(int(np.argmin((x @ x[at].T).max(1))))
+        far = np.maximum(1 - (x @ x[at].T).max(1).astype(np.float64), 0)
+        if far.sum() < 1e-6:
+            break
+        at.append(int(draw.choice(len(x), p=far / far.sum())))
     c = x[at]
-    for _ in range(rounds):
+    while True:
+        for _ in range(rounds):
+            own = (x @ c.T).argmax(1)
+            new = np.stack([x[own == i].sum(0) if (own == i).any() else c[i] for i in range(len(c))])
+            c = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
         own = (x @ c.T).argmax(1)
-        new = np.stack([x[own == i].sum(0) if (own == i).any() else c[i] for i in range(len(c))])
-        c = new / np.maximum(np.linalg.norm(new, axis=1, keepdims=True), 1e-12)
-    return c, (x @ c.T).argmax(1)
+        sizes = np.bincount(own, minlength=len(c))
+        if len(c) == 1 or sizes.min() >= max(2, LEAST_SHARE * len(x)):
+            return c, own
+        c = np.delete(c, int(sizes.argmin()), axis=0)
+
+
+def excerpts(texts: list[str]) -> list[str]:
+    """Pieces of the longer texts, from a third of them on, without those that hold no letter."""
+    cut = (t[len(t) // 3 :][:n] for t in texts for n in EXCERPTS if len(t) > 2 * n)
+    return [t for t in cut if re.search(r"[^\W\d_]", t)]
+
+
+def radii(texts: list[str], c: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The radius of each centroid in each band. Where it has fewer than ``LEAST_OWN`` texts, those of all centroids count; where
+    these are fewer than ``LEAST_ALL``, the radius of the next shorter band holds, as shorter texts lie farther; ``FARTHEST`` where there is none."""
+    own, far, band = [], [], []
+    for batch in _batches(texts + excerpts(texts)):
+        v = vectors(batch, idf)
+        cos = v @ c.T
+        own.append(cos.argmax(1))
+        far.append(1 - cos.max(1))
+        band.append(np.digitize((v > 0).sum(1), BANDS))
+    own, far, band = np.concatenate(own), np.concatenate(far), np.concatenate(band)
+    out = np.full((len(c), len(BANDS) + 1), FARTHEST)
+    for i in range(len(c)):
+        for b in range(len(BANDS) + 1):
+            its = far[(own == i) & (band == b)]
+            its = its if len(its) >= LEAST_OWN else far[band == b]
+            if len(its) >= LEAST_ALL:
+                q = float(np.quantile(its, QUANTILE))
+                out[i, b] = min(FARTHEST, q + MARGIN * (1 - q))
+            elif b:
+                out[i, b] = out[i, b - 1]
+    return out
 
 
 class LanguageModel:
-    """Centroids and their radii; ``fit`` makes one and ``predict`` applies it."""
+    """Centroids and their radii, a row of ``BANDS`` for each; ``fit`` makes one and ``predict`` applies it."""
 
     def __init__(self, langs: list[str], centroids: np.ndarray, radii: np.ndarray, idf: np.ndarray):
         self.langs, self.centroids, self.radii, self.idf = langs, centroids, radii, idf
@@ -96,7 +146,7 @@ class LanguageModel:
         if len(sizes) > MOST_LANGS:
             raise ValueError(f"more than {MOST_LANGS} languages")
         if not sizes:
-            return cls([], np.zeros((0, DIMS), np.float32), np.zeros(0), np.ones(DIMS, np.float32))
+            return cls([], np.zeros((0, DIMS), np.float32), np.zeros((0, len(BANDS) + 1)), np.ones(DIMS, np.float32))
 
         def seen(batches):
             df, n = np.zeros(DIMS, np.int64), 0
@@ -118,13 +168,11 @@ class LanguageModel:
         def fit_lang(key, pdf: pd.DataFrame) -> pd.DataFrame:
             texts = sorted(pdf["text"])[: 2 * per_lang]
             x = np.concatenate([vectors(b, idf) for b in _batches(texts)])
-            c, own = cluster(x, clusters)
-            far = 1 - (x * c[own]).sum(1)
-            radius = [float(far[own == i].max()) if (own == i).any() else 0.0 for i in range(len(c))]
-            return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tolist() for v in c], "radius": max(radius)})
+            c, _ = cluster(x, clusters)
+            return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tolist() for v in c], "radius": radii(texts, c, idf).tolist()})
 
-        rows = sorted(sample.groupBy("lang").applyInPandas(fit_lang, "lang string, centroid array<float>, radius double").collect(), key=lambda r: r["lang"])
-        return cls([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), DIMS), np.array([r["radius"] for r in rows]), idf)
+        rows = sorted(sample.groupBy("lang").applyInPandas(fit_lang, "lang string, centroid array<float>, radius array<double>").collect(), key=lambda r: r["lang"])
+        return cls([r["lang"] for r in rows], np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), DIMS), np.array([r["radius"] for r in rows]).reshape(len(rows), len(BANDS) + 1), idf)
 
     def score(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text; null texts and those without a letter are ``und``, 0 and rejected."""
@@ -133,11 +181,11 @@ class LanguageModel:
         done = 0
         for batch in _batches([texts[i] for i in known]):
             v = vectors(batch, self.idf)
-            cos, grams = v @ self.centroids.T, (v > 0).sum(1)
+            cos, band = v @ self.centroids.T, np.digitize((v > 0).sum(1), BANDS)
             best = cos.argmax(1)
             for j, b in enumerate(best):
                 c = float(min(1.0, max(0.0, cos[j, b])))
-                out[known[done + j]] = (self.langs[b], c, 1 - c > (0.995 if grams[j] < LEAST_GRAMS else min(self.radii[b] + SLACK, 0.995)))
+                out[known[done + j]] = (self.langs[b], c, 1 - c > self.radii[b, band[j]])
             done += len(batch)
         return out
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ import corpus_pipeline
 from gneiss.llm import chat, registry
 from gneiss.llm.decontaminate import Items, budget, keep_clean, leaks
 from gneiss.llm.jaccard_join import jaccard_components
-from gneiss.llm.langid import LanguageModel, held_out, keep_known
+from gneiss.llm.langid import LanguageModel, cluster, held_out, keep_known
 from gneiss.llm.warc import audit, files_for, merkle, records
 
 
@@ -30,6 +31,36 @@ def test_languages_are_told_apart_on_held_out_rows(spark, odd, none):
     assert other[0][2] and [x[0] for x in other[1:]] == ["und"] * 3
 
 
+FOREIGN = [
+    "Il governo italiano ha annunciato ieri una nuova riforma della scuola pubblica, che prevede maggiori investimenti per gli insegnanti e per gli edifici scolastici in tutto il paese. Secondo il ministro, i lavori cominceranno nel prossimo anno.",
+    "O governo português anunciou ontem uma nova reforma da escola pública, que prevê mais investimentos para os professores e para os edifícios escolares em todo o país. Segundo o ministro, as obras vão começar no próximo ano.",
+    "Rząd polski ogłosił wczoraj nową reformę szkolnictwa publicznego, która przewiduje większe inwestycje dla nauczycieli oraz budynków szkolnych w całym kraju. Według ministra prace rozpoczną się w przyszłym roku.",
+    "Suomen hallitus ilmoitti eilen uudesta julkisen koulun uudistuksesta, joka lisää investointeja opettajiin ja koulurakennuksiin koko maassa. Ministerin mukaan työt alkavat ensi vuonna.",
+    "De regering heeft gisteren een nieuwe hervorming van het openbaar onderwijs aangekondigd, die meer geld vrijmaakt voor leraren en schoolgebouwen in het hele land. Volgens de minister beginnen de werken volgend jaar.",
+]
+
+
+def test_other_languages_of_the_same_script_are_rejected_and_short_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    junk = spark.createDataFrame([("Zzyzx qwrtp",), ("Xkcd",), ("Bvgf hjkl mnbv wqxz",)], "text string").crossJoin(docs.select("lang").where("lang is not null").distinct())
+    model = LanguageModel.fit(docs.where(~held_out()).select("text", "lang").unionByName(junk))
+    assert all(r for _, _, r in model.score(FOREIGN))
+    texts = [r.text for r in docs.where(held_out()).collect()]
+    short = [" ".join(t.split()[2 : 2 + n]) for t in texts if len(t.split()) > 30 for n in (3, 6, 12)]
+    assert sum(r for _, _, r in model.score(short)) < 0.02 * len(short)
+
+
+def test_single_texts_are_no_centroids():
+    draw = np.random.default_rng(1)
+    x = np.abs(draw.normal(0, 0.05, (403, 64)))
+    x[:300, 0] += 1
+    x[300:400, 1] += 1
+    x[[400, 401, 402], [2, 3, 4]] += 1
+    c, own = cluster((x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), 4)
+    assert np.bincount(own, minlength=len(c)).min() > 3
+    assert not set(own[:300]) & set(own[300:400])
+
+
 def test_predictions_use_the_text_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = LanguageModel.fit(docs, per_lang=50)
