@@ -10,7 +10,7 @@ different n-grams (``BANDS``): the ``QUANTILE`` of the distances of its own trai
 and ``MARGIN``. The quantile keeps single junk texts from setting it.
 
 Document frequencies are counted over all training texts in Spark. The centroids are fitted on a
-sample of about ``per_lang`` texts of each language, drawn by a hash of the text, and so are of
+sample of ``per_lang`` distinct texts of each language at most, those of smallest hash, and so are of
 bounded number and size: languages x ``clusters`` x ``DIMS`` floats are broadcast, and more than
 ``MOST_LANGS`` languages are refused.
 """
@@ -22,7 +22,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIMS, MOST_LANGS, UNDETERMINED = 4096, 500, "und"
@@ -131,6 +131,15 @@ def radii(texts: list[str], c: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return out
 
 
+def drawn(t: DataFrame, distinct: dict[str, int], per_lang: int) -> DataFrame:
+    """(lang, text): of each language's distinct texts the ``per_lang`` of smallest hash. About twice as many, by the estimated
+    numbers of ``distinct`` ones, pass the first level, copies are dropped, and the second level keeps the bound."""
+    share = F.create_map(*[x for k, n in distinct.items() for x in (F.lit(k), F.lit(min(1.0, 2 * per_lang / max(1, n))))])
+    passed = t.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("draw")).where(F.col("draw") / float(1 << 40) < F.element_at(share, F.col("lang"))).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    return passed.withColumn("place", place).where(F.col("place") <= per_lang).select("lang", "text")
+
+
 class LanguageModel:
     """Centroids and their radii, a row of ``BANDS`` for each; ``fit`` makes one and ``predict`` applies it."""
 
@@ -142,7 +151,8 @@ class LanguageModel:
         """``train``'s rows of null text or language, or without letters, teach nothing.
         Without any row that teaches, the model predicts ``und`` everywhere."""
         t = train.select(train[text].cast("string").alias("text"), train[lang].cast("string").alias("lang")).where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
-        sizes = {r["lang"]: r["n"] for r in t.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
+        found = t.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("text")).alias("distinct")).limit(MOST_LANGS + 1).collect()
+        sizes = {r["lang"]: r["n"] for r in found}
         if len(sizes) > MOST_LANGS:
             raise ValueError(f"more than {MOST_LANGS} languages")
         if not sizes:
@@ -161,12 +171,10 @@ class LanguageModel:
         for r in t.select("text").mapInArrow(seen, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect():
             df[r["dim"]] = r["df"]
         idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
-        share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, per_lang / n)))])
-        draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-        sample = t.where(draw < F.element_at(share, F.col("lang")))
+        sample = drawn(t, {r["lang"]: r["distinct"] for r in found}, per_lang)
 
         def fit_lang(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            texts = sorted(pdf["text"])[: 2 * per_lang]
+            texts = sorted(pdf["text"])
             x = np.concatenate([vectors(b, idf) for b in _batches(texts)])
             c, _ = cluster(x, clusters)
             return pd.DataFrame({"lang": key[0], "centroid": [v.astype(np.float32).tolist() for v in c], "radius": radii(texts, c, idf).tolist()})

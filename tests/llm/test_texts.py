@@ -12,7 +12,7 @@ import corpus_pipeline
 from gneiss.llm import chat, registry
 from gneiss.llm.decontaminate import Items, budget, keep_clean, leaks
 from gneiss.llm.jaccard_join import jaccard_components
-from gneiss.llm.langid import LanguageModel, cluster, held_out, keep_known
+from gneiss.llm.langid import LanguageModel, cluster, drawn, held_out, keep_known
 from gneiss.llm.warc import audit, files_for, merkle, records
 
 
@@ -50,6 +50,26 @@ def test_other_languages_of_the_same_script_are_rejected_and_short_texts_stay(sp
     assert sum(r for _, _, r in model.score(short)) < 0.02 * len(short)
 
 
+def test_copies_of_one_text_do_not_displace_a_language(spark):
+    """A text that is most of the rows, first in text order and among those drawn, is one text of the sample."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'de'").select("text", "lang")
+    texts = sorted(r.text for r in docs.where("length(text) > 500").limit(60).collect())
+    low = spark.range(500).select(F.concat(F.lit("Aaa aab aac "), F.col("id").cast("string")).alias("text")).orderBy(F.expr("pmod(xxhash64(text), 1 << 20)")).first().text
+    many = spark.range(400).select(F.lit(low).alias("text"), F.lit("de").alias("lang"))
+    model = LanguageModel.fit(spark.createDataFrame([(t, "de") for t in texts], "text string, lang string").unionByName(many), per_lang=30)
+    found = model.score(texts)
+    assert sum(r for _, _, r in found) < 0.1 * len(texts) and min(s for _, s, _ in found) > 0.3
+
+
+def test_the_sample_is_distinct_and_bounded(spark):
+    rows = [(f"satz {chr(97 + i // 26)}{chr(97 + i % 26)} nummer", lang) for i in range(600) for lang in ("de", "xx") for _ in range(3)]
+    t = spark.createDataFrame([*rows, ("nur einer", "yy")], "text string, lang string")
+    got = drawn(t, {"de": 600, "xx": 600, "yy": 1}, 100).collect()
+    assert len({(r.lang, r.text) for r in got}) == len(got) == 201
+    first = {r.text for r in t.where("lang = 'de'").distinct().orderBy(F.expr("pmod(xxhash64(text), 1L << 40)")).limit(100).collect()}
+    assert {r.text for r in got if r.lang == "de"} == {r.text for r in got if r.lang == "xx"} == first
+
+
 def test_single_texts_are_no_centroids():
     draw = np.random.default_rng(1)
     x = np.abs(draw.normal(0, 0.05, (403, 64)))
