@@ -20,15 +20,26 @@ from pyspark.sql import functions as F
 from gneiss.llm.common import materialise
 
 # What counts as an entity, in order of preference at one place.
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_IP = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b(?!\.[0-9])"
+_CARD = r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b"
+_SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
+_LOCAL = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b"
+_TITLE = r"(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)"
+# No group of a number, and no word of a name, takes the start of the entity that follows it. A number that is none without
+# the groups that look like another entity (+33 1 23.45.67.89) keeps them, by the last form of its pattern.
+_APART = rf"(?! (?:{_EMAIL}|{_IP}|{_SSN}|{_LOCAL}))"
+_PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?"
+_WORD = rf" (?!{_EMAIL})\p{{Lu}}[\p{{Ll}}'’-]+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": _EMAIL,
     "secret": r"\b(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b",
-    "ip": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b(?!\.[0-9])",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "card": r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b",
-    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "phone": r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа)\.? \p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)?",
+    "ip": _IP,
+    "iban": rf"\b[A-Z]{{2}}[0-9]{{2}}(?:(?:[A-Z0-9]{{4}}){{3,7}}[A-Z0-9]{{0,3}}\b|(?:{_APART} ?[A-Z0-9]{{4}}){{3,7}}(?:{_APART} ?[A-Z0-9]{{1,3}})?\b|(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?\b)",
+    "card": _CARD,
+    "ssn": _SSN,
+    "phone": rf"{_PHONE}(?:{_APART}(?! {_CARD})[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_PHONE}(?:[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_LOCAL}",
+    "name": rf"\b{_TITLE}\.?{_WORD}(?:(?! {_TITLE}\b){_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа")
