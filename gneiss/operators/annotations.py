@@ -6,21 +6,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def resolved(findings: DataFrame, directives: DataFrame, limit: int = 4) -> DataFrame:
+def resolved(findings: DataFrame, directives: DataFrame, limit: int = 4, record: str = "rec", freq: str = "freq") -> DataFrame:
     """Findings (code, var, level, ...) with the directive that governs each: the exact (code, var) before
     (code, *) before (*, var). Discarded findings go; the others get the directive's level, ``limit`` at most.
 
-    Directives: (code, var, level, discard, values): '*' stands for any; a discard with ``values`` holds only
-    for findings whose ``value`` is among them. Directives are few; they are joined by code, never looped over.
+    Directives: (code, var, level, discard, values, freqs, records): '*' stands for any; a discard with ``values`` or ``freqs``
+    holds only for findings whose ``value`` or ``freq`` is among them; one with ``records`` only for findings whose ``record`` is in
+    one of these ranges, ends included; with both, for findings that meet both. A discard by frequencies or records
+    that governs a finding raises where ``findings`` has no such column. Directives are few; they are joined by code, never looped over.
     """
-    d = directives.select(F.col("code").alias("d_code"), F.col("var").alias("d_var"), F.col("level").alias("d_level"), "discard", "values")
+    d = directives.select(F.col("code").alias("d_code"), F.col("var").alias("d_var"), F.col("level").alias("d_level"), "discard", "values", F.col("freqs").alias("d_freqs"), F.col("records").alias("d_records"))
     f = findings.withColumn("_id", F.monotonically_increasing_id())
     exact = f.join(d, (f.code == d.d_code) & (f["var"] == d.d_var), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 1))
     by_code = f.join(d.where("d_var = '*'"), f.code == F.col("d_code"), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 2))
     by_var = f.join(d.where("d_code = '*'"), f["var"] == F.col("d_var"), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 3))
     all_ = exact.union(by_code).union(by_var).withColumn("_rank", F.coalesce("_rank", F.lit(4)))
     best = all_.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy("_rank", "d_level"))).where("_r = 1")
-    gone = F.coalesce("discard", F.lit(False)) & (F.col("values").isNull() | F.array_contains("values", F.col("value")))
+    known = lambda c: F.col(c) if c in findings.columns else F.raise_error(F.lit(f"a directive needs the column {c} of findings"))
+    by_value = F.when(F.col("values").isNotNull(), F.array_contains("values", F.col("value")))
+    by_freq = F.when(F.col("d_freqs").isNotNull(), F.array_contains("d_freqs", known(freq).cast("string")))
+    no, yes = F.lit(False), F.lit(True)
+    listed = F.when(F.col("values").isNull() & F.col("d_freqs").isNull(), yes).otherwise(F.coalesce(by_value, no) | F.coalesce(by_freq, no))
+    at = known(record).cast("long")
+    in_range = F.when(F.col("d_records").isNull(), yes).otherwise(F.coalesce(F.exists("d_records", lambda r: at.between(r["lo"], r["hi"])), no))
+    gone = F.when(F.col("discard"), listed & in_range)
     kept = best.where(~F.coalesce(gone, F.lit(False)))
     return kept.withColumn("level", F.least(F.coalesce("d_level", "level"), F.lit(limit))).select(*findings.columns)
 

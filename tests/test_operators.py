@@ -124,6 +124,22 @@ def test_directives(spark):
     assert got == [("R1", "pr", 2), ("R1", "x", 2), ("R2", "x", 3)]
 
 
+def test_discards_hold_for_listed_records_and_frequencies_only(spark):
+    f = spark.createDataFrame([(c, "x", 2, "0", r, q) for c in ("R1", "R2", "R3") for r in (4, 5, 10, 11, None) for q in ("day", "mon")], "code string, var string, level int, value string, rec long, freq string")
+    d = check_list(spark, ["a & R1,D,R=5-10,R=20", "b & R2,D,F=day,EM", "c & R3,D,V=0,R=11"])
+    assert [r.email for r in d.orderBy("code").collect()] == [False, True, False]
+    left = {c: {(r.rec, r.freq) for r in annotations.resolved(f, d).collect() if r.code == c} for c in ("R1", "R2", "R3")}
+    both = {"day", "mon"}
+    assert left["R1"] == {(r, q) for r in (4, 11, None) for q in both}
+    assert left["R2"] == {(r, "mon") for r in (4, 5, 10, 11, None)}
+    assert left["R3"] == {(r, q) for r in (4, 5, 10, None) for q in both}
+    with pytest.raises(Exception, match="rec of findings"):
+        annotations.resolved(f.drop("rec"), d).collect()
+    assert annotations.resolved(f.drop("rec", "freq"), check_list(spark, ["a & R1,D"])).count() == 20
+    with pytest.raises(ValueError, match="R=x"):
+        check_list(spark, ["a & R1,D,R=x"])
+
+
 @settings(max_examples=20, deadline=None)
 @given(hs.integers(0, 4000), hs.sampled_from(sorted(calendar.YEAR_DAYS)), hs.integers(0, 364))
 def test_model_calendars_round_trip(spark, year, name, day):
