@@ -1,10 +1,12 @@
-"""Shared helpers: shared-folder tables, keyed hashes, word expressions."""
+"""Shared helpers: shared-folder tables, Arrow slices, keyed hashes, word expressions."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,12 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
+    """The folder all executors see: ``spark.checkpoint.dir``. Where it is unset a local session gets a temporary one;
+    on a cluster no folder of one machine would do, so it is an error there."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="gneiss-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,7 +33,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._table = at
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for ``tables``, once all that reads them has been written itself."""
+    for df in tables:
+        if at := getattr(df, "_table", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Rows of a few numbers that may be broadcast; the side of a join beyond it is shuffled.
@@ -44,6 +57,13 @@ def small_side(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of ``rows``: what a worker derives from one, and sends back, is small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise
+from gneiss.llm.common import materialise, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
         hung = large.join(least, "u").select("u", "v", "m")
         small = hung.select("u", F.col("m").alias("v")).union(hung.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         new = materialise(small, "small-star")
+        release(now, large)
         # done when no node hangs on a node that itself hangs: every tree is a star
         deep = new.join(new.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
         many = new.groupBy("u").count().where("count > 1").limit(1).count()
         now = new
         if not deep and not many:
             break
-    roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots).distinct()
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    out = materialise(now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(roots), "components")
+    release(now)
+    return out

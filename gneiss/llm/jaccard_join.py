@@ -16,7 +16,8 @@ d(A, B) = 1 - |A and B| / |A or B| is a metric; two documents link when d <= r.
   can link only if |d(x,p) - d(y,p)| <= r, so those outside r and the boundary members in
   their window form the region of the next level, which takes its own pivot. Regions whose
   members are all in one component are done. After ``levels`` levels the members that are
-  left meet in salted blocks, across components and inside the windows only.
+  left meet in salted blocks, across components and inside the windows only. Components are kept
+  from level to level as stars, to which the links of the next level are added.
 * Before two sets are compared, folded count vectors bound their intersection from above
   (the generalised Jaccard distance of the counts never exceeds d), which rejects nearly
   all chance pairs without moving sets. Pairs that stay are decided on the whole sets.
@@ -33,13 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise, small_side
+from gneiss.llm.common import BROADCAST_ROWS, materialise, release, sliced, small_side
 from gneiss.llm.components import components
 from gneiss.llm.shingles import mix, shingle_sets
 
 #: Most shingles in the list that is broadcast to order shingles, and the count from which one is listed:
-#: tasks put forward what they meet twice in some 4 million shingles, and these counts are added up.
-COMMON, COMMON_LEAST = 1_000_000, 8
+#: tasks put forward what they meet twice in some ``COMMON_SEEN`` shingles, and these counts are added up.
+COMMON, COMMON_LEAST, COMMON_SEEN = 1_000_000, 8, 2_000_000
 
 
 def _fold_width(n: int) -> int:
@@ -56,7 +57,7 @@ def _profiles(width: int):
 
     def run(batches):
         seen = []
-        for batch in batches:
+        for batch in sliced(batches):
             ids, ns, sigs, counts = batch.column(0), [], [], []
             for s in shingle_sets(batch.column(1), width):
                 ns.append(len(s))
@@ -64,7 +65,7 @@ def _profiles(width: int):
                 counts.append(np.minimum(np.bincount((s & np.uint64(_fold_width(len(s)) - 1)).astype(np.int64), minlength=_fold_width(len(s))), 255).astype(np.uint8).tobytes())
                 seen.append(s)
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(counts, pa.binary())], ["id", "n", "sig", "counts"])
-            if sum(map(len, seen)) > 4_000_000:
+            if sum(map(len, seen)) > COMMON_SEEN:
                 yield from _often(seen)
                 seen = []
         if seen:
@@ -81,13 +82,13 @@ def _often(sets: list[np.ndarray]):
 
 
 def _regions(width: int, percent: int, common):
-    """(s, sig, n, pos, rare): each distinct set of a task in the regions of its first shingles; ``rare``
-    is how many in a thousand of its shingles are not common."""
+    """(s, sig, n, pos, rare, hot): each distinct set of a task in the regions of its first shingles; ``rare``
+    is how many in a thousand of its shingles are not common, ``hot`` whether the region's shingle is common."""
 
     def run(batches):
         often, done = common.value, set()
-        for batch in batches:
-            out = [[], [], [], [], []]
+        for batch in sliced(batches):
+            out = [[], [], [], [], [], []]
             for s in shingle_sets(batch.column(0), width):
                 n = len(s)
                 if not n or (sig := int(_fingerprint(s))) in done:
@@ -103,20 +104,21 @@ def _regions(width: int, percent: int, common):
                 out[2].append(np.full(k, n, np.int32))
                 out[3].append(np.arange(k, dtype=np.int32))
                 out[4].append(np.full(k, 1000 * (n - int(last.sum())) // n, np.int32))
+                out[5].append(np.arange(k) >= n - int(last.sum()))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["s", "sig", "n", "pos", "rare"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["s", "sig", "n", "pos", "rare", "hot"])
 
     return run
 
 
 def _bounded(percent: int):
-    """Pairs with count vectors -> (a, b, dlo): the least distance their counts allow; those beyond the threshold have ``far``."""
+    """(ra, rb, na, nb, ca, cb, a, b) -> (ra, rb, dlo, far, a, b): ``dlo`` is the least distance that the count vectors
+    allow; pairs beyond the threshold by that are ``far``."""
 
     def run(batches):
-        for batch in batches:
-            a, b, na, nb, ca, cb = (batch.column(i) for i in range(6))
+        for batch in sliced(batches, 4096):
             lo, far = [], []
-            for n, m, x, y in zip(na.to_pylist(), nb.to_pylist(), ca.to_pylist(), cb.to_pylist(), strict=True):
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
                 width = min(len(x), len(y))
                 if max(x.max(), y.max()) == 255:
@@ -125,29 +127,34 @@ def _bounded(percent: int):
                     both = int(np.minimum(x.reshape(-1, width).sum(0), y.reshape(-1, width).sum(0)).sum())
                 lo.append(1 - both / (n + m - both))
                 far.append(100 * both < percent * (n + m - both))
-            yield pa.RecordBatch.from_arrays([a, b, pa.array(lo, pa.float64()), pa.array(far, pa.bool_())], ["a", "b", "dlo", "far"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(lo, pa.float64()), pa.array(far, pa.bool_()), batch.column(6), batch.column(7)], ["ra", "rb", "dlo", "far", "a", "b"]
+            )
 
     return run
 
 
 def _sets(width: int):
+    """(sig, items) of each text."""
+
     def run(batches):
-        for batch in batches:
-            sets = [s.view(np.int64) for s in shingle_sets(batch.column(1), width)]
+        for batch in sliced(batches):
+            sets = [s.view(np.int64) for s in shingle_sets(batch.column(0), width)]
             offsets = np.cumsum([0, *map(len, sets)])
+            sigs = pa.array([_fingerprint(s.view(np.uint64)) for s in sets], pa.int64())
             values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))], ["id", "items"])
+            yield pa.RecordBatch.from_arrays([sigs, pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))], ["sig", "items"])
 
     return run
 
 
 class JaccardJoin:
-    """The join of ``docs``; ``profiles``, ``links`` and ``members`` are its tables.
+    """The join of ``docs``; ``profiles``, ``joined`` and ``members`` are its tables.
 
     ``docs`` needs an integer ``id`` column and a ``text`` column; others are ignored.
     Null or empty texts and texts without words have an empty set and no links. Null ids
-    keep their row and link with nothing. Repeated rows are one set. An empty table gives
-    empty tables.
+    keep their row and link with nothing. Repeated rows are one set; rows of one id with several
+    texts are documents of their own, each in its text's component. An empty table gives empty tables.
     """
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, levels: int = 3, small: int = 64, block: int = 1024):
@@ -158,7 +165,7 @@ class JaccardJoin:
         self.points = materialise(
             self.profiles.where("n > 0 and id is not null").groupBy("sig", "n").agg(F.min("id").alias("rep"), F.first("counts").alias("counts")), "points"
         )
-        self.links = self._join()
+        self.joined = self._join()
 
     def _profile(self) -> DataFrame:
         made = materialise(self.texts.mapInArrow(_profiles(self.width), "id long, n long, sig long, counts binary"), "profiles")
@@ -175,7 +182,7 @@ class JaccardJoin:
         return f"100 * {both} >= {self.percent} * ({x}.n + {y}.n - {both})"
 
     def _measure(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, dlo, dhi) of distinct pairs of fingerprints: exact, or only a bound beyond r from below."""
+        """(a, b, dlo, dhi, linked) of distinct pairs of fingerprints: exact, or only a bound beyond r from below."""
         point = self.points
         with_counts = (
             pairs.select("a", "b")
@@ -183,57 +190,79 @@ class JaccardJoin:
             .join(point.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra"), F.col("counts").alias("ca")), "a")
             .join(point.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb"), F.col("counts").alias("cb")), "b")
         )
-        bound = materialise(with_counts.select("ra", "rb", "na", "nb", "ca", "cb", "a", "b").mapInArrow(_keep_ids(_bounded(self.percent)), "ra long, rb long, dlo double, far boolean, a long, b long"), "bounds")
+        kinds = "ra long, rb long, dlo double, far boolean, a long, b long"
+        bound = materialise(with_counts.select("ra", "rb", "na", "nb", "ca", "cb", "a", "b").mapInArrow(_bounded(self.percent), kinds), "bounds")
         near = bound.where("not far")
-        need = small_side(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
-        sets = materialise(self.texts.join(need, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_sets(self.width), "id long, items array<long>"), "sets")
+        need = materialise(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
+        few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+        # rows of one id may have other texts too: a set goes by its fingerprint
+        sets = self.texts.join(few, "id", "left_semi").select("text").mapInArrow(_sets(self.width), "sig long, items array<long>")
+        sets = materialise(sets.dropDuplicates(["sig"]), "sets")
         exact = (
-            near.join(sets.select(F.col("id").alias("ra"), F.col("items").alias("x")), "ra")
-            .join(sets.select(F.col("id").alias("rb"), F.col("items").alias("y")), "rb")
+            near.select("a", "b")
+            .join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
+            .join(sets.select(F.col("sig").alias("b"), F.col("items").alias("y")), "b")
             .withColumn("both", F.size(F.array_intersect("x", "y")))
             .withColumn("either", F.size("x") + F.size("y") - F.col("both"))
             .select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"), (100 * F.col("both") >= self.percent * F.col("either")).alias("linked"))
         )
         beyond = bound.where("far").select("a", "b", F.col("dlo"), F.lit(1.0).alias("dhi"), F.lit(False).alias("linked"))
-        return materialise(exact.select("a", "b", F.col("d").alias("dlo"), F.col("d").alias("dhi"), "linked").union(beyond), "measured")
-
-    def _join(self) -> DataFrame:
-        entries = self.texts.select("text").mapInArrow(_regions(self.width, self.percent, self.common), "s long, sig long, n int, pos int, rare int")
-        order = Window.partitionBy("s").orderBy("sig")
+        out = materialise(exact.select("a", "b", F.col("d").alias("dlo"), F.col("d").alias("dhi"), "linked").union(beyond), "measured")
+        release(bound, need, sets)
+        return out
+
+    def _regions(self) -> DataFrame:
+        """Entries of the regions that two sets share, each once. Entries meet by shingle; those of a common shingle, which is
+        known to be shared, by shingle and set, so that no task holds all sets of a shingle that many have."""
+        entries = self.texts.select("text").mapInArrow(_regions(self.width, self.percent, self.common), "s long, sig long, n int, pos int, rare int, hot boolean")
+        order = Window.partitionBy("s", F.when(F.col("hot"), F.col("sig")).otherwise(0)).orderBy("sig")
         region = (
             entries.withColumn("again", F.lag("sig").over(order).eqNullSafe(F.col("sig")))
             .where("not again")
             .withColumn("next", F.lead("sig").over(order))
             .withColumn("place", F.row_number().over(order))
-            .where("place > 1 or next is not null")
-            .select("s", "sig", "n", "pos", "rare")
+            .where("hot or place > 1 or next is not null")
         )
-        region = materialise(region, "regions")
-        links = None
+        return materialise(region.select("s", "sig", "n", "pos", "rare"), "regions")
+
+    def _join(self) -> DataFrame:
+        """(node, comp): the components that the links make, over all levels."""
+        region, joined = self._regions(), None
         for level in range(self.levels):
             pivot = region.groupBy("s").agg(F.min(F.struct("rare", "sig", "n", "pos")).alias("p")).select("s", "p.*")
             star = region.alias("x").join(pivot.withColumnRenamed("s", "ps").alias("p"), F.expr("x.s = p.ps")).where("x.sig <> p.sig")
             star = star.select("x.s", "x.sig", "x.n", "x.pos", "x.rare", F.col("p.sig").alias("pivot"), F.expr(self._near("x", "p")).alias("near"))
             measured = self._measure(star.where("near").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
-            new = measured.where("linked").select("a", "b")
-            links = new if links is None else links.union(new)
+            joined = self._joined(joined, measured.where("linked"))
             # those that the pivot rejected without measure are beyond r, and no more is known of them
             spread = star.join(measured.select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "dlo", "dhi", "linked"), ["sig", "pivot"], "left").select(
                 "s", "sig", "n", "pos", "rare", F.coalesce("dlo", F.lit(self.r)).alias("dlo"), F.coalesce("dhi", F.lit(1.0)).alias("dhi"), F.coalesce("linked", F.lit(False)).alias("home")
             )
-            joined = components(links)
             spread = spread.join(joined, spread.sig == joined.node, "left").select("s", "sig", "n", "pos", "rare", "dlo", "dhi", "home", F.coalesce("comp", "sig").alias("comp"))
             stats = spread.groupBy("s").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min(F.when(~F.col("home"), F.col("dlo"))).alias("edge"))
             # one component: done. Otherwise a home member stays where its window reaches someone outside
             left = spread.join(stats.where("size > 1 and c0 <> c1"), "s").where(f"not home or dhi + {self.r} + 1e-9 >= edge")
             left = materialise(left.select("s", "sig", "n", "pos", "rare", "dlo", "dhi", "comp", "size"), "left")
+            release(measured, region)
             small = left.where(f"size <= {self.small}") if level + 1 < self.levels else left
             found = self._measure(self._across(small))
-            links = materialise(links.union(found.where("linked").select("a", "b")), "links")
+            joined = self._joined(joined, found.where("linked"))
+            release(found)
             region = left.where(f"size > {self.small}").select("s", "sig", "n", "pos", "rare")
-            if level + 1 < self.levels and not region.limit(1).count():
+            if level + 1 == self.levels or not region.limit(1).count():
+                release(left)
                 break
-        return links
+            region = materialise(region, "regions")
+            release(left)
+        return joined
+
+    def _joined(self, before: DataFrame | None, links: DataFrame) -> DataFrame:
+        """Components of those ``before``, as stars, and of ``links``."""
+        edges = links.select("a", "b")
+        out = components(edges if before is None else edges.union(before.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        if before is not None:
+            release(before)
+        return out
 
     def _across(self, members: DataFrame) -> DataFrame:
         """Pairs of a region across components whose windows meet; a large region is dealt in blocks of ``block`` members."""
@@ -252,24 +281,13 @@ class JaccardJoin:
 
         A set without links is a component with its copies; a document without words is one by itself.
         """
-        joined = components(self.links)
+        joined = self.joined
         rep = self.points.join(joined, self.points.sig == joined.node, "left").select("sig", "n", F.coalesce("comp", "sig").alias("root"), "rep")
         least = rep.groupBy("root").agg(F.min("rep").alias("comp"))
         named = rep.join(least, "root").select("sig", "n", "comp")
         return self.profiles.join(named, ["sig", "n"], "left").select("id", "n", "sig", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"))
 
 
-def _keep_ids(bounded):
-    """Runs ``bounded`` on the first six columns and keeps the last two beside its result."""
-
-    def run(batches):
-        for batch in batches:
-            (out,) = bounded([batch])
-            yield pa.RecordBatch.from_arrays([*out.columns, batch.column(6), batch.column(7)], ["ra", "rb", "dlo", "far", "a", "b"])
-
-    return run
-
-
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see ``JaccardJoin``."""
     return JaccardJoin(docs, **options).members().select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))

@@ -19,7 +19,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that are hashed at once; one longer text is a chunk of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -65,9 +65,22 @@ def test_near_copies_of_all_distances(spark):
     check(df, levels=2, small=4, block=8)
 
 
-def test_links_are_within_reach(odd):
-    join = JaccardJoin(odd)
-    assert {(min(a, b), max(a, b)) for a, b in join.links.collect()} == {(min(a, b), max(a, b)) for a, b in join.links.distinct().collect()}
+def test_rows_of_one_id_with_several_texts_keep_their_links(spark):
+    """Each row is a document of its own: which of an id's texts is compared is no matter of chance."""
+    base = " ".join(f"b{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(1, other), (1, base), (2, base + " tail"), (3, base + " other tail"), (4, other + " x"), (1, other)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted((r.id, r.n, r.comp) for r in JaccardJoin(df).members().collect())
+        assert got == [(1, 56, 1), (1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 58, 1), (4, 57, 1)]
+
+
+def test_a_passage_that_all_share(spark):
+    """Its shingles are common, so their regions are not gathered by shingle; single and repeated sets stay as they are."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} u{i}") for i in range(300)] + [(1000 + i, f"{passage} " + " ".join(f"v{i}x{k}" for k in range(60))) for i in range(300)] + [(2000 + i, f"{passage} u0") for i in range(50)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
 
 
 def test_components(spark):
