@@ -25,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gneiss.llm.common import sliced
+
 DIMS, MOST_LANGS, UNDETERMINED = 4096, 500, "und"
 #: Texts of one matrix, and characters after which a matrix is closed early.
-BATCH, BATCH_CHARS = 256, 1_000_000
+BATCH, BATCH_CHARS = 256, 250_000
 #: Where bands of different n-grams end, and characters of the excerpts that fill the bands of short texts.
 BANDS, EXCERPTS = (10, 20, 40, 80, 160, 320, 640, 1280), (8, 16, 32, 64, 128, 256, 512, 1024)
 #: A radius is this quantile of distances and this share of the way from there to 1, the distance of texts without a common n-gram.
@@ -160,7 +162,7 @@ class LanguageModel:
 
         def seen(batches):
             df, n = np.zeros(DIMS, np.int64), 0
-            for batch in batches:
+            for batch in sliced(batches):
                 for texts in _batches(batch.column(0).to_pylist()):
                     df += (counts(texts) > 0).sum(0)
                     n += len(texts)
@@ -202,7 +204,7 @@ class LanguageModel:
         model = docs.sparkSession.sparkContext.broadcast(self)
 
         def run(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 found = model.value.score(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([bool(f[2]) for f in found], pa.bool_())],
@@ -225,7 +227,7 @@ def keep_known(docs: DataFrame, **options) -> DataFrame:
 
     def run(batches):
         at = names.index("text")
-        for batch in batches:
+        for batch in sliced(batches):
             keep = [not f[2] for f in known.value.score(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
