@@ -1,9 +1,9 @@
 """Chat formatting of reply trees.
 
 Messages with a parent form trees. Paths from the root to each leaf are found by iterative self-joins:
-every leaf starts with itself, and in round k each path is extended by the ancestors that lie up to
-2^k above its oldest message, while each message's pointer doubles its reach; a tree of depth d takes
-log2(d) rounds and no more rows than its paths hold. Branches are ranked by the mean score of their
+first pointers that double their reach find each message's depth and leave out cycles; then every leaf starts
+with itself, and in round k each path is extended by the ancestors that lie up to 2^k above its oldest
+message. A tree of depth d takes log2(d) rounds and no more rows than its paths hold. Branches are ranked by the mean score of their
 messages, and the chosen ones are each formatted as one conversation.
 
 The template is ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn. Inside roles and texts a backslash is
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise
+from gneiss.llm.common import materialise, release, sliced
 
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 _TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.S)
@@ -43,30 +43,55 @@ def unescape_role(s: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], s, flags=re.S)
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, message, up): the messages from each leaf up to its root, ``up`` steps above the leaf.
+def rooted(messages: DataFrame) -> DataFrame:
+    """(tree, message, parent, depth): the messages from which a root is reached, ``depth`` steps below it.
 
-    ``messages`` has tree, message, parent (null at a root; a parent that is no message of the tree also
-    makes a root). Messages on a cycle have no root and no path.
+    Every message points at its parent; in each round a pointer that has not reached a root takes over the one of the
+    message it points at, so that its reach doubles. A round in which no pointer reaches a root is the last: what is
+    left lies on a cycle or below one. The table never has more rows than messages.
     """
     m = messages.select("tree", "message", "parent").where("tree is not null and message is not null").dropDuplicates(["tree", "message"])
     known = m.select(F.col("tree").alias("t"), F.col("message").alias("p"))
     m = m.join(known, (m.tree == known.t) & (m.parent == known.p), "left").select("tree", "message", F.col("p").alias("parent"))
-    m = materialise(m, "messages")
+    at = m.withColumn("high", F.coalesce("parent", "message")).withColumn("depth", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long"))
+    now, found = materialise(at.withColumn("done", F.col("parent").isNull()), "pointers"), -1
+    while True:
+        done = now.where("done").count()
+        if done == found:
+            break
+        found = done
+        above = now.select("tree", F.col("message").alias("high"), F.col("high").alias("far"), F.col("depth").alias("more"), F.col("done").alias("ends"))
+        step = now.where("not done").join(above, ["tree", "high"]).select("tree", "message", "parent", F.col("far").alias("high"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done"))
+        new = materialise(now.where("done").select("tree", "message", "parent", "high", "depth", "done").union(step), "pointers")
+        release(now)
+        now = new
+    return now.where("done").select("tree", "message", "parent", "depth")
+
+
+def leaf_paths(messages: DataFrame) -> DataFrame:
+    """(tree, leaf, message, up): the messages from each leaf up to its root, ``up`` steps above the leaf.
+
+    ``messages`` has tree, message, parent (null at a root; a parent that is no message of the tree also
+    makes a root). Messages on a cycle or below one have no root and no path; they are left out before paths are made.
+    """
+    m = materialise(rooted(messages), "messages")
+    deepest = m.agg(F.max("depth")).first()[0] or 0
     leaves = m.join(m.select("tree", F.col("parent").alias("message")).where("message is not null").distinct(), ["tree", "message"], "left_anti")
     paths = leaves.select("tree", F.col("message").alias("leaf"), "message", F.lit(0).cast("long").alias("up"))
     # jump: the ancestor ``reach`` steps above a message
     jump, reach = m.where("parent is not null").select("tree", F.col("message").alias("low"), F.col("parent").alias("high")), 1
-    while jump.limit(1).count():
+    while reach <= deepest:
         longer = paths.join(jump.withColumnRenamed("low", "message"), ["tree", "message"]).select("tree", "leaf", F.col("high").alias("message"), (F.col("up") + reach).alias("up"))
-        paths = materialise(paths.union(longer), "paths")
-        far = jump.select("tree", F.col("low").alias("high"), F.col("high").alias("far"))
-        jump = materialise(jump.join(far, ["tree", "high"]).select("tree", "low", F.col("far").alias("high")), "jump")
+        longer = materialise(paths.union(longer), "paths")
+        release(paths)
+        paths = longer
+        if 2 * reach <= deepest:
+            far = jump.select("tree", F.col("low").alias("high"), F.col("high").alias("far"))
+            further = materialise(jump.join(far, ["tree", "high"]).select("tree", "low", F.col("far").alias("high")), "jump")
+            release(jump)
+            jump = further
         reach *= 2
-        if reach > 1 << 40:  # what still jumps is on a cycle and under no leaf's root
-            break
-    rooted = paths.join(m.where("parent is null").select("tree", "message"), ["tree", "message"], "left_semi").select("tree", "leaf")
-    return paths.join(rooted, ["tree", "leaf"], "left_semi")
+    return paths
 
 
 def ranked_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
@@ -95,7 +120,7 @@ def formatted(messages: DataFrame, keep: int = 1) -> DataFrame:
     told = turns.groupBy("tree", "leaf", "branch").agg(F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts, masks, counts = [], [], []
             for turns in batch.column(3).to_pylist():
                 parts, mask, at = [], [], 0
@@ -134,7 +159,7 @@ def digests(conversations: DataFrame) -> DataFrame:
     """(tree, branch, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), read back from formatted texts and masks."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for text, mask in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 turns = read_back(text)
@@ -155,9 +180,11 @@ def chained(rows: DataFrame) -> DataFrame:
     """Reply trees from plain conversations (conv_id, turn, role, text): each row replies to the one before it.
 
     Rows lie by turn, null turns first, rows of one turn by role and text; repeated rows are turns of
-    their own. Rows of null conv_id are one conversation.
+    their own. A row without conv_id belongs to no other: it is a conversation by itself, in a tree named after
+    its place in the table.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("tree"), "turn", "role", "text")
+    alone = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    rows = rows.select(F.coalesce(F.col("conv_id").cast("string"), alone).alias("tree"), "turn", "role", "text")
     at = rows.withColumn("message", F.row_number().over(order).cast("long"))
     return at.select("tree", "message", F.when(F.col("message") > 1, F.col("message") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))

@@ -177,7 +177,58 @@ def test_long_chain_and_odd_turns(spark):
     got = {r.tree: r for r in chat.digests(chat.formatted(chat.chained(d))).collect()}
     told = "".join(f"{'user' if i % 2 else 'assistant'}\nturn {i}\n" for i in range(300))
     assert got["1"].n_turns == 300 and got["1"].turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
-    assert got["2"].n_turns == 3 and got["2"].loss_chars == 2 and got[""].loss_chars == 0
+    assert got["2"].n_turns == 3 and got["2"].loss_chars == 2
+
+
+def test_odd_conversations(spark):
+    """Rows without an id stand alone, a very long text is whole, columns of clashing names do no harm."""
+    long = "wort <|im_end|> \\ " * 60_000
+    rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (7, 0, "user", long), (7, 1, "assistant", long), (8, 0, None, None)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as tree", "2 as message", "3 as parent", "'x' as leaf", "0 as up", "0 as score", "0 as high", "0 as depth")
+    made = chat.formatted(chat.chained(d))
+    got = sorted((r.n_turns, r.loss_chars) for r in chat.digests(made).collect())
+    assert got == [(1, 0), (1, 0), (1, 0), (1, 1), (2, len(long))]
+
+
+def brute_paths(rows):
+    """The paths from a root to each leaf, by walking up from every message that is no parent."""
+    by = {(t, m): p for t, m, p in rows}
+    parents = {(t, p) for (t, _), p in by.items()}
+    out = {}
+    for t, m in by:
+        if (t, m) in parents:
+            continue
+        path, at = [], m
+        while at is not None and (t, at) in by and at not in path:
+            path.append(at)
+            at = by[t, at]
+        if at is None or (t, at) not in by:
+            out[t, m] = path
+    return out
+
+
+def test_paths_are_those_of_a_walk(spark):
+    rnd, rows = random.Random(4), [("c", 1, 2), ("c", 2, 1), ("c", 3, 1), ("c", 4, 3), ("s", 1, 1), ("s", 2, 1), ("s", 3, None), ("s", 4, 3)]
+    for t in range(6):
+        n = rnd.choice([1, 5, 40])
+        rows += [(f"t{t}", i, rnd.choice([None, *range(n)]) if i else None) for i in range(n)]
+    rows += [("deep", i, i - 1 if i else None) for i in range(70)]
+    m = spark.createDataFrame(rows, "tree string, message long, parent long")
+    got = {}
+    for r in chat.leaf_paths(m).orderBy("up").collect():
+        got.setdefault((r.tree, r.leaf), []).append(r.message)
+    assert got == brute_paths(rows)
+
+
+def test_branches_are_ranked_by_mean_score(spark):
+    rnd = random.Random(6)
+    rows = [("t", i, rnd.randrange(i) if i else None, "user", f"m{i}", rnd.choice([None, 0.0, 1.0, 2.5])) for i in range(40)]
+    m = spark.createDataFrame(rows, "tree string, message long, parent long, role string, text string, score double")
+    score = {r[1]: r[5] or 0.0 for r in rows}
+    paths = brute_paths([r[:3] for r in rows])
+    order = sorted(paths, key=lambda k: (-sum(score[x] for x in paths[k]) / len(paths[k]), -len(paths[k]), k[1]))
+    got = {r.branch: (r.tree, r.leaf) for r in chat.ranked_paths(m, keep=3).select("tree", "leaf", "branch").distinct().collect()}
+    assert [got[k] for k in (1, 2, 3)] == order[:3]
 
 
 def test_fixity(spark, none):
