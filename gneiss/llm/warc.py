@@ -1,45 +1,71 @@
 """Merkle fixity audit of WARC records.
 
-``records`` lays pages out as WARC/1.1 response records in files, each with its offset and length.
-``merkle`` hashes records and, level by level, ordered ranges of ``fanout`` children, where a node's hash
-covers the offsets, lengths and hashes below it: a file's root stands for all of its bytes in their order.
-``audit`` compares the roots of two replicas and descends, a join a level, only into nodes that differ,
-until it stands at the records that differ.
-
-Records lie in files by their key's hash, some ``per_file`` in each, so no file grows with the input.
+``records`` lays pages out as WARC/1.1 response records in files, each with its offset and length. Files hold ranges of
+the records' key hashes, and a file's records lie in order of these hashes, so that every node of the tree, a prefix of
+the hash, is one ordered range of offsets. ``merkle`` hashes records and, level by level, the ranges of ``fanout``
+children, where a node's hash covers the lengths and hashes below it in their order: a file's root stands for all of its bytes.
+``audit`` compares the roots of two replicas and descends, a join a level, only into nodes that differ. A lost or added record
+shifts the offsets behind it but changes its own branch only; below a leaf that differs records meet by key.
+
+No file grows with the input: there are as many as ``files_for`` says, some ``per_file`` records in each.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import hash_long, materialise
+from gneiss.llm.common import hash_long, materialise, release
+
+#: Key hashes are of 60 bits; a file's range is cut in ``FANOUT`` parts, each of these again, ``DEPTH`` times.
+HASHES, FANOUT, DEPTH = 1 << 60, 16, 2
+DATE = "2020-01-01T00:00:00Z"
+
+
+def payload(key: Column, url: Column, body: Column, date: str = DATE) -> Column:
+    """A response record without its last two line ends; null url or body count as empty. The record id is of the key and the url."""
+    body, url = F.coalesce(body, F.lit("")), F.coalesce(url, F.lit(""))
+    h = F.md5(F.concat_ws(" ", F.lit("record"), F.coalesce(key.cast("string"), F.lit("")), url))
+    part = lambda a, n: F.substring(h, a, n)
+    name = F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12)), F.lit(">"))
+    return F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), name, F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.regexp_replace(url, "[\r\n]", " "),
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body,
+    )
 
 
-def payload(url: Column, body: Column) -> Column:
-    """The bytes of a response record but for its identity; null url or body count as empty."""
-    body = F.coalesce(body, F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n")
-    )
-    return F.concat(head, body, F.lit("\r\n\r\n"))
+END = "\r\n\r\n"
+
+
+def laid_out(pages: DataFrame, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+    """(key, raw, sha256, place_hash, file, bucket) of each row: the record, and where its key's hash puts it.
+
+    A row of null key goes by its record's digest. Other columns are ignored.
+    """
+    raw = payload(pages[key], pages[url].cast("string"), pages[body].cast("string"))
+    width, buckets = -(-HASHES // files), FANOUT**DEPTH
+    r = pages.select(pages[key].cast("long").alias("key"), raw.alias("raw"), F.sha2(F.concat(raw, F.lit(END)).cast("binary"), 256).alias("sha256"))
+    r = r.withColumn("place_hash", hash_long(F.lit("file"), F.coalesce(F.col("key").cast("string"), F.col("sha256"))))
+    r = r.withColumn("file", F.expr(f"place_hash div {width}"))
+    return r.withColumn("bucket", F.least(F.expr(f"(place_hash % {width}) div {-(-width // buckets)}"), F.lit(buckets - 1)))
 
 
 def records(pages: DataFrame, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
-    """(file, key, place, offset, length, sha256): the records of each file in order of their keys.
+    """(file, bucket, key, place, offset, length, sha256): the records of each file in order of their keys' hashes.
 
-    Rows of null key come first in their file; repeated rows are records of their own. Other columns are
-    ignored; an empty table has no records. Only hashes and lengths are shuffled, not the bodies.
+    Repeated rows are records of their own; an empty table has no records. Only hashes and lengths are
+    shuffled, not the bodies. Rows that share a key share a file.
     """
-    raw = payload(pages[url].cast("string"), pages[body].cast("string"))
-    r = pages.select(pages[key].cast("long").alias("key"), F.octet_length(raw).cast("long").alias("length"), F.sha2(raw.cast("binary"), 256).alias("sha256"))
-    r = r.withColumn("file", F.pmod(hash_long(F.lit("file"), F.col("key")), F.lit(files)))
-    order = Window.partitionBy("file").orderBy("key", "sha256")
+    r = laid_out(pages, files, key, url, body)
+    r = r.select("file", "bucket", "key", "place_hash", (F.octet_length("raw") + len(END)).cast("long").alias("length"), "sha256")
+    order = Window.partitionBy("file").orderBy("place_hash", "key", "sha256")
     before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return r.select("file", "key", (F.row_number().over(order) - 1).cast("long").alias("place"), before.alias("offset"), "length", "sha256")
+    return r.select("file", "bucket", "key", (F.row_number().over(order) - 1).cast("long").alias("place"), before.alias("offset"), "length", "sha256")
 
 
 def files_for(pages: DataFrame, per_file: int = 1024) -> int:
@@ -47,45 +73,99 @@ def files_for(pages: DataFrame, per_file: int = 1024) -> int:
     return max(1, math.ceil(pages.count() / per_file))
 
 
-def merkle(leaves: DataFrame, fanout: int = 16) -> DataFrame:
-    """(file, level, node, offset, length, sha256) of every range; level 0 holds the records, the last a root for each file."""
-    level = leaves.select("file", F.lit(0).alias("level"), F.col("place").alias("node"), "offset", "length", "sha256")
-    out, depth = [level], 0
-    widest = leaves.agg(F.max("place")).first()[0]
-    while widest is not None and (widest > 0 or depth == 0):
-        depth, widest = depth + 1, widest // fanout
-        below = F.sort_array(F.collect_list(F.struct("node", "offset", "length", "sha256")))
-        level = level.groupBy("file", F.floor(F.col("node") / fanout).alias("node")).agg(below.alias("b"))
-        told = F.array_join(F.transform("b", lambda x: F.concat_ws(":", x["offset"].cast("string"), x["length"].cast("string"), x["sha256"])), "\n")
-        level = level.select("file", F.lit(depth).alias("level"), "node", F.element_at("b", 1)["offset"].alias("offset"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("length"), F.sha2(told, 256).alias("sha256"))
+def merkle(leaves: DataFrame) -> DataFrame:
+    """(file, level, node, offset, length, sha256) of every range: level 1 holds the buckets, level ``DEPTH`` + 1 a root for each file."""
+    below = F.sort_array(F.collect_list(F.struct("place", "length", "sha256", "offset")))
+    level = leaves.groupBy("file", F.col("bucket").alias("node")).agg(below.alias("b"))
+    out = []
+    for depth in range(1, DEPTH + 2):
+        told = F.array_join(F.transform("b", lambda x: F.concat_ws(":", x["length"].cast("string"), x["sha256"])), "\n")
+        total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["length"])
+        level = level.select("file", F.lit(depth).alias("level"), "node", F.element_at("b", 1)["offset"].alias("offset"), total.alias("length"), F.sha2(told, 256).alias("sha256"))
         out.append(level)
+        children = F.sort_array(F.collect_list(F.struct(F.col("node").alias("place"), "length", "sha256", "offset")))
+        level = level.groupBy("file", F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("b"))
     tree = out[0]
     for x in out[1:]:
         tree = tree.union(x)
     return tree
 
 
-def audit(ours: DataFrame, theirs: DataFrame, fanout: int = 16) -> DataFrame:
-    """(file, place, key, state, offset, length, sha256, their_*): the records in which two replicas differ.
+def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(file, key, state, place, offset, length, sha256, their_*): the records in which two replicas differ.
 
     ``ours`` and ``theirs`` are ``records`` of the same number of files. state: ``changed``, or where only one
-    has a record at this place ``missing`` (theirs lacks it) or ``surplus``. Equal roots end a file's audit;
-    below a root that differs, only differing nodes are opened.
+    has a record of this key ``missing`` (theirs lacks it) or ``surplus``. Equal roots end a file's audit; below
+    a root that differs, only differing nodes are opened. In a bucket that differs equal records cancel out, as often as both have
+    them, and what is left meets by key; of several records of a key the k-th by digest meets the k-th.
     """
     a, b = materialise(ours, "ours"), materialise(theirs, "theirs")
-    ta, tb = materialise(merkle(a, fanout), "tree"), materialise(merkle(b, fanout), "tree")
-    top = max(ta.agg(F.max("level")).first()[0] or 0, tb.agg(F.max("level")).first()[0] or 0)
+    ta, tb = materialise(merkle(a), "tree"), materialise(merkle(b), "tree")
     suspect = None
-    for depth in range(top, -1, -1):
-        x = ta.where(F.col("level") == depth).select("file", "node", "offset", "length", "sha256")
-        y = tb.where(F.col("level") == depth).select("file", "node", F.col("offset").alias("o"), F.col("length").alias("l"), F.col("sha256").alias("h"))
+    for depth in range(DEPTH + 1, 0, -1):
+        x = ta.where(F.col("level") == depth).select("file", "node", "sha256")
+        y = tb.where(F.col("level") == depth).select("file", "node", F.col("sha256").alias("h"))
         if suspect is not None:
-            below = suspect.select("file", F.explode(F.sequence(F.col("node") * fanout, F.col("node") * fanout + fanout - 1)).alias("node"))
+            below = suspect.select("file", F.explode(F.sequence(F.col("node") * FANOUT, F.col("node") * FANOUT + FANOUT - 1)).alias("node"))
             x, y = x.join(below, ["file", "node"], "left_semi"), y.join(below, ["file", "node"], "left_semi")
-        differ = x.join(y, ["file", "node"], "full").where("not (sha256 <=> h and offset <=> o and length <=> l)")
-        suspect = materialise(differ.select("file", "node"), "suspect")
-    at = suspect.withColumnRenamed("node", "place")
-    mine = a.join(at, ["file", "place"], "left_semi")
-    other = b.join(at, ["file", "place"], "left_semi").select("file", "place", F.col("key").alias("their_key"), F.col("offset").alias("their_offset"), F.col("length").alias("their_length"), F.col("sha256").alias("their_sha256"))
+        differ = materialise(x.join(y, ["file", "node"], "full").where("not (sha256 <=> h)").select("file", "node"), "suspect")
+        release(suspect) if suspect is not None else None
+        suspect = differ
+    release(ta, tb)
+    at = suspect.withColumnRenamed("node", "bucket")
+    nth = Window.partitionBy("file", "bucket", "key", "sha256").orderBy("place")
+    side = lambda t: t.join(at, ["file", "bucket"], "left_semi").withColumn("nth", F.row_number().over(nth))
+    x, y = materialise(side(a), "ours-open"), materialise(side(b), "theirs-open")
+    release(a, b, suspect)
+    same = (x.file == y.file) & x.key.eqNullSafe(y.key) & (x.sha256 == y.sha256) & (x.nth == y.nth)
+    turn = Window.partitionBy("file", "key").orderBy("sha256", "nth")
+    mine = x.join(y, same, "left_anti").withColumn("turn", F.row_number().over(turn)).drop("bucket", "nth")
+    other = y.join(x, same, "left_anti").withColumn("turn", F.row_number().over(turn))
+    other = other.select(F.col("file").alias("f"), F.col("key").alias("k"), F.col("turn").alias("t"), F.col("place").alias("their_place"), F.col("offset").alias("their_offset"), F.col("length").alias("their_length"), F.col("sha256").alias("their_sha256"))
     state = F.when(F.col("sha256").isNull(), "surplus").when(F.col("their_sha256").isNull(), "missing").otherwise("changed")
-    return mine.join(other, ["file", "place"], "full").withColumn("state", state)
+    both = mine.join(other, (mine.file == other.f) & mine.key.eqNullSafe(other.k) & (mine.turn == other.t), "full")
+    return both.select(F.coalesce("file", "f").alias("file"), F.coalesce("key", "k").alias("key"), state.alias("state"), "place", "offset", "length", "sha256", "their_place", "their_offset", "their_length", "their_sha256")
+
+
+def write_warc(pages: DataFrame, path: str, files: int, key: str = "page_id", url: str = "url", body: str = "html") -> None:
+    """Write ``pages`` as WARC files below ``path``, a folder for each, as ``records`` lays them out."""
+    r = laid_out(pages, files, key, url, body)
+    out = r.repartition(files, "file").sortWithinPartitions("file", "place_hash", "key", "sha256")
+    out.select("file", F.col("raw").alias("value")).write.partitionBy("file").option("lineSep", END).mode("overwrite").text(path)
+
+
+_HEADER = re.compile(rb"^([^:\r\n]+):[ \t]*([^\r\n]*)\r\n", re.M)
+
+
+def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers, body) of the records of a WARC file; header names are in lower case. What follows
+    a record that does not end as its length says is one last record of type ``broken``."""
+    at = 0
+    while at < len(data):
+        head = data.find(END.encode(), at)
+        found = {k.decode("utf-8", "replace").strip().lower(): v.decode("utf-8", "replace") for k, v in _HEADER.findall(data[at : head + 2])} if head >= 0 else {}
+        size = found.get("content-length", "")
+        stop = head + len(END) + int(size) if size.isdigit() else -1
+        if not data.startswith(b"WARC/", at) or stop < 0 or data[stop : stop + len(END)] != END.encode():
+            yield at, len(data) - at, {"warc-type": "broken"}, data[at:]
+            return
+        yield at, stop + len(END) - at, found, data[head + len(END) : stop]
+        at = stop + len(END)
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, length, type, uri, date, record_id, body, sha256) of the records of all files below ``path``. A file is read
+    whole by one task, so files should be of the usual size of an archive's, a gigabyte at most."""
+    import hashlib
+
+    def run(batches):
+        for batch in batches:
+            for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = [(p, at, n, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-record-id"), b.decode("utf-8", "replace"), hashlib.sha256(content[at : at + n]).hexdigest()) for at, n, h, b in parsed(content)]
+                for i in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + 256]], schema)
+
+    names = ["path", "offset", "length", "type", "uri", "date", "record_id", "body", "sha256"]
+    schema = pa.schema([(n, pa.int64() if n in ("offset", "length") else pa.string()) for n in names])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    return files.mapInArrow(run, "path string, offset long, length long, type string, uri string, date string, record_id string, body string, sha256 string")

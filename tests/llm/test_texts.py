@@ -13,7 +13,7 @@ from gneiss.llm import chat, registry
 from gneiss.llm.decontaminate import Items, budget, keep_clean, leaks
 from gneiss.llm.jaccard_join import jaccard_components
 from gneiss.llm.langid import LanguageModel, cluster, drawn, held_out, keep_known
-from gneiss.llm.warc import audit, files_for, merkle, records
+from gneiss.llm.warc import audit, files_for, merkle, read_warc, records, write_warc
 
 
 def test_languages_are_told_apart_on_held_out_rows(spark, odd, none):
@@ -231,23 +231,55 @@ def test_branches_are_ranked_by_mean_score(spark):
     assert [got[k] for k in (1, 2, 3)] == order[:3]
 
 
-def test_fixity(spark, none):
-    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(300)] + [(None, None, None), (5, "http://h/5", "<p>again</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+def brute_audit(ours, theirs):
+    """State by key of plain rows (key, url, body): what is left when equal rows cancel out."""
+    from collections import Counter
+
+    a, b = Counter(ours), Counter(theirs)
+    left, right = Counter(k for k, _, _ in (a - b).elements()), Counter(k for k, _, _ in (b - a).elements())
+    out = Counter()
+    for k in {*left, *right}:
+        both = min(left[k], right[k])
+        out += Counter({(k, "changed"): both, (k, "missing"): left[k] - both, (k, "surplus"): right[k] - both})
+    return out
+
+
+def test_fixity(spark):
+    from collections import Counter
+
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(300)] + [(None, None, None), (None, "u", "x"), (5, "http://h/5", "<p>again</p>"), (6, "http://h/6", "<p>6</p>" * 6), (900, "http://long", "wort \r\n\r\n" * 150_000)]
+    frame = lambda r: spark.createDataFrame(r, "page_id long, url string, html string").selectExpr("*", "0 as file", "'x' as key", "0 as place", "'y' as sha256")
+    pages = frame(rows)
     files = files_for(pages, per_file=64)
     a = records(pages, files)
     assert audit(a, records(pages.repartition(3), files)).count() == 0
-    rotten = pages.withColumn("html", F.when(F.col("page_id").isin(17, 200), F.translate("html", "p", "q")).otherwise(F.col("html")))
-    assert {(r.key, r.state) for r in audit(a, records(rotten, files)).collect()} == {(17, "changed"), (200, "changed")}
-    last = a.where("place = 0").agg(F.max("key")).first()[0]
-    lost = audit(a, records(pages.where(F.col("page_id") != last), files)).collect()
-    assert any(r.state == "missing" for r in lost)
-    want = [hashlib.sha256((f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://h/{i}\r\nContent-Type: text/html\r\nContent-Length: {len(h)}\r\n\r\n" + h + "\r\n\r\n").encode()).hexdigest() for i, _, h in rows[:300]]
-    assert set(want) <= {r.sha256 for r in a.collect()}
-    top = merkle(a).groupBy("file").agg(F.max("level").alias("l")).collect()
-    assert len({r.l for r in top}) == 1
+    rnd = random.Random(8)
+    for _ in range(2):
+        lost = set(rnd.sample(range(300), 3))
+        other = [(k, u, (h or "") + "!" if k in (17, 200, 900) else h) for k, u, h in rows if k not in lost] + [(1000 + rnd.randrange(9), "new", "new"), (5, "http://h/5", "third")]
+        got = Counter((r.key, r.state) for r in audit(a, records(frame(other), files)).collect())
+        assert got == brute_audit(rows, other) and len(got) >= 7
+    r = {x.key: x for x in audit(a, records(frame(rows[:100] + rows[101:]), files)).collect()}
+    assert set(r) == {100} and r[100].state == "missing" and r[100].their_offset is None
+    top = merkle(a).where("level = 3").collect()
+    whole = {x.file: x.n for x in a.groupBy("file").agg(F.sum("length").alias("n")).collect()}
+    assert {x.file: x.length for x in top} == whole and all(x.offset == 0 for x in top)
     empty = records(pages.where("false"), 1)
-    assert audit(empty, empty).count() == 0 and audit(a, empty).count() == 302
+    assert audit(empty, empty).count() == 0 and audit(records(pages, 1), empty).count() == len(rows)
+
+
+def test_warc_files_are_read_back(spark, tmp_path):
+    rows = [(i, f"http://h/{i}", f"<p>{i}</p>\r\n\r\n" * (i % 5)) for i in range(40)] + [(None, None, None), (41, "http://ü", "ä\n" * 9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    write_warc(pages, str(tmp_path / "w"), 3)
+    got = read_warc(spark, str(tmp_path / "w")).collect()
+    want = {(r.offset, r.length, r.sha256) for r in records(pages, 3).collect()}
+    assert {(r.offset, r.length, r.sha256) for r in got} == want and len(got) == len(rows)
+    assert {(r.uri, r.body) for r in got} == {(u or "", h or "") for _, u, h in rows}
+    assert all(r.type == "response" and r.record_id.startswith("<urn:uuid:") for r in got)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 99\r\n\r\nshort")
+    assert [r.type for r in read_warc(spark, str(tmp_path / "b")).collect()] == ["broken"]
 
 
 def test_pipeline(spark):
