@@ -10,5 +10,5 @@ def op7_pii(spark, sf_dir):
 
 QUERIES = {"op7_pii": op7_pii}
 
-#: The collision checks draw again until none is left, which SQL can't say; tests compare with brute force.
+#: The collision checks draw again until none is left, which SQL can't say; tests replace entity by entity in Python and check forms and coreference.
 ORACLES = {}
