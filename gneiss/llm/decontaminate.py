@@ -6,13 +6,16 @@ that differ by e at most. Diagonals are dealt in overlapping bands, each twice e
 every e + 1, so that some band holds them all. Bands with that many shared q-grams are regions; each
 is verified by a banded alignment of the item with the text around it.
 
-Texts are compared as UTF-8 bytes of their lower case, each white space as one space; an edit is one byte,
-and places count in those bytes. The items are searched in blocks of at most ``BLOCK_BYTES``, each of which is
-broadcast; every document is read whole against every block.
+Texts are compared as UTF-8 bytes of their lower case, each run of white space as one space; an edit is one byte,
+and places count in those bytes. An item of more than ``SEGMENT`` bytes is searched by overlapping segments, so that a
+document that holds a long passage of it is found; an item too short for a q-gram of evidence beside an edit (fewer than
+``LEAST`` bytes) is searched exactly, as whole words. The items are searched in blocks of at most ``BLOCK_BYTES``,
+each of which is broadcast and indexed once in a Python worker; every document is read whole against every block.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -20,21 +23,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import small_side
+from gneiss.llm.common import materialise, sliced
 from gneiss.llm.shingles import chunks, text_buffers
 
 Q = 8
-#: Edits in a byte of an item, and the least bytes of an item that is searched for: a shorter one is no evidence.
+#: Edits in a byte of an item, and the bytes from which an item may have any: a shorter one is searched exactly.
 RATE, LEAST = 0.07, 40
+#: Bytes of a segment of a long item; segments begin every half of it.
+SEGMENT = 512
 #: Bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 16_000_000
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[[0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0x20
-_SLOTS = 22
-
-
-def fold(data: np.ndarray) -> np.ndarray:
-    return _FOLD[data]
+BLOCK_BYTES = 4_000_000
+#: (place of a q-gram in a text, item that holds it) pairs that are held at once.
+MOST_HITS = 2_000_000
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+_SLOTS = 20
+
+
+def fold(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``data`` with each run of white space as one space, and the ``offsets`` of its rows; runs end with their row."""
+    space = _SPACE[data]
+    again = np.zeros(len(data), bool)
+    again[1:] = space[1:] & space[:-1]
+    again[offsets[:-1][offsets[:-1] < len(data)]] = False
+    kept = np.concatenate([[0], np.cumsum(~again)])
+    out = np.where(space, np.uint8(0x20), data)[~again]
+    return out, kept[offsets]
 
 
 def budget(m: int, rate: float = RATE) -> int:
@@ -53,12 +69,20 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
+def _pieces(b: np.ndarray) -> list[np.ndarray]:
+    """An item, or its overlapping segments if it is long; the last one ends with the item."""
+    if len(b) <= SEGMENT:
+        return [b]
+    starts = [*range(0, len(b) - SEGMENT, SEGMENT // 2), len(b) - SEGMENT]
+    return [b[i : i + SEGMENT] for i in starts]
+
+
 class Items:
-    """A block of benchmark items, indexed by q-gram."""
+    """A block of benchmark items (id, text), indexed by q-gram."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, least: int = LEAST):
-        folded = [(i, _strip(fold(np.frombuffer(t.encode(), np.uint8)))) for i, t in items if t]
-        self.items = [(i, b) for i, b in folded if len(b) >= max(least, 2 * Q)]
+    def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
+        known = [(i, _folded(t)) for i, t in items if t]
+        self.items = [(i, p) for i, b in known if len(b) >= LEAST for p in _pieces(b)]
         self.edits = np.array([budget(len(b), rate) for _, b in self.items], np.int64)
         self.needed = np.array([max(1, len(b) - Q + 1 - Q * e) for (_, b), e in zip(self.items, self.edits, strict=True)], np.int64)
         codes = [_codes(b) for _, b in self.items]
@@ -66,17 +90,31 @@ class Items:
         place = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.zeros(0, np.int64)
         flat = np.concatenate(codes) if codes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
-        self.own, self.place = own[order], place[order]
+        self.own, self.place = own[order].astype(np.int32), place[order].astype(np.int32)
         self.grams, self.first = np.unique(flat[order], return_index=True)
         self.last = np.append(self.first[1:], len(flat)) if len(flat) else self.first
         self.filter = np.zeros(1 << _SLOTS, bool)
         self.filter[_slot(self.grams)] = True
+        # short items by their first bytes, of each length up to Q: sorted codes and the items of each
+        self.short: dict[int, tuple[np.ndarray, list[list[tuple[int | None, bytes]]]]] = {}
+        for n in {min(Q, len(b)) for _, b in known if 0 < len(b) < LEAST}:
+            by: dict[int, list[tuple[int | None, bytes]]] = {}
+            for i, b in known:
+                if 0 < len(b) < LEAST and min(Q, len(b)) == n:
+                    by.setdefault(int.from_bytes(b[:n].tobytes(), "little"), []).append((i, b.tobytes()))
+            self.short[n] = np.array(sorted(by), np.uint64), [by[k] for k in sorted(by)]
+
+    def _expanded(self, at, gram, row, offsets):
+        """(row, item, diagonal) of all items that hold the q-grams found ``at``."""
+        many = self.last[gram] - self.first[gram]
+        each = np.repeat(self.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(row, many), self.own[each].astype(np.int64), np.repeat(at, many) - offsets[np.repeat(row, many)] - self.place[each]
 
     def regions(self, text: np.ndarray, offsets: np.ndarray):
         """(row, item, least diagonal) of the bands that hold q-grams enough; rows are the stretches between ``offsets``."""
         codes = _codes(text)
         if not len(codes) or not len(self.grams):
-            return []
+            return
         at = np.flatnonzero(self.filter[_slot(codes)])
         gram = np.minimum(np.searchsorted(self.grams, codes[at]), len(self.grams) - 1)
         true = self.grams[gram] == codes[at]
@@ -84,30 +122,65 @@ class Items:
         row = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[row + 1]
         at, gram, row = at[inside], gram[inside], row[inside]
-        if not len(at):
-            return []
-        many = self.last[gram] - self.first[gram]
-        each = np.repeat(self.first[gram], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, row = self.own[each], np.repeat(row, many)
-        diagonal = np.repeat(at, many) - offsets[row] - self.place[each]
-        # items with fewer q-grams in the row than needed go before any band is made
-        pair = row * len(self.items) + item
-        _, back, often = np.unique(pair, return_inverse=True, return_counts=True)
-        keep = often[back] >= self.needed[item]
-        item, row, diagonal = item[keep], row[keep], diagonal[keep]
+        # rows one after the other, so many at once as have ``MOST_HITS`` hits together; one row of more goes in parts
+        hits = np.concatenate([[0], np.cumsum(self.last[gram] - self.first[gram])])
+        edges = np.append(np.flatnonzero(np.diff(row, prepend=-1)), len(row))
+        i = 0
+        while i < len(edges) - 1:
+            j = max(i + 1, int(np.searchsorted(hits[edges], hits[edges[i]] + MOST_HITS, "right")) - 1)
+            a, z = edges[i], edges[j]
+            parts = [a, z]
+            if hits[z] - hits[a] > MOST_HITS:
+                parts = [a, *(a + np.flatnonzero(np.diff((hits[a:z] - hits[a]) // MOST_HITS)) + 1), z]
+            yield from self._bands([(at[x:y], gram[x:y], row[x:y]) for x, y in zip(parts[:-1], parts[1:], strict=True)], offsets)
+            i = j
+
+    def _bands(self, parts, offsets):
+        """The bands of some rows. Items with fewer q-grams in a row than needed go before any band is made; several ``parts``
+        are of one row, whose hits are first counted by item and then kept for the items that are left."""
+        if len(parts) > 1:
+            often = sum(np.bincount(self._expanded(*p, offsets)[1], minlength=len(self.items)) for p in parts)
+            found = []
+            for p in parts:
+                row, item, diagonal = self._expanded(*p, offsets)
+                keep = often[item] >= self.needed[item]
+                found.append((row[keep], item[keep], diagonal[keep]))
+            row, item, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
+        else:
+            row, item, diagonal = self._expanded(*parts[0], offsets)
+            _, back, often = np.unique(row * len(self.items) + item, return_inverse=True, return_counts=True)
+            keep = often[back] >= self.needed[item]
+            row, item, diagonal = row[keep], item[keep], diagonal[keep]
         if not len(item):
-            return []
+            return
         step = self.edits[item] + 1
         band = np.floor_divide(diagonal, step)
-        item, row, step = np.tile(item, 2), np.tile(row, 2), np.tile(step, 2)
+        item, row = np.tile(item, 2), np.tile(row, 2)
         band = np.concatenate([band, band - 1])
-        key = np.stack([row, item, band], 1)
         order = np.lexsort((band, item, row))
-        key = key[order]
+        key = np.stack([row, item, band], 1)[order]
         new = np.flatnonzero(np.any(np.diff(key, axis=0, prepend=key[:1] - 1) != 0, axis=1))
         size = np.diff(np.append(new, len(key)))
-        found = key[new][size >= self.needed[key[new, 1]]]
-        return [(int(r), int(i), int(b) * int(self.edits[i] + 1)) for r, i, b in found]
+        for r, i, b in key[new][size >= self.needed[key[new, 1]]].tolist():
+            yield r, i, b * int(self.edits[i] + 1)
+
+    def words(self, text: np.ndarray, offsets: np.ndarray):
+        """(row, item id, first byte, bytes) of each short item that stands in a row as whole words."""
+        if not self.short or not len(text):
+            return
+        padded = np.concatenate([text, np.zeros(LEAST, np.uint8)])
+        codes = _codes(padded)[: len(text)]
+        before = np.concatenate([[False], _WORD[text[:-1]]])
+        before[offsets[:-1][offsets[:-1] < len(text)]] = False
+        for n, (known, items) in self.short.items():
+            own = codes & np.uint64((1 << (8 * n)) - 1)
+            place = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            for x in np.flatnonzero((known[place] == own) & ~before).tolist():
+                row = int(np.searchsorted(offsets, x, "right")) - 1
+                for i, b in items[place[x]]:
+                    z = x + len(b)
+                    if z <= offsets[row + 1] and padded[x:z].tobytes() == b and not (z < offsets[row + 1] and _WORD[padded[z]]):
+                        yield row, i, x - int(offsets[row]), len(b)
 
     def verify(self, item: int, text: np.ndarray, low: int) -> tuple[int, int] | None:
         """(edits, first byte) of the item in ``text`` on the diagonals of the band from ``low`` and as
@@ -143,27 +216,45 @@ class Items:
         return (int(cost[best]), int(first[best])) if cost[best] <= e else None
 
     def search(self, column):
-        """(row, item id, edits, first byte, bytes of the item), the best place of each item in a row."""
+        """(row, item id, edits, first byte, bytes), the best place of each item in a row; bytes of the piece that is found."""
         data, offsets = text_buffers(column)
         for i, j in chunks(offsets):
-            text = fold(data[offsets[i] : offsets[j]])
-            bounds = offsets[i : j + 1] - offsets[i]
+            text, bounds = fold(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             best = {}
             for row, item, low in self.regions(text, bounds):
-                if (hit := self.verify(item, text[bounds[row] : bounds[row + 1]], low)) and hit < best.get((row, item), (1 << 60, 0)):
-                    best[row, item] = hit
-            for (row, item), (edits, first) in sorted(best.items()):
-                yield i + row, self.items[item][0], edits, first, len(self.items[item][1])
-
-
-def _strip(b: np.ndarray) -> np.ndarray:
+                hit = self.verify(item, text[bounds[row] : bounds[row + 1]], low)
+                if hit:
+                    id, piece = self.items[item]
+                    best[row, id] = min((*hit, len(piece)), best.get((row, id), (1 << 60,)))
+            for row, id, first, n in self.words(text, bounds):
+                best[row, id] = min((0, first, n), best.get((row, id), (1 << 60,)))
+            for (row, id), (edits, first, n) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
+                yield i + row, id, edits, first, n
+
+
+def _folded(text: str) -> np.ndarray:
+    """An item's bytes without white space at either end."""
+    b = np.frombuffer(text.encode(), np.uint8)
+    b, _ = fold(b, np.array([0, len(b)]))
     inside = np.flatnonzero(b != 0x20)
     return b[inside[0] : inside[-1] + 1] if len(inside) else b[:0]
 
 
+#: The index of the block that this worker searched last, by the block's name: later tasks of a worker find it here.
+_LAST: dict[str, Items] = {}
+
+
+def _indexed(shared) -> Items:
+    name, block, rate = shared.value
+    if name not in _LAST:
+        _LAST.clear()
+        _LAST[name] = Items(block, rate)
+    return _LAST[name]
+
+
 def _blocks(benchmark: DataFrame, id: str, text: str):
-    """Lists of (id, text), each of ``BLOCK_BYTES`` at most (or of one item)."""
-    items = benchmark.select(benchmark[id].cast("long").alias("id"), F.lower(benchmark[text].cast("string")).alias("text")).where("id is not null and text is not null").orderBy("id", "text")
+    """Lists of (id, text), each of ``BLOCK_BYTES`` at most (or of one item); the driver holds one at a time."""
+    items = benchmark.select(benchmark[id].cast("long").alias("id"), F.lower(benchmark[text].cast("string")).alias("text")).where("text is not null").orderBy("id", "text")
     held, size = [], 0
     for r in items.toLocalIterator():
         n = len(r["text"].encode())
@@ -176,23 +267,22 @@ def _blocks(benchmark: DataFrame, id: str, text: str):
         yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", rate: float = RATE, least: int = LEAST) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
     """(id, item_id, edits, first_byte, item_bytes): each item that a document holds within its edit budget, at its best place.
 
-    Null or empty texts and items hold and are nothing; an item of fewer than ``least`` bytes is not searched.
-    Rows of null id are searched as any other; repeated rows give repeated results. With no items
-    the result is empty. Columns besides id and text are ignored.
+    Null or empty texts and items hold and are nothing. Rows of null id are searched as any other, and so are items of null
+    id, which count as one; repeated rows give repeated results. With no items the result is empty. Columns besides id and
+    text are ignored. ``item_bytes`` are those of the segment that was found, where the item is long.
     """
     schema = "id long, item_id long, edits int, first_byte long, item_bytes int"
     at = docs.select(docs[id].cast("long").alias("id"), F.lower(docs[text].cast("string")).alias("text"))
     sc, found = docs.sparkSession.sparkContext, []
     for block in _blocks(benchmark, "item_id", "text"):
-        shared = sc.broadcast((block, rate, least))
+        shared = sc.broadcast((uuid.uuid4().hex, block, rate))
 
         def run(batches, shared=shared):
-            items = Items(*shared.value)
-            for batch in batches:
-                rows = list(items.search(batch.column(1)))
+            for batch in sliced(batches):
+                rows = list(_indexed(shared).search(batch.column(1)))
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
@@ -203,7 +293,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows of null id stay."""
-    gone = leaks(docs, benchmark, id=id, **options).select(F.col("id").alias(id)).distinct()
-    return docs.join(small_side(gone, "gone"), id, "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
+    """``docs`` without the rows that hold an item, whatever their id; columns as they are. Rows are judged where they
+    are read: nothing is joined. Each block of the benchmark is one pass over what the block before left."""
+    sc, names, first = docs.sparkSession.sparkContext, docs.columns, True
+    for block in _blocks(benchmark, "item_id", "text"):
+        shared = sc.broadcast((uuid.uuid4().hex, block, rate))
+
+        def run(batches, shared=shared):
+            for batch in sliced(batches):
+                keep = np.ones(batch.num_rows, bool)
+                for row, *_ in _indexed(shared).search(batch.column(len(names))):
+                    keep[row] = False
+                yield batch.select(range(len(names))).filter(pa.array(keep))
+
+        docs = docs if first else materialise(docs, "clean")
+        first = False
+        docs = docs.select("*", F.lower(docs[text].cast("string")).alias("_lower")).mapInArrow(run, docs.schema)
+    return docs

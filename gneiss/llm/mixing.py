@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import hash_long, materialise, n_words, small_side
 
-GOLDEN = 0.6180339887498949
-#: Cells of [0, 1) by which slots meet the stretches of sources; slots of one chunk are ranked together.
+#: Points of the circle, and the one nearest to its golden section that is odd, so that every point has its turn.
+POINTS, GOLDEN = 1 << 31, 1327217885
+#: Cells of the circle by which slots meet the stretches of sources; slots of one chunk are ranked together.
 CELLS, CHUNK = 1024, 65536
 
 
@@ -98,21 +99,22 @@ class SourceMix:
     def _slots(self) -> DataFrame:
         """(slot, sid, rank): the schedule in order of ``slot``."""
         spark = self.docs.sparkSession
-        total = self.sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+        total, k = self.sources.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.count("*")).first()
         n = -(-total // self.block)
         step = self.sources.withColumn("need", F.ceil(F.col("quota") / self.block))
         whole, upto = Window.partitionBy(), Window.orderBy("sid")
-        step = step.withColumn("hi", F.try_divide(F.sum("target").over(upto), F.sum("target").over(whole))).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
-        step = step.withColumn("hi", F.when(F.lead("sid").over(upto).isNull(), F.lit(2.0)).otherwise(F.col("hi"))).where("lo < hi and need > 0")
-        cells = step.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS))))).select("cell", "lo", "hi", "sid", "need")
-        points = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)).alias("u")).withColumn("cell", F.floor(F.col("u") * CELLS))
+        share = F.try_divide(F.sum("quota").over(upto).cast("double"), F.sum("quota").over(whole).cast("double"))
+        step = step.withColumn("hi", F.floor(share * POINTS)).withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0))).where("lo < hi and need > 0")
+        width = POINTS // CELLS
+        cells = step.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width)))).select("cell", "lo", "hi", "sid", "need")
+        points = spark.range(n).select(F.col("id").alias("slot"), ((F.col("id") % POINTS) * GOLDEN % POINTS).alias("u")).withColumn("cell", F.floor(F.col("u") / width))
         drawn = points.join(cells, "cell").where("u >= lo and u < hi").select("slot", "sid", "need")
         ranked = running(drawn, ["sid"], F.floor(F.col("slot") / CHUNK), ["slot"], F.lit(1)).withColumnRenamed("start", "rank")
         ranked = materialise(ranked.where("rank < need").select("slot", "sid", "rank"), "slots")
         got = ranked.groupBy("sid").agg((F.max("rank") + 1).alias("got"))
         late = step.join(got, "sid", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < need")
         late = late.select("sid", F.explode(F.sequence(F.col("got"), F.col("need") - 1)).alias("rank"))
-        return ranked.union(late.select((F.lit(n) + F.col("rank")).alias("slot"), "sid", "rank"))
+        return ranked.union(late.select((F.lit(n) + F.col("rank") * k + F.col("sid")).alias("slot"), "sid", "rank"))
 
     def _pieces(self) -> DataFrame:
         """(slot, rank, sid, row, doc_id, first, words): the words of a document that a slot takes."""
@@ -125,9 +127,11 @@ class SourceMix:
         return cut.join(self.slots, ["sid", "rank"])
 
     def _taken(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken), a row for each row of ``docs``."""
-        taken = self.pieces.groupBy("row").agg(F.sum("words").alias("taken"))
-        return self.placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        """(doc_id, size, source_size, target, taken, first_slot, n_slots), a row for each row of ``docs``: the words that the
+        mix takes of it, the first slot of the schedule that takes any (null: none), and the number of these slots."""
+        taken = self.pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+        return self.placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:

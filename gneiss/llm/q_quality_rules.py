@@ -1,17 +1,18 @@
-"""Query op4: the rule ledger of all documents under the base and the full policy."""
+"""Query op4: the rule ledger of all documents under the base and the full policy, and what leaving out one rule would free."""
 
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table
-from gneiss.llm.quality_rules import BASE_POLICY, POLICY, ledger, verdict
+from gneiss.llm.common import materialise, table
+from gneiss.llm.quality_rules import BASE_POLICY, POLICY, ledger, verdict, with_ablation
 
 
 def op4_quality_rules(spark, sf_dir):
-    rows = ledger(table(spark, sf_dir, "documents"))
+    rows = with_ablation(materialise(ledger(table(spark, sf_dir, "documents")), "ledger"), POLICY)
     base = ~verdict(BASE_POLICY)
     return rows.select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict(POLICY)).alias("kept"), F.col("failed").alias("failed_bits")
-    )
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & verdict(POLICY)).alias("kept"),
+        F.col("failed").alias("failed_bits"), "freed_by", "n_freed",
+    )
 
 
 QUERIES = {"op4_quality_rules": op4_quality_rules}
@@ -45,6 +46,8 @@ WITH d AS (
     + (CASE WHEN 2 * n_capitals > word_chars THEN 32 ELSE 0 END) + (CASE WHEN 4 * n_exclamations > n_words THEN 64 ELSE 0 END) AS BIGINT) AS failed_bits
   FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits FROM f
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed_bits & 3) <> 0 AS base_failed, failed_bits = 0 AS kept, failed_bits, rule AS freed_by,
+       CASE WHEN rule IS NOT NULL THEN count(*) OVER (PARTITION BY failed_bits) END AS n_freed
+FROM f LEFT JOIN (VALUES (1, 'too_short'), (2, 'repetition'), (4, 'symbols'), (8, 'line_copies'), (16, 'word_length'), (32, 'capitals'), (64, 'exclamations')) r(bit, rule) ON bit = failed_bits
 """
 }

@@ -101,12 +101,19 @@ def verdict(policy: Policy) -> Column:
 
 
 def ablations(ledger: DataFrame, policy: Policy) -> DataFrame:
-    """(version, rule, n_failed, n_only): documents that fail a rule of the policy, and those that
+    """(version, rule, bit, n_failed, n_only): documents that fail a rule of the policy, and those that
     would pass without it. The ledger is first counted by its bits, so at most 2^rules rows go on."""
     names = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(1 << list(RULES).index(r)).cast("long").alias("bit")) for r in policy.rules])
     masks = ledger.groupBy(F.col("failed").bitwiseAND(F.lit(policy.mask)).alias("bits")).agg(F.count("*").alias("n"))
     each = masks.withColumn("r", F.explode(names)).select("bits", "n", "r.rule", "r.bit")
-    return each.groupBy(F.lit(policy.version).alias("version"), "rule").agg(
+    return each.groupBy(F.lit(policy.version).alias("version"), "rule", "bit").agg(
         F.sum(F.when(F.col("bits").bitwiseAND(F.col("bit")) > 0, F.col("n")).otherwise(0)).alias("n_failed"),
         F.sum(F.when(F.col("bits") == F.col("bit"), F.col("n")).otherwise(0)).alias("n_only"),
     )
+
+
+def with_ablation(ledger: DataFrame, policy: Policy) -> DataFrame:
+    """The ledger with ``freed_by``, the rule without which alone the document would pass ``policy``, and ``n_freed``, how many
+    documents that rule keeps out alone; null where the document passes or fails several. The rules' counts are few rows."""
+    by = F.broadcast(ablations(ledger, policy).select("bit", F.col("rule").alias("freed_by"), F.col("n_only").alias("n_freed")))
+    return ledger.join(by, F.col("failed").bitwiseAND(F.lit(policy.mask)) == F.col("bit"), "left").drop("bit")

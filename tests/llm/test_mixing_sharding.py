@@ -6,7 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from gneiss.llm.mixing import SourceMix, mixed_documents, targets
+from gneiss.llm.mixing import GOLDEN, POINTS, SourceMix, mixed_documents, targets
 from gneiss.llm.sharding import assign_shards, even_topology, grown, shard_of, write_shards
 
 
@@ -43,6 +43,25 @@ def test_schedule_is_even(spark, sf):
     assert words == {r.sid: r.quota for r in m.sources.collect() if r.quota}
 
 
+def test_slots_are_those_of_the_golden_points(spark, sf):
+    """Every slot's source by the point's place among the cumulative quotas; ranks without gaps; documents in the slots of their words."""
+    m = SourceMix(spark.read.parquet(f"{sf}/documents.parquet"), block=16)
+    sources = m.sources.orderBy("sid").collect()
+    total, n, upto, ends = sum(r.quota for r in sources), -(-sum(r.source_size for r in sources) // 16), 0, []
+    for r in sources:
+        upto += r.quota
+        ends.append(math.floor(upto / total * POINTS))
+    want, ranks = {}, Counter()
+    for i in range(n):
+        sid = next(k for k, e in enumerate(ends) if i * GOLDEN % POINTS < e)
+        if ranks[sid] < -(-sources[sid].quota // 16):
+            want[i] = (sid, ranks[sid])
+            ranks[sid] += 1
+    got = {r.slot: (r.sid, r["rank"]) for r in m.slots.collect()}
+    assert {k: v for k, v in got.items() if k < n} == want
+    assert Counter(s for s, _ in got.values()) == Counter({r.sid: -(-r.quota // 16) for r in sources if r.quota})
+
+
 def test_only_empty_texts(spark):
     d = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id long, text string, source string")
     assert [r.taken for r in SourceMix(d).taken.collect()] == [0, 0]
