@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,12 +28,35 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows that Spark sends to a Python worker at once while an operator's own tables are made: texts may be long.
+ARROW_ROWS = "1000"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, Python workers get batches of ``ARROW_ROWS`` rows, so that neither side holds many texts beside its own copy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARROW_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """``spark`` with batches of ``ARROW_ROWS`` from now on, for queries whose result itself comes from Python workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    return spark
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there,
     and what a lost executor held is read again rather than computed again."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/gneiss/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    with small_batches(spark):
+        df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._table = at
     return out

@@ -195,9 +195,9 @@ class JaccardJoin:
         near = bound.where("not far")
         need = materialise(near.select(F.col("ra").alias("id")).union(near.select(F.col("rb").alias("id"))).distinct(), "need")
         few = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
-        # rows of one id may have other texts too: a set goes by its fingerprint
-        sets = self.texts.join(few, "id", "left_semi").select("text").mapInArrow(_sets(self.width), "sig long, items array<long>")
-        sets = materialise(sets.dropDuplicates(["sig"]), "sets")
+        # rows of one id may have several texts: each is read once, and its set goes by its fingerprint
+        texts = self.texts.join(few, "id", "left_semi").withColumn("of", F.xxhash64("text")).dropDuplicates(["id", "of"])
+        sets = materialise(texts.select("text").mapInArrow(_sets(self.width), "sig long, items array<long>"), "sets")
         exact = (
             near.select("a", "b")
             .join(sets.select(F.col("sig").alias("a"), F.col("items").alias("x")), "a")
@@ -205,6 +205,7 @@ class JaccardJoin:
             .withColumn("both", F.size(F.array_intersect("x", "y")))
             .withColumn("either", F.size("x") + F.size("y") - F.col("both"))
             .select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"), (100 * F.col("both") >= self.percent * F.col("either")).alias("linked"))
+            .distinct()
         )
         beyond = bound.where("far").select("a", "b", F.col("dlo"), F.lit(1.0).alias("dhi"), F.lit(False).alias("linked"))
         out = materialise(exact.select("a", "b", F.col("d").alias("dlo"), F.col("d").alias("dhi"), "linked").union(beyond), "measured")

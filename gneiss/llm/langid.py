@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import sliced
+from gneiss.llm.common import sliced, small_batches
 
 DIMS, MOST_LANGS, UNDETERMINED = 4096, 500, "und"
 #: Texts of one matrix, and characters after which a matrix is closed early.
@@ -170,7 +170,9 @@ class LanguageModel:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIMS)), pa.array(df)], ["dim", "df"])
 
         df = np.zeros(DIMS)
-        for r in t.select("text").mapInArrow(seen, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect():
+        with small_batches(train.sparkSession):
+            found_in = t.select("text").mapInArrow(seen, "dim long, df long").groupBy("dim").agg(F.sum("df").alias("df")).collect()
+        for r in found_in:
             df[r["dim"]] = r["df"]
         idf = (np.log((1 + sum(sizes.values())) / (1 + df)) + 1).astype(np.float32)
         sample = drawn(t, {r["lang"]: r["distinct"] for r in found}, per_lang)

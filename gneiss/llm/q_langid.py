@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table
+from gneiss.llm.common import table, tuned
 from gneiss.llm.langid import LanguageModel, held_out
 
 
 def op9_language_id(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = table(tuned(spark), sf_dir, "documents")
     found = LanguageModel.fit(docs.where(~held_out())).predict(docs)
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
 
