@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise, table
+from gneiss.llm.common import materialise, table, tuned
 from gneiss.llm.decontaminate import keep_clean
 from gneiss.llm.jaccard_join import keep_one
 from gneiss.llm.langid import keep_known
@@ -15,6 +15,7 @@ from gneiss.llm.sharding import assign_shards
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is near no language's centroids go."""
+    tuned(spark)
     return keep_known(docs)
 
 
@@ -25,7 +26,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return keep_clean(docs, table(tuned(spark), sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
