@@ -13,25 +13,47 @@ def resolved(findings: DataFrame, directives: DataFrame, limit: int = 4, record:
     Directives: (code, var, level, discard, values, freqs, records): '*' stands for any; a discard with ``values`` or ``freqs``
     holds only for findings whose ``value`` or ``freq`` is among them; one with ``records`` only for findings whose ``record`` is in
     one of these ranges, ends included; with both, for findings that meet both. A discard by frequencies or records
-    that governs a finding raises where ``findings`` has no such column. Directives are few; they are joined by code, never looped over.
+    that governs a finding raises where ``findings`` has no such column. Directives are few: those of a code and those of a
+    variable are gathered, so that each finding has one partner at most and is chosen for in its own row.
     """
-    d = directives.select(F.col("code").alias("d_code"), F.col("var").alias("d_var"), F.col("level").alias("d_level"), "discard", "values", F.col("freqs").alias("d_freqs"), F.col("records").alias("d_records"))
-    f = findings.withColumn("_id", F.monotonically_increasing_id())
-    exact = f.join(d, (f.code == d.d_code) & (f["var"] == d.d_var), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 1))
-    by_code = f.join(d.where("d_var = '*'"), f.code == F.col("d_code"), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 2))
-    by_var = f.join(d.where("d_code = '*'"), f["var"] == F.col("d_var"), "left").withColumn("_rank", F.when(F.col("d_code").isNotNull(), 3))
-    all_ = exact.union(by_code).union(by_var).withColumn("_rank", F.coalesce("_rank", F.lit(4)))
-    best = all_.withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy("_rank", "d_level"))).where("_r = 1")
+    rank = F.when(F.col("code") == "*", 3).when(F.col("var") == "*", 2).otherwise(1)
+    d = directives.select("code", "var", F.struct(rank.alias("rank"), "level", F.col("var").alias("of"), "discard", "values", "freqs", "records").alias("d"))
+    by_code = d.where("code <> '*'").groupBy("code").agg(F.collect_list("d").alias("_by_code"))
+    by_var = d.where("code = '*'").groupBy("var").agg(F.collect_list("d").alias("_by_var"))
+    f = findings.join(by_code, "code", "left").join(by_var, "var", "left")
+    none = F.array().cast(dict(by_var.dtypes)["_by_var"])
+    mine = F.filter(F.coalesce("_by_code", none), lambda x: (x["of"] == F.col("var")) | (x["of"] == "*"))
+    best = f.withColumn("_d", F.array_min(F.concat(mine, F.coalesce("_by_var", none))))
     known = lambda c: F.col(c) if c in findings.columns else F.raise_error(F.lit(f"a directive needs the column {c} of findings"))
-    by_value = F.when(F.col("values").isNotNull(), F.array_contains("values", F.col("value")))
-    by_freq = F.when(F.col("d_freqs").isNotNull(), F.array_contains("d_freqs", known(freq).cast("string")))
+    by_value = F.when(F.col("_d.values").isNotNull(), F.array_contains("_d.values", F.col("value")))
+    by_freq = F.when(F.col("_d.freqs").isNotNull(), F.array_contains("_d.freqs", known(freq).cast("string")))
     no, yes = F.lit(False), F.lit(True)
-    listed = F.when(F.col("values").isNull() & F.col("d_freqs").isNull(), yes).otherwise(F.coalesce(by_value, no) | F.coalesce(by_freq, no))
+    listed = F.when(F.col("_d.values").isNull() & F.col("_d.freqs").isNull(), yes).otherwise(F.coalesce(by_value, no) | F.coalesce(by_freq, no))
     at = known(record).cast("long")
-    in_range = F.when(F.col("d_records").isNull(), yes).otherwise(F.coalesce(F.exists("d_records", lambda r: at.between(r["lo"], r["hi"])), no))
-    gone = F.when(F.col("discard"), listed & in_range)
+    in_range = F.when(F.col("_d.records").isNull(), yes).otherwise(F.coalesce(F.exists("_d.records", lambda r: at.between(r["lo"], r["hi"])), no))
+    gone = F.when(F.col("_d.discard"), listed & in_range)
     kept = best.where(~F.coalesce(gone, F.lit(False)))
-    return kept.withColumn("level", F.least(F.coalesce("d_level", "level"), F.lit(limit))).select(*findings.columns)
+    return kept.withColumn("level", F.least(F.coalesce("_d.level", "level"), F.lit(limit))).select(*findings.columns)
+
+
+def exit_level(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, level): the highest level of each key's findings."""
+    return findings.groupBy(*keys).agg(F.max("level").alias("level"))
+
+
+def notes(findings: DataFrame, keys: list[str], most: int = 5) -> DataFrame:
+    """(keys, note): the findings of each key as one YAML text by level and code, ``most`` texts a code and how many more there are."""
+    each = findings.groupBy(*keys, "level", "code").agg(F.sort_array(F.collect_set("text")).alias("texts"), F.count("*").alias("n"))
+    lines = F.transform(F.slice("texts", 1, most), lambda t: F.concat(F.lit("    - "), t))
+    more = F.when(F.size("texts") > most, F.array(F.lit("    - more ..."))).otherwise(F.array().cast("array<string>"))
+    head = F.concat(F.lit("- code: "), F.col("code"), F.lit("\n  level: L"), F.col("level").cast("string"), F.lit("\n  count: "), F.col("n").cast("string"), F.lit("\n  texts:"))
+    told = each.withColumn("_n", F.concat_ws("\n", F.array(head), lines, more))
+    return told.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "code", "_n")), asc=False), lambda x: x["_n"]), "\n").alias("note"))
+
+
+def write_notes(findings: DataFrame, path: str, keys: list[str], most: int = 5) -> None:
+    """Write ``notes`` as text files below ``path``, a folder for each key."""
+    notes(findings, keys, most).withColumnRenamed("note", "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def tag_summary(findings: DataFrame, keys: list[str]) -> DataFrame:

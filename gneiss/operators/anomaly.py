@@ -44,34 +44,47 @@ def percent_plausibility(series: DataFrame, units: str, lo: str, hi: str) -> Dat
     return series.withColumn("code", code)
 
 
-def outliers(series: DataFrame, keys: list[str], value: str, run: int = 5, count: int = 5, share: float = 0.01, magnitude: int = 5) -> DataFrame:
+def outliers(series: DataFrame, keys: list[str], value: str, run: int = 5, count: int = 5, share: float = 0.01, magnitude: int = 5, passes: int = 4) -> DataFrame:
     """Records beyond the threshold at which the number of records beyond it stays the same ``run`` times.
 
     Thresholds rise from the mean by steps of half a standard deviation, a hundred of them; counts of records beyond
     each come from one aggregation over (series x thresholds), runs of equal counts by gaps and islands. A
-    series that reaches no such run before the count is 0 has no outlier. If the run holds more than
-    ``share`` and more than ``count`` records, only those beyond 10^``magnitude`` times the scale of the mean are outliers.
+    series that reaches no such run before the count is 0 has no outlier; one whose count never is 0 is
+    judged again with steps of twice the size, ``passes`` times at most (the k-th pass needs more than 2500 * 4^(k - 1)
+    records). If the run holds more than ``share`` and more than ``count`` records, only those beyond 10^``magnitude`` times the scale
+    of the mean are outliers. Series of extremes are given by ``value``: minima and maxima are judged alike.
     Null and NaN values take no part; a series of fewer than two values or without spread has none.
     """
     v = series.where(F.col(value).isNotNull() & ~F.isnan(value))
-    stats = v.groupBy(*keys).agg(F.avg(value).alias("a"), F.stddev_samp(value).alias("sd"), F.count("*").alias("records"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    up = (F.col("lo") > 0) & (((F.col("hi") > 1) & (F.col("lo") < 0.001)) | (F.abs(F.col("hi") - F.col("lo")) < 1e-8))
-    down = (F.col("hi") < 0) & (((F.col("lo") < -1) & (F.col("hi") > -0.001)) | (F.abs(F.col("hi") - F.col("lo")) < 1e-8))
-    stats = stats.where((F.col("records") > 1) & (F.col("sd") > 0) & ~up & ~down)
-    far = v.join(stats, keys).withColumn("beyond", F.least(F.ceil(F.abs(F.col(value) - F.col("a")) / (F.col("sd") / 2)), F.lit(100)).cast("int"))
-    # a record counts at thresholds 1 .. beyond - 1: the counts are sums from above, so records are grouped first
-    steps = far.where("beyond > 1").groupBy(*keys, "beyond").agg(F.count("*").alias("c"))
-    spread = stats.select(*keys).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).join(steps.withColumn("k", F.col("beyond") - 1), [*keys, "k"], "left")
-    above = Window.partitionBy(*keys).orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = spread.withColumn("nk", F.coalesce(F.sum("c").over(above), F.lit(0))).where("nk > 0")
-    place = Window.partitionBy(*keys, "nk").orderBy("k")
-    hit = counts.withColumn("r", F.row_number().over(place)).where(F.col("r") == run).groupBy(*keys).agg(F.min("k").alias("k"), F.min_by("nk", "k").alias("nk"))
-    out = far.join(hit, keys).where(F.col("beyond") > F.col("k"))
+    stats = v.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count("*").alias("_records"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    up = (F.col("_lo") > 0) & (((F.col("_hi") > 1) & (F.col("_lo") < 0.001)) | (F.abs(F.col("_hi") - F.col("_lo")) < 1e-8))
+    down = (F.col("_hi") < 0) & (((F.col("_lo") < -1) & (F.col("_hi") > -0.001)) | (F.abs(F.col("_hi") - F.col("_lo")) < 1e-8))
+    stats = stats.where((F.col("_records") > 1) & (F.col("_sd") > 0) & ~up & ~down).drop("_lo", "_hi")
+    far = v.join(stats, keys).withColumn("_steps", F.abs(F.col(value) - F.col("_mean")) / (F.col("_sd") / 2))
+    # the last pass of a series is the first in which its farthest record is within a hundred thresholds
+    last = F.ceil(F.log2(F.greatest(F.max("_steps") / 100, F.lit(1.0)))).cast("int")
+    reached = far.groupBy(*keys).agg(F.least(last, F.lit(passes - 1)).alias("_last"))
+    all_steps = far.join(reached, keys).withColumn("_pass", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_beyond", F.least(F.ceil(F.col("_steps") / F.pow(F.lit(2.0), F.col("_pass"))), F.lit(101)).cast("int"))
+    steps = all_steps.where("_beyond > 1").groupBy(*keys, "_pass", "_beyond").agg(F.count("*").alias("_c"))
+    spread = reached.withColumn("_pass", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    spread = spread.join(steps.withColumn("_k", F.col("_beyond") - 1), [*keys, "_pass", "_k"], "left")
+    above = Window.partitionBy(*keys, "_pass").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = spread.withColumn("_nk", F.coalesce(F.sum("_c").over(above), F.lit(0))).where("_nk > 0")
+    place = Window.partitionBy(*keys, "_pass", "_nk").orderBy("_k")
+    hit = counts.withColumn("_r", F.row_number().over(place)).where(F.col("_r") == run).groupBy(*keys).agg(F.min(F.struct("_pass", "_k", "_nk")).alias("_h"))
+    out = far.join(hit, keys).where(F.col("_steps") > F.col("_h._k") * F.pow(F.lit(2.0), F.col("_h._pass")))
     # a share that stands for less than a tenth of a record is raised by powers of ten
-    most = share * F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.ceil(F.log10(0.1 / (F.col("records") * share)))))
-    many = (F.col("nk") / F.col("records") > most) & (F.col("nk") > count)
-    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs("a"), F.lit(1e-300)))))
-    return out.where(~many | (F.abs(F.abs("a") - F.col(value)) > F.pow(F.lit(10.0), F.lit(magnitude)) * scale)).drop("lo", "hi", "beyond", "sd", "a")
+    most = share * F.pow(F.lit(10.0), F.greatest(F.lit(0.0), F.ceil(F.log10(0.1 / (F.col("_records") * share)))))
+    many = (F.col("_h._nk") / F.col("_records") > most) & (F.col("_h._nk") > count)
+    scale = F.pow(F.lit(10.0), F.floor(F.log10(F.greatest(F.abs("_mean"), F.lit(1e-300)))))
+    kept = out.where(~many | (F.abs(F.abs("_mean") - F.col(value)) > F.pow(F.lit(10.0), F.lit(magnitude)) * scale))
+    return kept.select(*series.columns)
+
+
+def largest_outlier(found: DataFrame, keys: list[str], value: str, at: list[str]) -> DataFrame:
+    """(keys, n, value, at): of each series' outliers their number and the one of the largest amount."""
+    best = F.max_by(F.struct(value, *at), F.abs(F.col(value))).alias("_b")
+    return found.groupBy(*keys).agg(F.count("*").alias("n"), best).select(*keys, "n", "_b.*")
 
 
 def replicated(records: DataFrame, keys: list[str], rec: str, checksum: str, only_groups: int = 0) -> DataFrame:

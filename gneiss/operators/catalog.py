@@ -26,8 +26,11 @@ def sequence_codes(files: DataFrame, series: list[str]) -> DataFrame:
     """``code`` of each file of a series by begin: 1 name date before the end of the name before, 4 same begin and end as
     before, 8 overlap with the one before, 16 mixed date formats in the series; they add up, and 10 more if any fired.
 
-    files: (begin, end, d_beg, d_end): numbers from the data and digits from the name.
+    files: (begin, end, d_beg, d_end): numbers from the data and digits from the name. Two more columns may be there:
+    ``mod_time`` and ``target_time``, the time of what was made from the series: 2 the file is newer than that; ``known_end``, the last time
+    that was stored of the file: 32 its data no longer reach it, so they were made anew.
     """
+    has = set(files.columns)
     w = Window.partitionBy(*series).orderBy("begin", "end", "d_beg")
     lag = lambda c: F.lag(c).over(w)
     every = Window.partitionBy(*series)
@@ -38,6 +41,8 @@ def sequence_codes(files: DataFrame, series: list[str]) -> DataFrame:
         + F.when(same, 4).otherwise(0)
         + F.when(~same & (F.col("begin") < lag("end")), 8).otherwise(0)
         + F.when(mixed, 16).otherwise(0)
+        + (F.when(F.col("mod_time") > F.col("target_time"), 2).otherwise(0) if {"mod_time", "target_time"} <= has else 0)
+        + (F.when(F.col("end") < F.col("known_end"), 32).otherwise(0) if "known_end" in has else 0)
     )
     return files.withColumn("code", F.coalesce(code, F.lit(0))).withColumn("code", F.when(F.col("code") > 0, F.col("code") + 10).otherwise(0))
 
@@ -45,10 +50,10 @@ def sequence_codes(files: DataFrame, series: list[str]) -> DataFrame:
 def period_status(periods: DataFrame, freq: str, begin: str = "begin", end: str = "end") -> DataFrame:
     """``status``: FAIL:B begins later than the earliest of its frequency, FAIL:E ends earlier than the latest, FAIL:BE both
     or undefined, else PASS."""
-    w = Window.partitionBy(freq)
-    late, early = F.col(begin) > F.min(begin).over(w), F.col(end) < F.max(end).over(w)
+    span = periods.groupBy(F.col(freq).alias("_f")).agg(F.min(begin).alias("_b"), F.max(end).alias("_e"))
+    late, early = F.col(begin) > F.col("_b"), F.col(end) < F.col("_e")
     status = F.when(F.col(begin).isNull() | F.col(end).isNull() | (late & early), "FAIL:BE").when(late, "FAIL:B").when(early, "FAIL:E").otherwise("PASS")
-    return periods.withColumn("status", status)
+    return periods.join(span, F.col(freq).eqNullSafe(F.col("_f")), "left").withColumn("status", status).drop("_f", "_b", "_e")
 
 
 def not_delivered(required: DataFrame, delivered: DataFrame, freq: str, var: str) -> DataFrame:
@@ -70,11 +75,32 @@ def checksum_history(files: DataFrame, name: str, order: str, checksum: str, tra
 
 
 def health(files: DataFrame) -> DataFrame:
-    """``code`` of files that can't be used: M3 empty, M4 unreadable, M6 invalid name."""
-    code = F.when(F.col("size") == 0, "M3").when(~F.col("readable"), "M4").when(~F.col("name").rlike(r"^[A-Za-z0-9._-]+$"), "M6")
+    """``code`` of files that can't be used: M2 a link without target (``target_exists``, if there is such a column), M3 empty,
+    M4 unreadable, M6 invalid name."""
+    broken = ~F.col("target_exists") if "target_exists" in files.columns else F.lit(False)
+    code = F.when(broken, "M2").when(F.col("size") == 0, "M3").when(~F.col("readable"), "M4").when(~F.col("name").rlike(r"^[A-Za-z0-9._-]+$"), "M6")
     return files.withColumn("code", code).where("code is not null")
 
 
+def empty_directories(directories: DataFrame, files: DataFrame) -> DataFrame:
+    """Directories (path) in which no file (directory) lies, as M1."""
+    used = files.select(F.col("directory").alias("path")).distinct()
+    return directories.join(used, "path", "left_anti").withColumn("code", F.lit("M1"))
+
+
+def named(paths: DataFrame, path: str, parts: list[int], separator: str = "_") -> DataFrame:
+    """``name`` of the experiment or project: components of the path by their place, counted from 1, or from the end if negative."""
+    at = F.split(path, "/")
+    return paths.withColumn("name", F.concat_ws(separator, *[F.try_element_at(at, F.lit(i)) for i in parts]))
+
+
+def next_records(records: DataFrame, series: list[str], order: list[str], after: DataFrame, n: int) -> DataFrame:
+    """The next ``n`` records of each series behind those already done. ``after``: (series.., last), counts of records; none is 0."""
+    w = Window.partitionBy(*series).orderBy(*order)
+    r = records.withColumn("_r", F.row_number().over(w)).join(after.select(*series, F.col("last").alias("_last")), series, "left")
+    return r.where(F.col("_r") - F.coalesce("_last", F.lit(0)) > 0).where(F.col("_r") - F.coalesce("_last", F.lit(0)) <= n).select(*records.columns)
+
+
 #: Years that a file of a frequency may span.
 MOST_YEARS = {"3hr": 1, "6hr": 1, "day": 5, "mon": 10, "sem": 10}
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import sys
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +16,20 @@ def build(cells: DataFrame, keys: list[str], value: str, width: float, start: fl
     return ok.groupBy(*keys, at.alias("bin_left")).agg(F.sum(w).alias("freq"), F.count("*").alias("n"), F.sum(value).alias("sum_v"))
 
 
+def _wider(width: float, factor: float) -> float:
+    """The next width: ten times a small one, half a unit before others are multiplied."""
+    return width * 10 if width < 0.1 else 0.5 if width < 0.5 else width * factor
+
+
 def resized(hist: DataFrame, keys: list[str], width: float, most: int = 50, factor: float = 2.0, start: float = 0.0) -> tuple[DataFrame, float]:
     """The histogram in wider bins, so that no series has more than ``most``, and their width. One count decides
-    the number of doublings; bins then move by the mean of what they hold."""
+    how often they are widened; bins then move by the mean of what they hold."""
     top = hist.groupBy(*keys).agg(((F.max("bin_left") - F.min("bin_left")) / width + 1).alias("span"), F.count("*").alias("bins")).agg(F.max("span").alias("span"), F.max("bins").alias("bins")).first()
-    doublings = 0 if not top["bins"] or top["bins"] <= most else max(1, math.ceil(math.log(top["span"] / most, factor)))
-    wide = width * factor**doublings
-    if not doublings:
+    if not top["bins"] or top["bins"] <= most:
         return hist, width
+    wide = _wider(width, factor)
+    while top["span"] * width / wide > most:
+        wide = _wider(wide, factor)
     at = F.floor((F.col("sum_v") / F.col("n") - start) / wide) * wide + start
     return merged(hist.withColumn("bin_left", at), keys), wide
 
@@ -34,8 +40,8 @@ def merged(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(bin_left, diff, percent) of ``b`` against ``a``, bin by bin; a bin missing in b is -100 %, one missing in a null."""
+    """(bin_left, diff, percent) of ``b`` against ``a``, bin by bin; a bin missing in b is -100 %, one missing in a the greatest double."""
     x, y = a.select("bin_left", F.col("freq").alias("fa")), b.select("bin_left", F.col("freq").alias("fb"))
     j = x.join(y, "bin_left", "full")
     d = F.coalesce("fb", F.lit(0.0)) - F.coalesce("fa", F.lit(0.0))
-    return j.select("bin_left", d.alias("diff"), F.when(F.col("fa").isNotNull(), 100 * d / F.col("fa")).alias("percent"))
+    return j.select("bin_left", d.alias("diff"), F.when(F.col("fa").isNotNull(), 100 * d / F.col("fa")).otherwise(F.lit(sys.float_info.max)).alias("percent"))

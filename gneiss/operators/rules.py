@@ -19,12 +19,23 @@ def consistency(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame
     return j.withColumn("code", code).where("code is not null").select(*cols, "code")
 
 
+#: Most rows of a rule table that becomes part of the plan.
+MOST_RULES = 10_000
+
+
 def requested(atts: DataFrame, required: DataFrame, owner: list[str]) -> DataFrame:
     """(owner, att, code): ``missing`` where an owner lacks a required attribute, ``unmatched`` where its value is not allowed.
 
     atts: (owner.., att, value); required: (att, allowed array, null: any value).
     """
-    want = atts.select(*owner).distinct().withColumn("_k", F.lit(1)).join(required.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    rows = required.select("att", "allowed").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} requirements")
+    if not rows:
+        return atts.select(*owner, "att", F.lit(None).cast("string").alias("code")).where("false")
+    none = F.lit(None).cast("array<string>")
+    rules = F.array(*[F.struct(F.lit(r["att"]).alias("att"), (none if r["allowed"] is None else F.array(*[F.lit(v) for v in r["allowed"]]).cast("array<string>")).alias("allowed")) for r in rows])
+    want = atts.select(*owner).distinct().select(*owner, F.explode(rules).alias("_r")).select(*owner, "_r.*")
     j = want.join(atts, [*owner, "att"], "left")
     code = F.when(F.col("value").isNull(), "missing").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), "unmatched")
     return j.withColumn("code", code).where("code is not null").select(*owner, "att", "code")
@@ -32,13 +43,19 @@ def requested(atts: DataFrame, required: DataFrame, owner: list[str]) -> DataFra
 
 def encoding_faults(paths: DataFrame, id: str, parts: Column, encodings: DataFrame) -> DataFrame:
     """(id, enc, faults) of the encoding that fits each path best. encodings: (enc, pos, pattern): a part that is absent
-    or does not fit is a fault; ties go to the smaller name."""
+    or does not fit is a fault; ties go to the smaller name. A path that fits no part of any encoding has all faults of
+    the shortest one. Encodings are a rule table."""
     p = paths.select(id, F.posexplode(parts).alias("pos", "part"))
     e = encodings.groupBy("enc").agg(F.count("*").alias("size"))
     hit = p.join(encodings, "pos").where("part rlike pattern").groupBy(id, "enc").agg(F.count("*").alias("hits"))
     scored = hit.join(e, "enc").withColumn("faults", F.col("size") - F.col("hits"))
     w = Window.partitionBy(id).orderBy("faults", "enc")
-    return scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(id, "enc", "faults")
+    best = scored.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(id, "enc", "faults")
+    short = e.orderBy("size", "enc").first()
+    if short is None:
+        return best
+    all_ = paths.select(id).distinct().join(best, id, "left")
+    return all_.select(id, F.coalesce("enc", F.lit(short["enc"])).alias("enc"), F.coalesce("faults", F.lit(short["size"])).alias("faults"))
 
 
 def nearest_names(names: DataFrame, known: list[str], most: float = 0.25) -> DataFrame:
@@ -66,7 +83,7 @@ def dangling_references(atts: DataFrame, vars: DataFrame, kinds: list[str]) -> D
 FORMULA_TERMS = {
     "atmosphere_ln_pressure_coordinate": "p0 lev",
     "atmosphere_sigma_coordinate": "sigma ps ptop",
-    "atmosphere_hybrid_sigma_pressure_coordinate": "a b p0 ps",
+    "atmosphere_hybrid_sigma_pressure_coordinate": "a b p0 ps|ap b ps",
     "atmosphere_hybrid_height_coordinate": "a b orog",
     "atmosphere_sleve_coordinate": "a b1 b2 ztop zsurf1 zsurf2",
     "ocean_sigma_coordinate": "sigma eta depth",
@@ -77,10 +94,13 @@ FORMULA_TERMS = {
 
 
 def formula_terms(atts: DataFrame) -> DataFrame:
-    """(file_id, var, missing, surplus) of vertical coordinates (var, standard_name, formula_terms) whose terms are not their formula's."""
-    table = F.create_map(*[x for k, v in FORMULA_TERMS.items() for x in (F.lit(k), F.array(*[F.lit(t) for t in v.split()]))])
-    need = F.element_at(table, F.col("standard_name"))
+    """(file_id, var, missing, surplus) of vertical coordinates (var, standard_name, formula_terms) whose terms are not their
+    formula's. Of several forms of a formula, which ``|`` parts, the one with the fewest faults is taken."""
+    forms = lambda v: F.array(*[F.array(*[F.lit(t) for t in f.split()]) for f in v.split("|")])
+    table = F.create_map(*[x for k, v in FORMULA_TERMS.items() for x in (F.lit(k), forms(v))])
+    off = lambda f: F.size(F.array_except(f, has)) + F.size(F.array_except(has, f))
     has = F.regexp_extract_all("formula_terms", F.lit(r"(\w+):"), F.lit(1))
+    need = F.array_min(F.transform(F.element_at(table, F.col("standard_name")), lambda f: F.struct(off(f).alias("off"), f.alias("form"))))["form"]
     d = atts.where(need.isNotNull()).select("file_id", "var", F.array_sort(F.array_except(need, has)).alias("missing"), F.array_sort(F.array_except(has, need)).alias("surplus"))
     return d.where("size(missing) + size(surplus) > 0")
 

@@ -24,10 +24,11 @@ def cell_class(value: Column, fill: Column | None = None, low: float | None = No
     return c.otherwise("valid")
 
 
-def partial_states(cells: DataFrame, keys: list[str], value: str, weight: str | None = None, fill: Column | None = None) -> DataFrame:
-    """States of ``keys`` with counters of invalid cells; groups without a valid cell have n = 0 and null extremes."""
+def partial_states(cells: DataFrame, keys: list[str], value: str, weight: str | None = None, fill: Column | None = None, low: float | None = None, high: float | None = None) -> DataFrame:
+    """States of ``keys`` with counters of invalid cells, among them those outside [``low``, ``high``]; groups without a
+    valid cell have n = 0 and null extremes."""
     v, w = F.col(value), F.col(weight) if weight else F.lit(1.0)
-    kind = cell_class(v, fill)
+    kind = cell_class(v, fill, low, high)
     ok = lambda x: F.when(F.col("_class") == "valid", x)
     zero = lambda x: F.coalesce(x, F.lit(0.0))
     return (
@@ -41,7 +42,7 @@ def partial_states(cells: DataFrame, keys: list[str], value: str, weight: str |
             zero(F.sum(ok(w * w))).alias("w2"),
             F.min(ok(v)).alias("mn"),
             F.max(ok(v)).alias("mx"),
-            *[F.count_if(F.col("_class") == k).alias(f"{k}_count") for k in ("fill", "nan", "inf")],
+            *[F.count_if(F.col("_class") == k).alias(f"{k}_count") for k in ("fill", "nan", "inf", "range")],
             F.count("*").alias("size"),
         )
     )
@@ -62,7 +63,7 @@ def finished(states: DataFrame, weighted: bool) -> DataFrame:
     else:
         var = F.when(n > 1, (ss - s * s / n) / (n - 1))
     out = states.withColumn("ave", F.when((n > 0) & (w != 0), F.try_divide(s, w)))
-    out = out.withColumn("std", F.sqrt(F.greatest(var, F.lit(0.0))))
+    out = out.withColumn("std", F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))))
     return out.withColumn("std_error", F.try_divide(F.col("std"), F.sqrt(n.cast("double"))))
 
 

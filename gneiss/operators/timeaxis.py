@@ -16,11 +16,12 @@ def step_flags(rows: DataFrame, series: list[str], order: list[str], time: Colum
     return t.withColumn("flag", flag).drop("_t")
 
 
-def bounds_flags(rows: DataFrame, series: list[str], order: list[str], lo: str = "tb0", hi: str = "tb1", regular: bool = True) -> DataFrame:
-    """``flag``: 8 no width, 16 overlap with the bounds before, 32 gap after them (regular axes only); they add up."""
+def bounds_flags(rows: DataFrame, series: list[str], order: list[str], lo: str = "tb0", hi: str = "tb1", regular: bool = True, slack: float = 0.0) -> DataFrame:
+    """``flag``: 8 no width, 16 overlap with the bounds before, 32 gap of more than ``slack`` after them (regular axes only);
+    they add up. Where dates stand for whole days, a slack of one unit lets the next day follow the last."""
     w = Window.partitionBy(*series).orderBy(*order)
     a, before = F.round(lo, 5), F.round(F.lag(hi).over(w), 5)
-    gap = F.when(a > before, 32).otherwise(0) if regular else F.lit(0)
+    gap = F.when(a > before + slack, 32).otherwise(0) if regular else F.lit(0)
     return rows.withColumn("flag", F.when(F.col(hi) - F.col(lo) <= 0, 8).otherwise(0) + F.when(a < before, 16).otherwise(0) + gap)
 
 
@@ -43,12 +44,14 @@ def local_extrema(rows: DataFrame, series: list[str], order: list[str], value: s
 
 
 def in_time_table(rows: DataFrame, time: Column, ranges: DataFrame, width: float) -> DataFrame:
-    """``allowed``: whether ``time`` lies in one of ``ranges`` (beg, end). Both sides meet by buckets of ``width``, so a
-    range join needs no nested loop; ranges are cut in the buckets they touch."""
+    """``allowed``: whether ``time`` lies in one of ``ranges`` (beg, end). Ranges are cut in the buckets of ``width`` that they touch,
+    those of a bucket are gathered, and each row looks among them: an equi-join without a nested loop, in which every
+    row has one partner at most. A time table has few ranges; a null time is not allowed."""
     r = ranges.select("beg", "end", F.explode(F.sequence(F.floor(F.col("beg") / width), F.floor(F.col("end") / width))).alias("_b"))
-    t = rows.withColumn("_t", time).withColumn("_b", F.floor(F.col("_t") / width)).withColumn("_id", F.monotonically_increasing_id())
-    hit = t.join(r, "_b").where("_t >= beg and _t <= end").select("_id").distinct().withColumn("_hit", F.lit(True))
-    return t.join(hit, "_id", "left").withColumn("allowed", F.coalesce("_hit", F.lit(False))).drop("_id", "_t", "_b", "_hit")
+    r = r.groupBy("_b").agg(F.collect_list(F.struct("beg", "end")).alias("_ranges"))
+    t = rows.withColumn("_t", time).withColumn("_b", F.floor(F.col("_t") / width)).join(r, "_b", "left")
+    inside = F.exists("_ranges", lambda x: F.col("_t").between(x["beg"], x["end"]))
+    return t.withColumn("allowed", F.coalesce(inside, F.lit(False))).select(*rows.columns, "allowed")
 
 
 def asof(left: DataFrame, right: DataFrame, key: list[str], time: str, value: str) -> DataFrame:
@@ -66,3 +69,39 @@ def resumed(rows: DataFrame, state: DataFrame, series: list[str], time: Column)
     """Records later than the stored last time less a tenth of its step; series without a state are whole."""
     s = state.select(*series, "last_time", "last_step")
     return rows.withColumn("_t", time).join(s, series, "left").where("last_time is null or _t > last_time - last_step / 10").drop("_t", "last_time", "last_step")
+
+
+def rebased(rows: DataFrame, time: str, reference: str, series: list[str], order: list[str], unit: str = "day") -> DataFrame:
+    """``time`` in units since the ``reference`` timestamp of its file, as units since the reference of the series' first record."""
+    from gneiss.functions.calendar import since
+
+    first = F.first(reference).over(Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return rows.withColumn("_f", first).withColumn(time, F.col(time) + since(F.col(reference), F.col("_f"), unit)).drop("_f")
+
+
+def sliced(rows: DataFrame, time: Column, lo: float | None = None, hi: float | None = None) -> DataFrame:
+    """Records of [lo, hi): a filter that reaches the scan; an end that is None is open."""
+    out = rows if lo is None else rows.where(time >= lo)
+    return out if hi is None else out.where(time < hi)
+
+
+def renewed(rows: DataFrame, state: DataFrame, series: list[str], time: Column) -> DataFrame:
+    """(series, last_time): series whose stored last time is among no record of theirs: the data were shortened or made anew (9_2)."""
+    seen = rows.select(*series, time.alias("last_time")).distinct()
+    known = rows.select(*series).distinct()
+    return state.select(*series, "last_time").join(known, series, "left_semi").join(seen, [*series, "last_time"], "left_anti")
+
+
+def child_start(children: DataFrame, parents: DataFrame, key: list[str], time: str, lag: float) -> DataFrame:
+    """``code`` of each child series against its parent: W36 its first time is no later than the parent's first, W37 the
+    parent has no record within ``lag`` before it, W38 the bounds do not meet (child tb0, parent tb1 of the record found).
+
+    children: (key.., time, tb0), a row a series; parents: (key.., time, tb1). One sorted union, no pairs.
+    """
+    first = parents.groupBy(*key).agg(F.min(time).alias("_p0"))
+    p = parents.select(*key, time, F.struct(F.col(time).alias("t"), "tb1").alias("p"))
+    found = asof(children, p, key, time, "p").join(first, key, "left")
+    code = (
+        F.when(F.col(time) <= F.col("_p0"), "W36").when(F.col("asof_p").isNull() | (F.col(time) - F.col("asof_p.t") > lag), "W37").when(F.round("tb0", 5) != F.round("asof_p.tb1", 5), "W38")
+    )
+    return found.withColumn("code", code).select(*children.columns, "code")

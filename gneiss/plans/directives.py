@@ -12,33 +12,38 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMA = "code string, var string, level int, discard boolean, values array<string>, text string, freqs array<string>, records array<struct<lo:bigint,hi:bigint>>, email boolean"
 
 
-def expand(line: str) -> list[tuple[str, ...]]:
-    """The item sets of a brace line: the line's own items, and those of each group with all that surrounds it."""
+def expand(line: str, outer: tuple[str, ...] | None = None) -> list[tuple[str, ...]]:
+    """The item sets of a brace line: the line's own items, and those of each group with all that surrounds it.
+
+    An item ``name=value`` of a group takes the place of an outer one of the same name; ``D(x)`` in a group drops the
+    item ``x``, or the one named ``x``, that it would inherit. A group without items of its own gives no set.
+    """
     own, groups, depth, word, inner = [], [], 0, "", ""
     for c in line + ",":
         if depth:
             depth += (c == "{") - (c == "}")
-            inner += c if depth else ""
-            if not depth:
-                groups.append((inner, word))
+            if depth:
+                inner += c
+            else:
+                groups.append(inner)
                 inner = ""
-                if word:
-                    own.append(word)
-                word = ""
-        elif c == "{":
-            depth = 1
-        elif c == ",":
+        elif c in "{,":
             if word:
                 own.append(word)
-            word = ""
+            word, depth = "", int(c == "{")
         else:
             word += c
-    out = [tuple(own)]
-    for inner, _ in groups:
-        first, *rest = expand(inner)
-        out += [tuple(own) + first] if first else []
-        out += [tuple(own) + r for r in rest]
-    return out
+    mine = _settled(outer or (), own)
+    return ([mine] if own or outer is None else []) + [x for g in groups for x in expand(g, mine)]
+
+
+def _settled(outer, items) -> tuple[str, ...]:
+    """``items`` and what they inherit of ``outer``: neither what they drop nor what they give another value."""
+    gone = {x[2:-1] for x in items if x.startswith("D(") and x.endswith(")")}
+    mine = [x for x in items if not (x.startswith("D(") and x.endswith(")"))]
+    named = {x.split("=", 1)[0] for x in mine if "=" in x}
+    kept = [x for x in outer if x not in gone and x.split("=", 1)[0] not in gone | (named if "=" in x else set()) and x not in mine]
+    return (*kept, *mine)
 
 
 def _records(item: str, line: str) -> tuple[int, int]:

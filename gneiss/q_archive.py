@@ -56,21 +56,23 @@ def dedup_keep_last(spark, sf_dir):
     return catalog.latest(table(spark, sf_dir, "conversations"), ["conv_id"], [F.desc("turn"), F.col("role")]).select("conv_id", "turn", "role")
 
 
-@query("""WITH req AS (SELECT n_nationkey AS var, event_type AS freq FROM nation, (SELECT DISTINCT event_type FROM events)), del AS (SELECT DISTINCT user_id % 40 AS var, event_type AS freq FROM events WHERE event_type <> 'click' AND event_id % 301 = 0)
+@query("""WITH req AS (SELECT n_nationkey AS var, event_type AS freq FROM nation, (SELECT DISTINCT event_type FROM events)), del AS (SELECT DISTINCT user_id % 40 AS var, event_type AS freq FROM events WHERE event_type <> 'click' AND (user_id % 40 + length(event_type)) % 5 > 0)
  SELECT var, freq FROM req WHERE freq IN (SELECT freq FROM del) AND NOT EXISTS (SELECT 1 FROM del WHERE del.var = req.var AND del.freq = req.freq)""")
 def not_delivered(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    types = e.select(F.col("event_type").alias("freq")).distinct().groupBy().agg(F.collect_set("freq").alias("f"))
-    required = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("var")).crossJoin(types).select("var", F.explode("f").alias("freq"))
-    delivered = e.where("event_type <> 'click' and event_id % 301 = 0").select((F.col("user_id") % 40).alias("var"), F.col("event_type").alias("freq"))
+    types = F.array(*[F.lit(r[0]) for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]).cast("array<string>")
+    required = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("var"), F.explode(types).alias("freq"))
+    # of one in five pairs of variable and frequency nothing was delivered
+    delivered = e.where("event_type <> 'click' and (user_id % 40 + length(event_type)) % 5 > 0").select((F.col("user_id") % 40).alias("var"), F.col("event_type").alias("freq"))
     return catalog.not_delivered(required, delivered, "freq", "var").select("var", "freq")
 
 
 @query("""SELECT doc_id, CASE WHEN t = n_chars % 3 AND c <> md5(text) THEN 'M7' WHEN t <> n_chars % 3 AND c = md5(text) THEN 'M8' END AS code
- FROM (SELECT *, lag(md5(text)) OVER w AS c, lag(n_chars % 3) OVER w AS t FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))""")
+ FROM (SELECT *, lag(md5(text)) OVER w AS c, lag(n_chars % 3) OVER w AS t FROM documents WINDOW w AS (PARTITION BY source, doc_id // 8 ORDER BY doc_id))""")
 def checksum_history(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("sum"), (F.col("n_chars") % 3).alias("track"))
-    return catalog.checksum_history(d, "source", "doc_id", "sum", "track").select("doc_id", "code")
+    name = F.concat_ws("/", F.coalesce("source", F.lit("")), F.floor(F.col("doc_id") / 8).cast("string"))
+    d = table(spark, sf_dir, "documents").select("doc_id", name.alias("name"), F.md5("text").alias("sum"), (F.col("n_chars") % 3).alias("track"))
+    return catalog.checksum_history(d, "name", "doc_id", "sum", "track").select("doc_id", "code")
 
 
 @query(f"""WITH {PART_ATTS}, w AS (SELECT DISTINCT p_partkey FROM atts), r AS (SELECT 'p_brand' AS att UNION ALL SELECT 'p_type')

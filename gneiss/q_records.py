@@ -172,7 +172,7 @@ def hist_merge(spark, sf_dir):
 
 @query("""WITH a AS (SELECT floor(o_totalprice / 10000.0) * 10000.0 AS b, count(*) AS f FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
  o AS (SELECT floor(o_totalprice / 10000.0) * 10000.0 AS b, count(*) AS f FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
- SELECT coalesce(a.b, o.b) AS bin_left, CAST(coalesce(o.f, 0) - coalesce(a.f, 0) AS DOUBLE) AS diff, round(100.0 * (coalesce(o.f, 0) - a.f) / a.f, 4) AS percent FROM a FULL JOIN o ON a.b = o.b""")
+ SELECT coalesce(a.b, o.b) AS bin_left, CAST(coalesce(o.f, 0) - coalesce(a.f, 0) AS DOUBLE) AS diff, coalesce(round(100.0 * (coalesce(o.f, 0) - a.f) / a.f, 4), 1.7976931348623157e308) AS percent FROM a FULL JOIN o ON a.b = o.b""")
 def hist_diff(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     a, b = (histogram.build(o.where(F.col("o_orderstatus") == s), [], "o_totalprice", 10000.0) for s in "FO")
@@ -243,10 +243,11 @@ def asof_parent_child(spark, sf_dir):
     return timeaxis.asof(l, r, ["k"], "t", "e").select("o_orderkey", "asof_e", "asof_time")
 
 
-@query("""WITH s AS (SELECT user_id, max(event_id) AS last_time FROM events WHERE event_id < 3000 GROUP BY 1) SELECT e.user_id, e.event_id FROM events e LEFT JOIN s ON s.user_id = e.user_id WHERE last_time IS NULL OR e.event_id > last_time - 1.0""")
+@query("""WITH s AS (SELECT user_id, max(event_id) AS last_time FROM events WHERE event_id < (SELECT max(event_id) * 3 // 10 FROM events) GROUP BY 1) SELECT e.user_id, e.event_id FROM events e LEFT JOIN s ON s.user_id = e.user_id WHERE last_time IS NULL OR e.event_id > last_time - 1.0""")
 def resume_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    state = e.where("event_id < 3000").groupBy("user_id").agg(F.max("event_id").alias("last_time")).withColumn("last_step", F.lit(10.0))
+    cut = e.agg(F.expr("max(event_id) * 3 div 10")).first()[0] or 0
+    state = e.where(F.col("event_id") < cut).groupBy("user_id").agg(F.max("event_id").alias("last_time")).withColumn("last_step", F.lit(10.0))
     return timeaxis.resumed(e, state, ["user_id"], F.col("event_id")).select("user_id", "event_id")
 
 

@@ -163,7 +163,7 @@ def grid_arithmetic(spark, sf_dir):
     return j.select("vec_id", F.round(F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("distance"), F.size(F.filter("d", lambda x: x > 0)).cast("long").alias("above"))
 
 
-@query("""WITH t AS (SELECT event_type AS series, event_id, value, CASE WHEN event_id % 20 = 0 THEN CAST(event_id AS DOUBLE) - 500 WHEN event_id % 31 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS t FROM events),
+@query("""WITH t AS (SELECT user_id AS series, event_id, value, CASE WHEN event_id % 20 = 0 THEN CAST(event_id AS DOUBLE) - 500 WHEN event_id % 31 = 0 THEN 0.0 ELSE CAST(event_id AS DOUBLE) END AS t FROM events),
  s AS (SELECT *, t - lag(t) OVER (PARTITION BY series ORDER BY event_id) AS step FROM t),
  r AS (SELECT *, first_value(step IGNORE NULLS) OVER (PARTITION BY series ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ref FROM s)
  SELECT series, event_id, CASE WHEN step < 0 THEN 1 WHEN step = 0 THEN 4 WHEN step > 1.25 * ref THEN 2 ELSE 0 END AS flag FROM r""")
@@ -173,15 +173,19 @@ def streaming_continuation(spark, sf_dir):
     import tempfile
     import uuid
 
-    at = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gneiss-")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="gneiss-")
     at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     k = F.col("event_id")
     time = F.when(k % 20 == 0, k.cast("double") - 500).when(k % 31 == 0, 0.0).otherwise(k.cast("double"))
-    rows = events.select(F.col("event_type").alias("series"), k.alias("seq"), time.alias("time"), "value")
+    rows = events.select(F.col("user_id").cast("string").alias("series"), k.alias("seq"), time.alias("time"), "value")
     last = events.agg(F.max("event_id")).first()[0] or 0
     sink = Continuation(spark, f"{at}/out")
     for part in range(3):
         rows.where((F.col("seq") * 3 >= part * (last + 1)) & (F.col("seq") * 3 < (part + 1) * (last + 1))).write.mode("append").parquet(f"{at}/arrived")
         run_available(spark.readStream.schema(rows.schema).parquet(f"{at}/arrived"), sink, f"{at}/progress")
-    return sink.records().select("series", F.col("seq").alias("event_id"), "flag")
+    return sink.records().select(F.col("series").cast("long").alias("series"), F.col("seq").alias("event_id"), "flag")

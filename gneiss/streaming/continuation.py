@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SERIES_STATE = "series string, last_time double, last_step double, ref_step double, n long, s double, ss double, mn double, mx double"
+from gneiss.operators import statistics
+
+SERIES_STATE = "series string, last_time double, last_step double, ref_step double, n long, s double, ss double, w double, w2 double, mn double, mx double"
 
 
 def judged(batch: DataFrame, state: DataFrame, slack: float = 1.25) -> DataFrame:
@@ -23,16 +25,13 @@ def judged(batch: DataFrame, state: DataFrame, slack: float = 1.25) -> DataFrame
 
 
 def advanced(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """The state after a judged batch."""
-    v = F.col("value")
-    new = batch.groupBy("series").agg(
-        F.max_by("time", "seq").alias("last_time"), F.max_by("step", "seq").alias("last_step"), F.first("ref_step", ignorenulls=True).alias("ref_step"),
-        F.count(v).alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("ss"), F.min(v).alias("mn"), F.max(v).alias("mx"),
-    )
+    """The state after a judged batch: its statistics are those of any record, of valid cells only."""
+    times = batch.groupBy("series").agg(F.max_by("time", "seq").alias("last_time"), F.max_by("step", "seq").alias("last_step"), F.first("ref_step", ignorenulls=True).alias("ref_step"))
+    new = times.join(statistics.partial_states(batch, ["series"], "value").select("series", *statistics.STATE), "series")
     both = state.withColumn("_o", F.lit(0)).unionByName(new.withColumn("_o", F.lit(1)))
     return both.groupBy("series").agg(
         F.max_by("last_time", "_o").alias("last_time"), F.max_by("last_step", "_o").alias("last_step"), F.min_by("ref_step", F.when(F.col("ref_step").isNotNull(), F.col("_o"))).alias("ref_step"),
-        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("w").alias("w"), F.sum("w2").alias("w2"), F.min("mn").alias("mn"), F.max("mx").alias("mx"),
     )
 
 
