@@ -10,9 +10,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 from pyspark.sql import functions as F
 
-from gneiss.functions import calendar, geometry, strings
-from gneiss.operators import anomaly, annotations, catalog, histogram, rules, statistics, timeaxis
+from gneiss.functions import calendar, geometry, strings, units
+from gneiss.operators import annotations, anomaly, catalog, conventions, histogram, rules, statistics, timeaxis
 from gneiss.plans.directives import check_list, expand, parse
+from gneiss.sources import vocabulary
 from gneiss.streaming.continuation import Continuation, advanced, judged, run_available
 
 
@@ -179,6 +180,97 @@ def test_catalogue(spark):
     assert [(r.p.beg, r.p.end) for r in n.collect()] == [("200001", "200112"), ("1999", "1999"), (None, None)]
 
 
+def layout_of(spark, more=()):
+    """A clean file, and for each of ``more`` (code, var, att, type, value) one that breaks a rule by this attribute."""
+    v, a, d = [], [], []
+    clean = [("lon", "units", "char", "degrees_east"), ("lon", "standard_name", "char", "longitude"), ("lon", "axis", "char", "X"), ("time", "units", "char", "days since 1850-01-01"), ("time", "standard_name", "char", "time"), ("time", "bounds", "char", "tb"), ("tb", "long_name", "char", "bounds"),
+             ("lev", "units", "char", "hPa"), ("lev", "standard_name", "char", "air_pressure"), ("tas", "standard_name", "char", "air_temperature"), ("tas", "units", "char", "degC"), ("", "Conventions", "char", "CF-1.6")]
+    for k, other in enumerate([None, *more]):
+        f = f"f{k}"
+        v += [(f, "lon", "double", ["lon"]), (f, "time", "double", ["time"]), (f, "tb", "double", ["time", "b"]), (f, "lev", "double", ["lev"]), (f, "tas", "short", ["time", "lev", "lon"])]
+        d += [(f, x, 4) for x in ("lon", "time", "b", "lev")]
+        a += [(f, *x) for x in clean if not other or x[:2] != tuple(other[1:3])] + ([(f, *other[1:])] if other else [])
+    return conventions.described(
+        spark.createDataFrame(v, "file_id string, var string, type string, dims array<string>"), spark.createDataFrame(a, "file_id string, var string, att string, att_type string, value string"),
+        spark.createDataFrame(d, "file_id string, dim string, size long"), spark.createDataFrame([("longitude", "degree"), ("time", "s"), ("air_temperature", "K"), ("air_pressure", "Pa")], "name string, units string"),
+    )
+
+
+BREAKS = [
+    ("CF_0g", "tas", "comment", "char", " "), ("CF_22b", "tas", "comment", "string", "x"), ("CF_26a", "tas", "missing_value", "float", "9"), ("CF_31a", "lev", "units", "char", "level"),
+    ("CF_33a", "tas", "standard_name", "char", "no_such_name"), ("CF_33b", "tas", "standard_name", "char", "air_temperature oddity"), ("CF_33c", "tas", "standard_name", "char", "air_temperature a b"), ("CF_33e", "tas", "units", "char", "kg m-2"),
+    ("CF_34a", "tas", "ancillary_variables", "char", "lon none"), ("CF_35d", "tas", "flag_values", "short", "1, 2"), ("CF_4a", "lon", "axis", "char", "Q"), ("CF_43a", "lev", "positive", "char", "left"), ("CF_43b", "lon", "positive", "char", "up"),
+    ("CF_432d", "tb", "formula_terms", "char", "a: lon"), ("CF_432g", "tas", "formula_terms", "char", "a: lon b: none"), ("CF_44b", "time", "units", "char", "days from 1850"), ("CF_441a", "time", "month_lengths", "int", "1, 2"), ("CF_441c", "time", "leap_month", "int", "13"),
+    ("CF_5a", "tas", "coordinates", "char", "lon nowhere"), ("CF_56c", "tas", "grid_mapping", "char", "pole"), ("CF_71g", "time", "bounds", "char", "gone"), ("CF_71h", "tb", "_FillValue", "double", "1"), ("CF_72b", "tas", "cell_measures", "char", "depth: lon"), ("CF_72d", "tas", "cell_measures", "char", "area: gone"),
+    ("CF_732e", "tas", "cell_methods", "char", "time: mean (interval: 1 h"), ("CF_74c", "tas", "climatology", "char", "tb"), ("CF_81c", "tas", "scale_factor", "int", "2"), ("CF_82b", "tas", "compress", "char", "lon gone"), ("CF_9e", "tas", "cf_role", "char", "odd"), ("CF_932d", "tas", "sample_dimension", "char", "obs"),
+    ("CF_261b", "", "Conventions", "char", "COARDS"), ("CF_9a", "", "featureType", "char", "time series"), ("CF_9c", "", "cf_role", "char", "profile_id"), ("CF_9d", "", "featureType", "char", "star"),
+]
+
+
+def test_each_file_breaks_its_rule(spark):
+    got = {}
+    for r in conventions.findings(layout_of(spark, BREAKS)).collect():
+        got.setdefault(r.file_id, set()).add((r.var, r.code))
+    assert "f0" not in got
+    assert [b[0] for k, b in enumerate(BREAKS) if (b[1], b[0]) not in got.get(f"f{k + 1}", set())] == []
+    assert all(len(x) <= 3 for x in got.values())
+    assert conventions.findings(layout_of(spark).where("false")).count() == 0
+
+
+def test_units(spark):
+    same = [("W m-2", "J s-1 m^-2", True), ("hPa", "kg/m/s2", True), ("degC", "K", True), ("1", "%", True), ("mm day-1", "m s-1", True), ("kg m-2", "Pa", False), ("1e-3 kg", "g", True), ("blurb", "m", None)]
+    d = spark.createDataFrame(same, "a string, b string, same boolean").withColumn("got", units.compatible(F.col("a"), F.col("b"))).collect()
+    assert [r.got for r in d] == [r["same"] for r in d]
+
+
+def test_vocabularies_requirements_and_layouts(spark, tmp_path):
+    (tmp_path / "cv").write_text("# c\nBEGIN: DRS\n  X-DS: <activity>/<product>\\\n   /<model>\n X-FE: <variable name>_<model>.nc\n <product> = product = out1 | out2 # c\n <model> = model_id\nEND: DRS\nglobal:\n  project_id = ABC\n tracking_id\ntas:\n units = K | degC\nBEGIN_LINE: T1\n# n\nAFR, 194, 201\nEUR, 106, 103\nEND_LINE: T1\n")
+    got = {tuple(r) for r in vocabulary.vocabulary(spark, str(tmp_path / "cv")).collect()}
+    assert {("encoding", "DRS", "X-DS", 2, "model"), ("encoding", "DRS", "X-FE", 0, "variable name"), ("component", "DRS", "product", 0, "product"), ("component value", "DRS", "product", 1, "out2"), ("attribute", "global", "tracking_id", 0, None),
+            ("attribute value", "tas", "units", 1, "degC"), ("line", "T1", "1", 2, "103")} <= got
+    (tmp_path / "req").write_text(",Table:,3hr\n,x,y\noutput variable name,cell_methods,units\ntas, time: point,K\npr,time: mean,\n,Table:,day\noutput variable name,units\ntas,\"K, or degC\"\n")
+    got = {tuple(r) for r in vocabulary.requirements(spark, str(tmp_path / "req")).collect()}
+    assert got == {("3hr", "tas", "output variable name", "tas"), ("3hr", "tas", "cell_methods", "time: point"), ("3hr", "tas", "units", "K"), ("3hr", "pr", "output variable name", "pr"), ("3hr", "pr", "cell_methods", "time: mean"), ("day", "tas", "output variable name", "tas"), ("day", "tas", "units", "K, or degC")}
+    (tmp_path / "cdl").write_text('netcdf x {\ndimensions:\n lon = 4 ;\n time = UNLIMITED ; // c\nvariables:\n double lon(lon) ;\n lon:units = "degrees_east" ;\n short tas(time, lon) ;\n tas:scale_factor = 0.1f ;\n :Conventions = "CF-1.6" ;\ndata:\n lon = 1, 2 ;\n}\n')
+    got = {tuple(r) for r in vocabulary.layout(spark, str(tmp_path / "cdl")).collect()}
+    assert got == {("dim", "lon", None, None, "4"), ("dim", "time", None, None, None), ("var", "lon", None, "double", "lon"), ("var", "tas", None, "short", "time,lon"), ("att", "lon", "units", "char", "degrees_east"), ("att", "tas", "scale_factor", "float", "0.1"), ("att", "", "Conventions", "char", "CF-1.6"), ("data", "lon", None, None, "1,2")}
+
+
+def test_time_axis_of_files_and_parents(spark):
+    t = spark.createDataFrame([("s", 0, 1.0, "1850-01-01"), ("s", 1, 1.0, "1850-01-11")], "k string, i long, t double, ref string").withColumn("ref", F.to_timestamp("ref"))
+    assert sorted(r.t for r in timeaxis.rebased(t, "t", "ref", ["k"], ["i"]).collect()) == [1.0, 11.0]
+    assert timeaxis.sliced(t, F.col("i"), lo=1).count() == timeaxis.sliced(t, F.col("i"), hi=1).count() == 1
+    state = spark.createDataFrame([("s", 1.0), ("u", 5.0)], "k string, last_time double")
+    assert timeaxis.renewed(t, state, ["k"], F.col("t")).count() == 0
+    assert [tuple(r) for r in timeaxis.renewed(t, state.where("k = 's'").withColumn("last_time", F.lit(7.0)), ["k"], F.col("t")).collect()] == [("s", 7.0)]
+    parents = spark.createDataFrame([("p", float(i), float(i) + 0.5) for i in range(5)], "k string, time double, tb1 double")
+    for time, tb0, code in [(0.0, 0.5, "W36"), (9.0, 0.5, "W37"), (3.5, 1.0, "W38"), (3.5, 3.5, None)]:
+        child = spark.createDataFrame([("p", time, tb0)], "k string, time double, tb0 double")
+        assert timeaxis.child_start(child, parents, ["k"], "time", 1.0).first().code == code
+
+
+def test_second_pass_of_outliers(spark):
+    """A series whose farthest record is beyond a hundred half deviations is judged again with steps of twice the size."""
+    rows = [("s", i, float(i % 2)) for i in range(40_000)] + [("s", -1, 1e6)]
+    d = spark.createDataFrame(rows, "k string, i long, x double")
+    got = anomaly.outliers(d, ["k"], "x", run=5, count=5, magnitude=2)
+    assert [(r.i, r.x) for r in got.collect()] == [(-1, 1e6)] and got.columns == d.columns
+    assert [tuple(r) for r in anomaly.largest_outlier(got, ["k"], "x", ["i"]).collect()] == [("s", 1, 1e6, -1)]
+
+
+def test_files_and_notes(spark, tmp_path):
+    f = spark.createDataFrame([("s", 0, 10, "2000", "2001", 5, 3, 12), ("s", 11, 20, "2002", "2003", 2, 3, 20)], "k string, begin int, end int, d_beg string, d_end string, mod_time int, target_time int, known_end int")
+    assert sorted(r.code for r in catalog.sequence_codes(f, ["k"]).collect()) == [0, 44]
+    h = spark.createDataFrame([("a", 0, True, True), ("b", 1, True, False), ("c d", 1, True, True)], "name string, size int, readable boolean, target_exists boolean")
+    assert {r.name: r.code for r in catalog.health(h).collect()} == {"a": "M3", "b": "M2", "c d": "M6"}
+    assert catalog.named(spark.createDataFrame([("/x/y/z",)], "p string"), "p", [-1, -3]).first().name == "z_x"
+    n = spark.createDataFrame([("f", 2, "R1", f"t{i}") for i in range(7)] + [("f", 1, "R2", "u")], "file string, level int, code string, text string")
+    note = annotations.notes(n, ["file"]).first().note
+    assert note.startswith("- code: R1\n  level: L2\n  count: 7") and note.count("more ...") == 1 and note.endswith("- u")
+    annotations.write_notes(n, str(tmp_path / "n"), ["file"])
+    assert spark.read.text(str(tmp_path / "n")).count() > 5 and annotations.exit_level(n, ["file"]).first().level == 2
+
+
 def test_rules_on_empty_tables(spark):
     a = spark.createDataFrame([], "file_id long, var string, att string, value string")
     v = spark.createDataFrame([], "file_id long, var string, units string, standard_name string, axis string")
