@@ -216,7 +216,8 @@ class JaccardJoin:
         """Entries of the regions that two sets share, each once. Entries meet by shingle; those of a common shingle, which is
         known to be shared, by shingle and set, so that no task holds all sets of a shingle that many have."""
         entries = self.texts.select("text").mapInArrow(_regions(self.width, self.percent, self.common), "s long, sig long, n int, pos int, rare int, hot boolean")
-        order = Window.partitionBy("s", F.when(F.col("hot"), F.col("sig")).otherwise(0)).orderBy("sig")
+        entries = entries.withColumn("apart", F.when(F.col("hot"), F.col("sig")).otherwise(0))
+        order = Window.partitionBy("s", "apart").orderBy("sig")
         region = (
             entries.withColumn("again", F.lag("sig").over(order).eqNullSafe(F.col("sig")))
             .where("not again")
