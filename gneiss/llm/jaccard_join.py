@@ -17,7 +17,7 @@ d(A, B) = 1 - |A and B| / |A or B| is a metric; two documents link when d <= r.
   their window form the region of the next level, which takes its own pivot. Regions whose
   members are all in one component are done. After ``levels`` levels the members that are
   left meet in salted blocks, across components and inside the windows only. Components are kept
-  from level to level as stars, to which the links of the next level are added.
+  from level to level; the links of the next level join whole components.
 * Before two sets are compared, folded count vectors bound their intersection from above
   (the generalised Jaccard distance of the counts never exceeds d), which rejects nearly
   all chance pairs without moving sets. Pairs that stay are decided on the whole sets.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import BROADCAST_ROWS, materialise, release, sliced, small_side
-from gneiss.llm.components import components
+from gneiss.llm.components import components, merged
 from gneiss.llm.shingles import mix, shingle_sets
 
 #: Most shingles in the list that is broadcast to order shingles, and the count from which one is listed:
@@ -235,7 +235,7 @@ class JaccardJoin:
             star = region.alias("x").join(pivot.withColumnRenamed("s", "ps").alias("p"), F.expr("x.s = p.ps")).where("x.sig <> p.sig")
             star = star.select("x.s", "x.sig", "x.n", "x.pos", "x.rare", F.col("p.sig").alias("pivot"), F.expr(self._near("x", "p")).alias("near"))
             measured = self._measure(star.where("near").select(F.col("sig").alias("a"), F.col("pivot").alias("b")))
-            joined = self._joined(joined, measured.where("linked"))
+            joined = components(measured.where("linked").select("a", "b")) if joined is None else merged(joined, measured.where("linked").select("a", "b"))
             # those that the pivot rejected without measure are beyond r, and no more is known of them
             spread = star.join(measured.select(F.col("a").alias("sig"), F.col("b").alias("pivot"), "dlo", "dhi", "linked"), ["sig", "pivot"], "left").select(
                 "s", "sig", "n", "pos", "rare", F.coalesce("dlo", F.lit(self.r)).alias("dlo"), F.coalesce("dhi", F.lit(1.0)).alias("dhi"), F.coalesce("linked", F.lit(False)).alias("home")
@@ -248,7 +248,7 @@ class JaccardJoin:
             release(measured, region)
             small = left.where(f"size <= {self.small}") if level + 1 < self.levels else left
             found = self._measure(self._across(small))
-            joined = self._joined(joined, found.where("linked"))
+            joined = merged(joined, found.where("linked").select("a", "b"))
             release(found)
             region = left.where(f"size > {self.small}").select("s", "sig", "n", "pos", "rare")
             if level + 1 == self.levels or not region.limit(1).count():
@@ -258,14 +258,6 @@ class JaccardJoin:
             release(left)
         return joined
 
-    def _joined(self, before: DataFrame | None, links: DataFrame) -> DataFrame:
-        """Components of those ``before``, as stars, and of ``links``."""
-        edges = links.select("a", "b")
-        out = components(edges if before is None else edges.union(before.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        if before is not None:
-            release(before)
-        return out
-
     def _across(self, members: DataFrame) -> DataFrame:
         """Pairs of a region across components whose windows meet; a large region is dealt in blocks of ``block`` members."""
         sides = F.greatest(F.lit(1), F.ceil(F.col("size") / self.block)).cast("int")

@@ -1,6 +1,9 @@
 import random
 
-from gneiss.llm.components import components
+import pytest
+
+from gneiss.llm.common import materialise
+from gneiss.llm.components import components, merged
 from gneiss.llm.jaccard_join import JaccardJoin, jaccard_components, keep_one
 
 
@@ -88,3 +91,11 @@ def test_components(spark):
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("more", [[], [(1, 2)], [(3, 8), (3, 8)], [(20, 21), (21, 19), (7, 7)], [(2, 6), (8, 30), (None, 4), (30, 0)]])
+def test_components_with_further_edges(spark, more):
+    first = [(2, 1), (3, 2), (5, 6), (6, 7), (8, 9)]
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    before = materialise(components(frame(first)), "before")
+    assert dict(merged(before, frame(more)).collect()) == dict(components(frame(first + more)).collect())
