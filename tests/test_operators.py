@@ -292,3 +292,33 @@ def test_stream_does_not_depend_on_batches(spark, tmp_path):
     assert key(state) == key(at_once)
     sink(d.where("seq >= 41"), 2)
     assert key(sink.state(2).collect()) == key(at_once)
+
+
+def test_dimension_faults(spark):
+    from gneiss.operators.conformity import dimension_faults
+
+    kinds = "standard_name string, long_name string, axis string, units string, type string, positive string"
+    variables = spark.createDataFrame([(1, "tas"), (1, "tas"), (2, "tas"), (3, "other"), (None, "tas"), (4, None)], "file_id long, var string")
+    none = (None,) * 6
+    asked = spark.createDataFrame([("tas", "height2m", "height", 1.0, 10.0, "height", None, "Z", "m", None, "up"), ("tas", "free", "lon", None, None, *none)], f"var string, dim string, out_name string, valid_min double, valid_max double, {kinds}")
+    found = spark.createDataFrame([(1, "height", 0.5, 11.0, "height", "any", " z", "cm", "double", None), (1, "lon", None, None, *none), (2, "lat", 0.0, 1.0, *none)], f"file_id long, name string, lo double, hi double, {kinds}").selectExpr("*", "'x' as var", "'y' as dim", "'z' as code")
+    got = sorted(tuple(r) for r in dimension_faults(variables, asked, found).collect())
+    assert got == [(1, "tas", "height2m", c) for c in ("4_4f", "4_4j", "4_4k", "4_4m")] + [(2, "tas", "free", "4_4b"), (2, "tas", "height2m", "4_4b")]
+    assert dimension_faults(variables, asked.where("false"), found).count() == 0
+
+
+def test_included_bits_and_points(spark):
+    from pyspark.sql import functions as F
+
+    from gneiss.operators.conformity import clear_low_bits, included, inside
+
+    variables = spark.createDataFrame([(1, "tas", 0), (1, "clim_bnds", 0), (2, "clim_bnds", 0), (1, None, 0), (1, "mask", 0)], "file_id long, var string, att long")
+    atts = spark.createDataFrame([(1, "time", "climatology", "clim_bnds"), (2, "time", "climatology", None), (2, "tas", "climatology", "clim_bnds")], "file_id long, var string, att string, value string")
+    assert {tuple(r) for r in included(variables, atts, ["mask"]).collect()} == {(1, "tas", 0), (1, None, 0), (2, "clim_bnds", 0)}
+    assert included(variables, atts, []).count() == 4
+    bits = spark.createDataFrame([(1023,), (-1,), (None,)], "x long").select(clear_low_bits(F.col("x"), 4).alias("x"))
+    assert [r.x for r in bits.collect()] == [1008, -16, None]
+    square = spark.createDataFrame([(0.5, 0.5), (2.0, 0.5), (0.5, -1.0), (None, 0.5)], "lat double, lon double")
+    at = F.array(*map(F.lit, (0.0, 1.0, 1.0, 0.0))), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0)))
+    assert [r[0] for r in square.select(inside(F.col("lat"), F.col("lon"), *at)).collect()][:3] == [True, False, False]
+    assert square.select(inside(F.col("lat"), F.col("lon"), F.array(F.lit(0.0)), F.array(F.lit(0.0))).alias("x")).where("x").count() == 0
