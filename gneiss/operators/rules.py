@@ -140,13 +140,15 @@ def coordinate_roles(vars: DataFrame) -> DataFrame:
 
 
 def flag_faults(atts: DataFrame) -> DataFrame:
-    """``code`` of flag attributes (flag_values, flag_masks arrays, flag_meanings): sizes differ, values repeat, a mask is 0."""
+    """``code`` of flag attributes (flag_values, flag_masks arrays, flag_meanings): sizes differ, values repeat, a mask is 0, a value
+    has bits outside its mask (outside_mask)."""
     words = F.size(F.filter(F.split("flag_meanings", " +"), lambda x: x != ""))
     code = (
         F.when(F.col("flag_values").isNotNull() & (F.size("flag_values") != words), "sizes")
         .when(F.col("flag_masks").isNotNull() & (F.size("flag_masks") != words), "sizes")
         .when(F.col("flag_values").isNotNull() & (F.size(F.array_distinct("flag_values")) < F.size("flag_values")), "repeated")
         .when(F.exists(F.coalesce("flag_masks", F.array().cast("array<int>")), lambda x: x == 0), "zero_mask")
+        .when(F.exists(F.zip_with("flag_values", "flag_masks", lambda v, m: v.bitwiseAND(m) != v), lambda x: x), "outside_mask")
     )
     return atts.withColumn("code", code).where("code is not null")
 

@@ -61,23 +61,43 @@ def coordinate_roles(spark, sf_dir):
     return rules.coordinate_roles(v).select("file_id", "role", "weight", "tie")
 
 
-@query("""SELECT p_partkey AS file_id, CASE p_partkey % 4 WHEN 1 THEN 'sizes' WHEN 2 THEN 'repeated' ELSE 'zero_mask' END AS code FROM part WHERE p_partkey % 4 > 0""")
+#: An order's lines as flags: their numbers and masks, and a meaning each, one short for some orders.
+_FLAGS = """SELECT l_orderkey AS file_id, {list}(CAST(l_linenumber + CASE WHEN l_orderkey % 11 = 0 AND l_linenumber = 2 THEN -1 ELSE 0 END AS INT)) AS flag_values,
+ CASE WHEN l_orderkey % 3 > 0 THEN {list}(CAST(CASE WHEN l_quantity > 47 THEN 0 WHEN l_quantity > 40 THEN 2 ELSE 7 END AS INT)) END AS flag_masks,
+ trim(repeat('good ', CAST(count(*) - CASE WHEN l_orderkey % 13 = 0 THEN 1 ELSE 0 END AS INT))) AS flag_meanings FROM {from_} GROUP BY l_orderkey"""
+
+
+@query(
+    f"""WITH a AS ({_FLAGS.format(list="list", from_="(SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber)")}),
+ b AS (SELECT *, len([w for w in string_split(flag_meanings, ' ') if w <> '']) AS n FROM a)
+ SELECT file_id, code FROM (SELECT file_id, CASE WHEN len(flag_values) <> n OR len(flag_masks) <> n THEN 'sizes' WHEN len(list_distinct(flag_values)) < len(flag_values) THEN 'repeated'
+   WHEN list_contains(flag_masks, 0) THEN 'zero_mask'
+   WHEN len([i for i in range(1, len(flag_masks) + 1) if (flag_values[i] & flag_masks[i]) <> flag_values[i]]) > 0 THEN 'outside_mask' END AS code FROM b) WHERE code IS NOT NULL"""
+)
 def flag_attributes(spark, sf_dir):
-    k = F.col("p_partkey") % 4
-    values = F.when(k == 3, None).when(k == 2, F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))
-    a = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("file_id"), values.alias("flag_values"), F.when(k == 3, F.array(F.lit(0), F.lit(2))).alias("flag_masks"), F.when(k == 1, "good bad ugly").otherwise("good  bad").alias("flag_meanings")
+    """Faults of flags whose values, masks and meanings are those of an order's lines, in their order."""
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))).alias("lines"))
+    k = F.col("l_orderkey")
+    value = lambda x: (x["l_linenumber"] - F.when((k % 11 == 0) & (x["l_linenumber"] == 2), 1).otherwise(0)).cast("int")
+    mask = lambda x: F.when(x["l_quantity"] > 47, 0).when(x["l_quantity"] > 40, 2).otherwise(7).cast("int")
+    n = F.size("lines") - F.when(k % 13 == 0, 1).otherwise(0)
+    a = l.select(
+        k.alias("file_id"), F.transform("lines", value).alias("flag_values"), F.when(k % 3 > 0, F.transform("lines", mask)).alias("flag_masks"), F.array_join(F.array_repeat(F.lit("good"), n), " ").alias("flag_meanings")
     )
     return rules.flag_faults(a).select("file_id", "code")
 
 
-@query("""SELECT p_partkey AS file_id, CASE WHEN p_partkey % 5 = 1 THEN 'factor_types' ELSE 'packed_type' END AS code FROM part WHERE p_partkey % 5 IN (1, 2)""")
+#: Types of a packed variable and its factors, by size and type of the part; both engines run it.
+_PACKED = """SELECT p_partkey AS file_id, CASE WHEN p_size % 4 = 0 THEN 'short' WHEN p_size % 4 = 1 THEN 'int' WHEN p_size % 4 = 2 THEN 'byte' ELSE 'double' END AS type,
+ CASE WHEN p_retailprice > 1000 THEN 'float' WHEN p_type = 'ECONOMY' THEN 'double' END AS scale_type, CASE WHEN p_size > 30 THEN 'double' WHEN p_size > 10 THEN 'float' END AS offset_type FROM {part}"""
+
+
+@query(
+    f"""WITH v AS ({_PACKED.format(part="part")}) SELECT file_id, code FROM (SELECT file_id, CASE WHEN scale_type <> offset_type THEN 'factor_types'
+ WHEN (scale_type IS NOT NULL OR offset_type IS NOT NULL) AND type NOT IN ('byte', 'short', 'int') THEN 'packed_type' END AS code FROM v) WHERE code IS NOT NULL"""
+)
 def packing(spark, sf_dir):
-    k = F.col("p_partkey") % 5
-    v = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("file_id"), F.when(k == 2, "double").otherwise("short").alias("type"), F.when(k < 3, "float").alias("scale_type"), F.when(k == 1, "double").when(k < 3, "float").alias("offset_type")
-    )
-    return rules.packing_faults(v).select("file_id", "code")
+    return rules.packing_faults(spark.sql(_PACKED.format(part=f"parquet.`{sf_dir}/part.parquet`"))).select("file_id", "code")
 
 
 @query("""SELECT l_orderkey AS file_id, c.total, s.size FROM (SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY 1) c JOIN (SELECT l_orderkey AS k, count(*) * (count(*) + 1) // 2 AS size FROM lineitem GROUP BY 1) s ON k = l_orderkey WHERE total <> size""")
@@ -87,11 +107,18 @@ def ragged_counts(spark, sf_dir):
     return rules.ragged_faults(l.select("file_id", F.col("l_linenumber").cast("long").alias("count")), sizes)
 
 
-@query("""SELECT n_nationkey AS file_id, 'area_' || n_regionkey AS name FROM nation WHERE n_nationkey % 3 = 0""")
+@query("""WITH a AS (SELECT l_orderkey AS file_id, 'v' || l_linenumber AS var, 'cell_measures' AS att, 'a_' || l_returnflag AS name FROM lineitem
+ UNION ALL SELECT l_orderkey, 'v' || l_linenumber, 'cell_measures', 'a_' || l_linestatus FROM lineitem
+ UNION ALL SELECT l_orderkey, 'v' || l_linenumber, 'ancillary_variables', 'a_' || l_linestatus FROM lineitem),
+ v AS (SELECT DISTINCT l_orderkey AS file_id, 'a_' || l_returnflag AS name FROM lineitem WHERE l_quantity > 10 UNION SELECT l_orderkey, 'a_' || l_linestatus FROM lineitem WHERE l_quantity > 30)
+ SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.file_id = a.file_id AND v.name = a.name)""")
 def dangling_references(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("file_id"), F.concat(F.lit("area_"), F.col("n_regionkey").cast("string")).alias("area"))
-    atts = n.select("file_id", F.lit("tas").alias("var"), F.lit("cell_measures").alias("att"), F.concat(F.lit("area: "), F.col("area")).alias("value"))
-    return rules.dangling_references(atts, n.where("file_id % 3 <> 0").select("file_id", F.col("area").alias("var")), ["cell_measures"]).select("file_id", "name")
+    """A line's attributes name cells of its flag and status; its order has those of lines of large quantity."""
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), F.concat(F.lit("v"), F.col("l_linenumber").cast("string")).alias("var"), F.concat(F.lit("a_"), "l_returnflag").alias("f"), F.concat(F.lit("a_"), "l_linestatus").alias("s"), "l_quantity")
+    measures = l.select("file_id", "var", F.lit("cell_measures").alias("att"), F.concat(F.lit("area: "), "f", F.lit(" volume: "), "s").alias("value"))
+    atts = measures.union(l.select("file_id", "var", F.lit("ancillary_variables"), "s")).union(l.select("file_id", "var", F.lit("comment"), F.lit("no_reference")))
+    has = l.where("l_quantity > 10").select("file_id", F.col("f").alias("var")).union(l.where("l_quantity > 30").select("file_id", "s"))
+    return rules.dangling_references(atts, has, ["cell_measures", "ancillary_variables"]).select("file_id", "var", "att", "name")
 
 
 @query("""WITH v AS (SELECT o_custkey, o_orderkey, list_sort(list_distinct(list(l_returnflag))) AS vs FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
@@ -102,18 +129,25 @@ def changed_variables(spark, sf_dir):
     return rules.changed_variables(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(v, "o_orderkey"), ["o_custkey"], "o_orderkey", "vs")
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN '3_1' WHEN p_size % 3 = 0 THEN 'units' END AS code FROM part""")
+@query("""WITH need AS (SELECT p_brand, p_name, min(p_type) AS p_type, max(p_size) AS p_size FROM part WHERE p_size <= 25 GROUP BY 1, 2)
+ SELECT p.p_partkey, CASE WHEN n.p_type IS NULL THEN '3_1' WHEN p.p_type <> n.p_type THEN 'p_type' WHEN p.p_size <> n.p_size THEN 'p_size' END AS code
+ FROM part p LEFT JOIN need n ON p.p_brand = n.p_brand AND p.p_name = n.p_name""")
 def requirement_lookup(spark, sf_dir):
-    v = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.when(F.col("p_size") % 3 == 0, "K").otherwise("m").alias("units"))
-    need = spark.range(0, 41).select(F.col("id").cast("int").alias("p_size"), F.lit("m").alias("units"))
-    return rules.looked_up(v, need, ["p_size"], ["units"]).select("p_partkey", "code")
+    """Parts against a table of brand and name that the smaller ones make."""
+    v = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size")
+    need = v.where("p_size <= 25").groupBy("p_brand", "p_name").agg(F.min("p_type").alias("p_type"), F.max("p_size").alias("p_size"))
+    return rules.looked_up(v, need, ["p_brand", "p_name"], ["p_type", "p_size"]).select("p_partkey", "code")
 
 
-@query("""SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'AFR' WHEN s_suppkey % 3 = 1 THEN 'EUR' END AS domain, CASE WHEN s_suppkey % 3 = 0 THEN 'name' WHEN s_suppkey % 3 = 1 THEN 'size' END AS by FROM supplier""")
+@query("""WITH g AS (SELECT p_partkey, p_name AS name, p_size AS nlon, p_partkey % 10 AS nlat FROM part),
+ d AS (SELECT p_name AS name, max(p_size) AS nlon, min(p_partkey % 10) AS nlat FROM part WHERE p_brand = 'Brand#2' GROUP BY 1), s AS (SELECT nlon, nlat, min(name) AS first FROM d GROUP BY 1, 2)
+ SELECT p_partkey, CASE WHEN d.name IS NOT NULL THEN d.name ELSE s.first END AS domain, CASE WHEN d.name IS NOT NULL THEN 'name' WHEN s.first IS NOT NULL THEN 'size' END AS by
+ FROM g LEFT JOIN d ON d.name = g.name LEFT JOIN s ON s.nlon = g.nlon AND s.nlat = g.nlat""")
 def domain_lookup(spark, sf_dir):
-    k = F.col("s_suppkey") % 3
-    g = table(spark, sf_dir, "supplier").select("s_suppkey", F.when(k == 0, "AFR").otherwise("other").alias("name"), F.when(k == 1, 106).otherwise(7).alias("nlon"), F.when(k == 1, 103).otherwise(7).alias("nlat"))
-    return rules.domain(g, spark.createDataFrame([("AFR", 194, 201), ("EUR", 106, 103)], "name string, nlon int, nlat int")).select("s_suppkey", "domain", "by")
+    """Grids of parts, named and sized by them, among the domains that one brand's names make."""
+    g = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.col("p_name").alias("name"), F.col("p_size").alias("nlon"), (F.col("p_partkey") % 10).alias("nlat"))
+    d = g.where("p_brand = 'Brand#2'").groupBy("name").agg(F.max("nlon").alias("nlon"), F.min("nlat").alias("nlat"))
+    return rules.domain(g, d).select("p_partkey", "domain", "by")
 
 
 @query("SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")

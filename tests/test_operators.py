@@ -322,3 +322,11 @@ def test_included_bits_and_points(spark):
     at = F.array(*map(F.lit, (0.0, 1.0, 1.0, 0.0))), F.array(*map(F.lit, (0.0, 0.0, 1.0, 1.0)))
     assert [r[0] for r in square.select(inside(F.col("lat"), F.col("lon"), *at)).collect()][:3] == [True, False, False]
     assert square.select(inside(F.col("lat"), F.col("lon"), F.array(F.lit(0.0)), F.array(F.lit(0.0))).alias("x")).where("x").count() == 0
+
+
+def test_flag_faults_by_mask(spark):
+    from gneiss.operators.rules import flag_faults
+
+    rows = [(1, [1, 2], [1, 3], "a b"), (2, [1, 4], [1, 3], "a b"), (3, [0, 1], [0, 1], "a b"), (4, [1], None, "a b"), (5, [1, 1], [1, 1], "a b"), (6, None, [4, 8], "a b"), (7, None, None, None), (8, [], None, "")]
+    a = spark.createDataFrame(rows, "file_id long, flag_values array<int>, flag_masks array<int>, flag_meanings string")
+    assert {r.file_id: r.code for r in flag_faults(a).collect()} == {2: "outside_mask", 3: "zero_mask", 4: "sizes", 5: "repeated"}
