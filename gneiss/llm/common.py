@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; every operator here splits words on these six characters.
@@ -70,6 +70,20 @@ def release(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def indexed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, its rows numbered from 0 without gaps, in the order of its partitions, in ``index``.
+
+    A row's number is its place in its part plus the rows of the parts before; the parts' sizes are one row for each
+    part, so their running sum is a small window.
+    """
+    df = materialise(df.withColumn("index", F.monotonically_increasing_id()), name)
+    part, place = F.shiftright("index", 33), F.col("index").bitwiseAND((1 << 33) - 1)
+    sizes = df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.broadcast(sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")))
+    return df.withColumn("part", part).join(first, "part").withColumn("index", F.col("first") + place).drop("part", "first")
+
+
 #: Rows of a few numbers that may be broadcast; the side of a join beyond it is shuffled.
 BROADCAST_ROWS = 2_000_000
 

@@ -24,10 +24,10 @@ from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
 from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise
+from gneiss.llm.common import indexed
 
 SCALE, SHIFT = 64, 1_000_000
 #: Components that are returned, or as many as there are dimensions.
@@ -53,20 +53,6 @@ def _numbers(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def indexed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once, its rows numbered from 0 without gaps in ``index``.
-
-    A row's number is its place in its part file plus the rows of the parts before; the parts' sizes are one row for each
-    part, so their running sum is a small window.
-    """
-    df = materialise(df.withColumn("index", F.monotonically_increasing_id()), name)
-    part, place = F.shiftright("index", 33), F.col("index").bitwiseAND((1 << 33) - 1)
-    sizes = df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.broadcast(sizes.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first")))
-    return df.withColumn("part", part).join(first, "part").withColumn("index", F.col("first") + place).drop("part", "first")
-
-
 def block_matrix(rows: DataFrame, n: int, d: int) -> BlockMatrix:
     """The (index, array) ``rows`` as a matrix of n rows and d columns."""
     high = max(1, BLOCK_CELLS // d)
