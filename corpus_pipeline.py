@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise, table, tuned
+from gneiss.llm.common import materialise, release, table
 from gneiss.llm.decontaminate import keep_clean
 from gneiss.llm.jaccard_join import keep_one
 from gneiss.llm.langid import keep_known
@@ -14,9 +14,8 @@ from gneiss.llm.sharding import assign_shards
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near no language's centroids go."""
-    tuned(spark)
-    return keep_known(docs)
+    """Documents whose text is near no language's centroids go. What Python workers judge is written here, in small batches."""
+    return materialise(keep_known(docs), "stage-language")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +25,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return keep_clean(docs, table(tuned(spark), sf_dir, "benchmark"))
+    return materialise(keep_clean(docs, table(spark, sf_dir, "benchmark")), "stage-benchmark")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +47,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        told = stage(spark, docs, sf_dir)
+        if not hasattr(told, "_table"):
+            told = materialise(told, f"stage-{name}")
+        release(docs)
+        docs = told
     return STAGES[-1][1](spark, docs, sf_dir)

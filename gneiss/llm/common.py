@@ -44,10 +44,11 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """``spark`` with batches of ``ARROW_ROWS`` from now on, for queries whose result itself comes from Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    return spark
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -7,10 +7,14 @@ every e + 1, so that some band holds them all. Bands with that many shared q-gra
 is verified by a banded alignment of the item with the text around it.
 
 Texts are compared as UTF-8 bytes of their lower case, each run of white space as one space; an edit is one byte,
-and places count in those bytes. An item of more than ``SEGMENT`` bytes is searched by overlapping segments, so that a
-document that holds a long passage of it is found; an item too short for a q-gram of evidence beside an edit (fewer than
-``LEAST`` bytes) is searched exactly, as whole words. The items are searched in blocks of at most ``BLOCK_BYTES``,
-each of which is broadcast and indexed once in a Python worker; every document is read whole against every block.
+and places count in those bytes. One rule holds for items of all sizes: edits up to ``RATE`` of what is aligned, and an item
+leaks if a document holds at least the share ``SHARE`` of its bytes. An item of more than ``SEGMENT`` bytes is searched by
+overlapping segments, each with its own edits, and the share is that of the bytes that the found ones cover; of a shorter one all is held
+or nothing is. An item so short that its edits come to none is searched exactly, as whole words. What is shorter than ``EVIDENCE`` bytes stands in any
+text by chance: it is found, but takes no document out.
+
+The items are searched in blocks of at most ``BLOCK_BYTES``, each of which is broadcast and indexed once in a Python worker; every
+document is read whole against every block.
 """
 
 from __future__ import annotations
@@ -23,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise, sliced
+from gneiss.llm.common import fresh, materialise, sliced
 from gneiss.llm.shingles import chunks, text_buffers
 
 Q = 8
-#: Edits in a byte of an item, and the bytes from which an item may have any: a shorter one is searched exactly.
-RATE, LEAST = 0.07, 40
+#: Edits in a byte of an item, the share of its bytes that a document has to hold, and the bytes below which an item is no evidence.
+RATE, SHARE, EVIDENCE = 0.07, 0.9, 20
 #: Bytes of a segment of a long item; segments begin every half of it.
 SEGMENT = 512
 #: Bytes of benchmark text that are broadcast at once.
@@ -69,12 +73,21 @@ def _slot(codes: np.ndarray) -> np.ndarray:
     return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
 
-def _pieces(b: np.ndarray) -> list[np.ndarray]:
-    """An item, or its overlapping segments if it is long; the last one ends with the item."""
+def _pieces(b: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """An item, or its overlapping segments if it is long, with their first bytes; the last one ends with the item."""
     if len(b) <= SEGMENT:
-        return [b]
+        return [(0, b)]
     starts = [*range(0, len(b) - SEGMENT, SEGMENT // 2), len(b) - SEGMENT]
-    return [b[i : i + SEGMENT] for i in starts]
+    return [(i, b[i : i + SEGMENT]) for i in starts]
+
+
+def _covered(spans: list[tuple[int, int]]) -> int:
+    """Bytes that lie in some span [begin, end)."""
+    total, upto = 0, 0
+    for a, z in sorted(spans):
+        total += max(0, z - max(a, upto))
+        upto = max(upto, z)
+    return total
 
 
 class Items:
@@ -82,7 +95,13 @@ class Items:
 
     def __init__(self, items: list[tuple[int | None, str]], rate: float = RATE):
         known = [(i, _folded(t)) for i, t in items if t]
-        self.items = [(i, p) for i, b in known if len(b) >= LEAST for p in _pieces(b)]
+        self.sizes = [len(b) for _, b in known]
+        self.ids = [i for i, _ in known]
+        long = [budget(min(len(b), SEGMENT), rate) > 0 for _, b in known]
+        #: (item, first byte of the piece in it, piece)
+        pieces = [(k, at, p) for k, (_, b) in enumerate(known) if long[k] for at, p in _pieces(b)]
+        self.places = [at for _, at, _ in pieces]
+        self.items = [(k, p) for k, _, p in pieces]
         self.edits = np.array([budget(len(b), rate) for _, b in self.items], np.int64)
         self.needed = np.array([max(1, len(b) - Q + 1 - Q * e) for (_, b), e in zip(self.items, self.edits, strict=True)], np.int64)
         codes = [_codes(b) for _, b in self.items]
@@ -96,12 +115,14 @@ class Items:
         self.filter = np.zeros(1 << _SLOTS, bool)
         self.filter[_slot(self.grams)] = True
         # short items by their first bytes, of each length up to Q: sorted codes and the items of each
-        self.short: dict[int, tuple[np.ndarray, list[list[tuple[int | None, bytes]]]]] = {}
-        for n in {min(Q, len(b)) for _, b in known if 0 < len(b) < LEAST}:
-            by: dict[int, list[tuple[int | None, bytes]]] = {}
-            for i, b in known:
-                if 0 < len(b) < LEAST and min(Q, len(b)) == n:
-                    by.setdefault(int.from_bytes(b[:n].tobytes(), "little"), []).append((i, b.tobytes()))
+        short = [(k, b) for k, (_, b) in enumerate(known) if len(b) and not long[k]]
+        self.longest = max((len(b) for _, b in short), default=0)
+        self.short: dict[int, tuple[np.ndarray, list[list[tuple[int, bytes]]]]] = {}
+        for n in {min(Q, len(b)) for _, b in short}:
+            by: dict[int, list[tuple[int, bytes]]] = {}
+            for k, b in short:
+                if min(Q, len(b)) == n:
+                    by.setdefault(int.from_bytes(b[:n].tobytes(), "little"), []).append((k, b.tobytes()))
             self.short[n] = np.array(sorted(by), np.uint64), [by[k] for k in sorted(by)]
 
     def _expanded(self, at, gram, row, offsets):
@@ -165,10 +186,10 @@ class Items:
             yield r, i, b * int(self.edits[i] + 1)
 
     def words(self, text: np.ndarray, offsets: np.ndarray):
-        """(row, item id, first byte, bytes) of each short item that stands in a row as whole words."""
+        """(row, item, first byte) of each short item that stands in a row as whole words."""
         if not self.short or not len(text):
             return
-        padded = np.concatenate([text, np.zeros(LEAST, np.uint8)])
+        padded = np.concatenate([text, np.zeros(max(Q, self.longest) + 1, np.uint8)])
         codes = _codes(padded)[: len(text)]
         before = np.concatenate([[False], _WORD[text[:-1]]])
         before[offsets[:-1][offsets[:-1] < len(text)]] = False
@@ -177,10 +198,10 @@ class Items:
             place = np.minimum(np.searchsorted(known, own), len(known) - 1)
             for x in np.flatnonzero((known[place] == own) & ~before).tolist():
                 row = int(np.searchsorted(offsets, x, "right")) - 1
-                for i, b in items[place[x]]:
+                for k, b in items[place[x]]:
                     z = x + len(b)
                     if z <= offsets[row + 1] and padded[x:z].tobytes() == b and not (z < offsets[row + 1] and _WORD[padded[z]]):
-                        yield row, i, x - int(offsets[row]), len(b)
+                        yield row, k, x - int(offsets[row])
 
     def verify(self, item: int, text: np.ndarray, low: int) -> tuple[int, int] | None:
         """(edits, first byte) of the item in ``text`` on the diagonals of the band from ``low`` and as
@@ -216,20 +237,27 @@ class Items:
         return (int(cost[best]), int(first[best])) if cost[best] <= e else None
 
     def search(self, column):
-        """(row, item id, edits, first byte, bytes), the best place of each item in a row; bytes of the piece that is found."""
+        """(row, item id, edits, first byte, item bytes, share), the best place of each item in a row: the most of it, then the fewest edits, then the
+        first place. Edits and place are those of its best piece; of items that share an id the one of the greatest share is told."""
         data, offsets = text_buffers(column)
         for i, j in chunks(offsets):
             text, bounds = fold(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            best = {}
+            found: dict[tuple[int, int], dict[tuple[int, int], tuple[int, int]]] = {}
             for row, item, low in self.regions(text, bounds):
                 hit = self.verify(item, text[bounds[row] : bounds[row + 1]], low)
                 if hit:
-                    id, piece = self.items[item]
-                    best[row, id] = min((*hit, len(piece)), best.get((row, id), (1 << 60,)))
-            for row, id, first, n in self.words(text, bounds):
-                best[row, id] = min((0, first, n), best.get((row, id), (1 << 60,)))
-            for (row, id), (edits, first, n) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
-                yield i + row, id, edits, first, n
+                    k, piece = self.items[item]
+                    at, held = self.places[item], found.setdefault((row, k), {})
+                    held[at, at + len(piece)] = min(hit, held.get((at, at + len(piece)), hit))
+            for row, k, first in self.words(text, bounds):
+                held = found.setdefault((row, k), {})
+                held[0, self.sizes[k]] = min((0, first), held.get((0, self.sizes[k]), (0, first)))
+            best = {}
+            for (row, k), held in found.items():
+                told = (-_covered(list(held)) / self.sizes[k], *min(held.values()), self.sizes[k])
+                best[row, self.ids[k]] = min(told, best.get((row, self.ids[k]), told))
+            for (row, id), (share, edits, first, n) in sorted(best.items(), key=lambda x: (x[0][0], x[0][1] is None, x[0][1] or 0)):
+                yield i + row, id, edits, first, n, -share
 
 
 def _folded(text: str) -> np.ndarray:
@@ -268,13 +296,13 @@ def _blocks(benchmark: DataFrame, id: str, text: str):
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", rate: float = RATE) -> DataFrame:
-    """(id, item_id, edits, first_byte, item_bytes): each item that a document holds within its edit budget, at its best place.
+    """(id, item_id, edits, first_byte, item_bytes, share): each item of which a document holds a share within the edits, at its best place.
 
     Null or empty texts and items hold and are nothing. Rows of null id are searched as any other, and so are items of null
     id, which count as one; repeated rows give repeated results. With no items the result is empty. Columns besides id and
-    text are ignored. ``item_bytes`` are those of the segment that was found, where the item is long.
+    text are ignored. A ``share`` of ``SHARE`` or more is a leak; long passages of long items are told with their lesser share.
     """
-    schema = "id long, item_id long, edits int, first_byte long, item_bytes int"
+    schema = "id long, item_id long, edits int, first_byte long, item_bytes int, share double"
     at = docs.select(docs[id].cast("long").alias("id"), F.lower(docs[text].cast("string")).alias("text"))
     sc, found = docs.sparkSession.sparkContext, []
     for block in _blocks(benchmark, "item_id", "text"):
@@ -283,31 +311,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
         def run(batches, shared=shared):
             for batch in sliced(batches):
                 rows = list(_indexed(shared).search(batch.column(1)))
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32())],
-                    ["id", "item_id", "edits", "first_byte", "item_bytes"],
+                    [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.float64())],
+                    ["id", "item_id", "edits", "first_byte", "item_bytes", "share"],
                 )
 
         found.append(at.mapInArrow(run, schema))
     return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE) -> DataFrame:
-    """``docs`` without the rows that hold an item, whatever their id; columns as they are. Rows are judged where they
-    are read: nothing is joined. Each block of the benchmark is one pass over what the block before left."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", rate: float = RATE, share: float = SHARE, evidence: int = EVIDENCE) -> DataFrame:
+    """``docs`` without the rows that hold the share ``share`` of an item of ``evidence`` bytes or more; columns as they are, whatever their names.
+
+    Rows are judged by their text where they are read, nothing is joined: null and repeated ids are judged as others, copies alike, null and
+    empty texts stay. With no items every row stays; an empty table gives an empty one. Each block of the benchmark is one pass over what the
+    block before left.
+    """
     sc, names, first = docs.sparkSession.sparkContext, docs.columns, True
+    low = fresh(names, "lower_")
     for block in _blocks(benchmark, "item_id", "text"):
         shared = sc.broadcast((uuid.uuid4().hex, block, rate))
 
         def run(batches, shared=shared):
             for batch in sliced(batches):
                 keep = np.ones(batch.num_rows, bool)
-                for row, *_ in _indexed(shared).search(batch.column(len(names))):
-                    keep[row] = False
+                for row, _, _, _, size, held in _indexed(shared).search(batch.column(len(names))):
+                    keep[row] &= held < share or size < evidence
                 yield batch.select(range(len(names))).filter(pa.array(keep))
 
         docs = docs if first else materialise(docs, "clean")
         first = False
-        docs = docs.select("*", F.lower(docs[text].cast("string")).alias("_lower")).mapInArrow(run, docs.schema)
+        docs = docs.select("*", F.lower(docs[text].cast("string")).alias(low)).mapInArrow(run, docs.schema)
     return docs

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import BROADCAST_ROWS, materialise, release, sliced, small_side
+from gneiss.llm.common import BROADCAST_ROWS, fresh, materialise, release, sliced, small_side
 from gneiss.llm.components import components, merged
 from gneiss.llm.shingles import mix, shingle_sets
 
@@ -53,7 +53,7 @@ def _fingerprint(s: np.ndarray) -> np.int64:
 
 
 def _profiles(width: int):
-    """One row a document (id, n, sig, counts), and rows with null id: (sig: a shingle that is common here, n: how often)."""
+    """One row a document (id, n, sig, counts, digest), and rows without counts: (sig: a shingle that is common here, n: how often)."""
 
     def run(batches):
         seen = []
@@ -64,7 +64,7 @@ def _profiles(width: int):
                 sigs.append(_fingerprint(s))
                 counts.append(np.minimum(np.bincount((s & np.uint64(_fold_width(len(s)) - 1)).astype(np.int64), minlength=_fold_width(len(s))), 255).astype(np.uint8).tobytes())
                 seen.append(s)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(counts, pa.binary())], ["id", "n", "sig", "counts"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64()), pa.array(counts, pa.binary()), batch.column(2)], ["id", "n", "sig", "counts", "digest"])
             if sum(map(len, seen)) > COMMON_SEEN:
                 yield from _often(seen)
                 seen = []
@@ -78,7 +78,7 @@ def _often(sets: list[np.ndarray]):
     values, often = np.unique(np.concatenate(sets), return_counts=True)
     keep = often > 1
     n = int(keep.sum())
-    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(often[keep], pa.int64()), pa.array(values[keep].view(np.int64)), pa.nulls(n, pa.binary())], ["id", "n", "sig", "counts"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(often[keep], pa.int64()), pa.array(values[keep].view(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], ["id", "n", "sig", "counts", "digest"])
 
 
 def _regions(width: int, percent: int, common):
@@ -168,7 +168,8 @@ class JaccardJoin:
         self.joined = self._join()
 
     def _profile(self) -> DataFrame:
-        made = materialise(self.texts.mapInArrow(_profiles(self.width), "id long, n long, sig long, counts binary"), "profiles")
+        texts = self.texts.withColumn("digest", F.xxhash64("text"))
+        made = materialise(texts.mapInArrow(_profiles(self.width), "id long, n long, sig long, counts binary, digest long"), "profiles")
         often = made.where("counts is null").groupBy("sig").agg(F.sum("n").alias("n")).where(f"n >= {COMMON_LEAST}").orderBy(F.desc("n"), "sig").limit(COMMON)
         at = np.sort(np.array([x.sig for x in often.select("sig").toLocalIterator()], np.int64).view(np.uint64))
         self.common = self.texts.sparkSession.sparkContext.broadcast(at)
@@ -271,7 +272,7 @@ class JaccardJoin:
         return x.join(y, F.expr(f"{on} and {ours} and {window} and {self._near('x', 'y', first=True)}")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
     def members(self) -> DataFrame:
-        """(id, n, sig, comp): every row of ``docs`` with the component of its set, the smallest id in it.
+        """(id, n, sig, digest, comp): every row of ``docs`` with the hash of its text and the component of its set, the smallest id in it.
 
         A set without links is a component with its copies; a document without words is one by itself.
         """
@@ -279,7 +280,7 @@ class JaccardJoin:
         rep = self.points.join(joined, self.points.sig == joined.node, "left").select("sig", "n", F.coalesce("comp", "sig").alias("root"), "rep")
         least = rep.groupBy("root").agg(F.min("rep").alias("comp"))
         named = rep.join(least, "root").select("sig", "n", "comp")
-        return self.profiles.join(named, ["sig", "n"], "left").select("id", "n", "sig", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"))
+        return self.profiles.join(named, ["sig", "n"], "left").select("id", "n", "sig", "digest", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("comp")).otherwise(F.col("id")).alias("comp"))
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
@@ -287,8 +288,21 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
     return JaccardJoin(docs, **options).members().select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one of the smallest id; rows of null id stay."""
-    at = JaccardJoin(docs, id=id, **options).members()
-    gone = at.where("id <> comp").select(F.col("id").alias(id)).distinct()
-    return docs.join(small_side(gone, "gone"), id, "left_anti")
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the smallest id and, of several texts of it in the group, the smallest hash.
+
+    A row goes by id and text, so that another text of the same id stays in its own group; of repeated rows (same id and text) any one stays.
+    Rows of null id, and those without words (null, empty or blank texts), link with nothing and all stay. An empty table gives an
+    empty one; columns are those of ``docs``, whatever their names.
+    """
+    join = JaccardJoin(docs, id=id, text=text, **options)
+    at = materialise(join.members().where("n > 0 and id is not null").groupBy("comp", "id", "digest").agg(F.count("*").alias("rows")), "members")
+    kept = at.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("k")).select("comp", F.col("k.id").alias("id"), F.col("k.digest").alias("digest"))
+    gone = at.join(kept, ["comp", "id", "digest"], "left_anti").select("id", "digest", F.lit(True).alias("gone"))
+    again = at.where("rows > 1").join(kept, ["comp", "id", "digest"], "left_semi").select("id", "digest", F.lit(False).alias("gone"))
+    i, d, g = (fresh(docs.columns, c) for c in ("id_", "digest_", "gone_"))
+    fate = small_side(gone.union(again).select(F.col("id").alias(i), F.col("digest").alias(d), F.col("gone").alias(g)), "fate")
+    names = [f"`{c}`" for c in docs.columns]
+    judged = docs.withColumns({i: docs[id].cast("long"), d: F.xxhash64(docs[text].cast("string"))}).join(fate, [i, d], "left")
+    once = judged.where(f"not {g}").dropDuplicates([i, d])
+    return judged.where(f"{g} is null").select(*names).union(once.select(*names))

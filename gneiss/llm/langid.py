@@ -40,7 +40,13 @@ LEAST_OWN, LEAST_ALL = 100, 20
 FARTHEST = 0.995
 #: Of a language's texts a centroid has this share at least, and two texts.
 LEAST_SHARE = 0.02
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What is no letter: Python's ``\w`` has numerals that are not digits (\u00bd, \u00b2, \u2167) too.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha())
+_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMERALS)}]+")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _batches(texts):
@@ -106,7 +112,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
 def excerpts(texts: list[str]) -> list[str]:
     """Pieces of the longer texts, from a third of them on, without those that hold no letter."""
     cut = (t[len(t) // 3 :][:n] for t in texts for n in EXCERPTS if len(t) > 2 * n)
-    return [t for t in cut if re.search(r"[^\W\d_]", t)]
+    return [t for t in cut if has_letter(t)]
 
 
 def radii(texts: list[str], c: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -189,7 +195,7 @@ class LanguageModel:
     def score(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """(language, cosine, rejected) of each text; null texts and those without a letter are ``und``, 0 and rejected."""
         out = [(UNDETERMINED, 0.0, True)] * len(texts)
-        known = [i for i, t in enumerate(texts) if t and self.langs and re.search(r"[^\W\d_]", t)]
+        known = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         done = 0
         for batch in _batches([texts[i] for i in known]):
             v = vectors(batch, self.idf)
@@ -222,8 +228,15 @@ def held_out(id: str = "doc_id"):
 
 
 def keep_known(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose text the model, trained on the rows with a language, rejects."""
+    """``docs`` without the rows whose text the model, trained on the rows with a language, rejects.
+
+    Null and empty texts and those without a letter are rejected. Where no row teaches a language nothing can be judged, and
+    every row stays. Rows are judged by their text alone: ids may be null or repeated, copies are judged alike; an
+    empty table gives an empty one; columns are those of ``docs``.
+    """
     model = LanguageModel.fit(docs.where(~held_out()), **options)
+    if not model.langs:
+        return docs
     names = docs.columns
     known = docs.sparkSession.sparkContext.broadcast(model)
 

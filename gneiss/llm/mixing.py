@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import hash_long, materialise, n_words, small_side
+from gneiss.llm.common import fresh, hash_long, materialise, n_words, small_side
 
 #: Points of the circle, and the one nearest to its golden section that is odd, so that every point has its turn.
 POINTS, GOLDEN = 1 << 31, 1327217885
@@ -84,7 +84,8 @@ class SourceMix:
     def __init__(self, docs: DataFrame, weights: DataFrame | None = None, cap: int = 3, block: int = 256, key: str = "mix"):
         self.block = block
         sized = docs.select(
-            docs.doc_id.cast("long").alias("doc_id"), docs.source.cast("string").alias("source"), n_words(docs.text).alias("size"), F.monotonically_increasing_id().alias("row")
+            docs.doc_id.cast("long").alias("doc_id"), docs.source.cast("string").alias("source"), n_words(docs.text).alias("size"), F.monotonically_increasing_id().alias("row"),
+            F.xxhash64(docs.text.cast("string")).alias("digest"),
         )
         self.docs = materialise(sized.withColumn("h", hash_long(F.lit(key), F.col("doc_id"))), "sized")
         sizes = self.docs.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -94,7 +95,8 @@ class SourceMix:
         self.placed = materialise(running(placed, ["sid"], F.shiftright("h", 48), ["h", "size", "row"], F.col("size")), "placed")
         self.slots = self._slots()
         self.pieces = self._pieces()
-        self.taken = self._taken()
+        self.told = self._taken()
+        self.taken = self.told.drop("digest")
 
     def _slots(self) -> DataFrame:
         """(slot, sid, rank): the schedule in order of ``slot``."""
@@ -127,18 +129,26 @@ class SourceMix:
         return cut.join(self.slots, ["sid", "rank"])
 
     def _taken(self) -> DataFrame:
-        """(doc_id, size, source_size, target, taken, first_slot, n_slots), a row for each row of ``docs``: the words that the
+        """(doc_id, size, source_size, target, taken, first_slot, n_slots, digest of the text), a row for each row of ``docs``: the words that the
         mix takes of it, the first slot of the schedule that takes any (null: none), and the number of these slots."""
         taken = self.pieces.groupBy("row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count("*").alias("n_slots"))
         zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-        return self.placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"))
+        return self.placed.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", zero("taken"), "first_slot", zero("n_slots"), "digest")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as mixed: a document of which the mix takes words stays, as often as it is taken
-    (the nearest whole number, once at least); one of which it takes none goes. Columns as in ``docs``."""
-    taken = SourceMix(docs, **options).taken.where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    taken = small_side(taken, "taken")
-    times = F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_size"))).cast("int")
+    """``docs`` as mixed: a document of which the mix takes words stays, as often as it is taken; one of which it takes none goes. Columns as in ``docs``.
+
+    Of a source's stream every document is taken whole, as often as its stretch lies before the target, but for the one in which the
+    target falls: that one counts to the nearest whole number, once at least. So a source's words miss its target by less than that
+    one document. Documents are known by id and text; repeated rows of both share what they get (to the nearest whole
+    number each), null ids are ids as others; null, empty and blank texts are never taken and go; an empty table gives an empty one.
+    """
+    i, d, n = (fresh(docs.columns, c) for c in ("id_", "digest_", "times_"))
+    taken = SourceMix(docs, **options).told.where("taken > 0").groupBy("doc_id", "digest").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = F.greatest(F.lit(1), F.round(F.col("taken") / F.col("size"))).cast("int")
+    taken = small_side(taken.select(F.col("doc_id").alias(i), F.col("digest").alias(d), times.alias(n)), "taken")
     names = [f"`{c}`" for c in docs.columns]
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_turn", F.explode(F.sequence(F.lit(1), times))).select(*names)
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(docs["text"].cast("string")) == F.col(d))
+    turns = F.explode(F.sequence(F.lit(1), F.col(n))).alias(fresh(docs.columns, "turn_"))
+    return docs.join(taken, on).select(*names, turns).select(*names)

@@ -2,12 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table, tuned
+from gneiss.llm.common import materialise, table
 from gneiss.llm.decontaminate import leaks
 
 
 def op10_decontamination(spark, sf_dir):
-    return leaks(table(tuned(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+    return materialise(leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")), "leaks").withColumnRenamed("id", "doc_id")
 
 
 QUERIES = {"op10_decontamination": op10_decontamination}

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import table, tuned
+from gneiss.llm.common import materialise, table
 from gneiss.llm.langid import LanguageModel, held_out
 
 
 def op9_language_id(spark, sf_dir):
-    docs = table(tuned(spark), sf_dir, "documents")
-    found = LanguageModel.fit(docs.where(~held_out())).predict(docs)
+    docs = table(spark, sf_dir, "documents")
+    found = materialise(LanguageModel.fit(docs.where(~held_out())).predict(docs), "languages")
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "rejected")
 
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 
@@ -48,6 +49,18 @@ def test_odd_rows(odd, none):
     assert keep_one(odd).columns == odd.columns
 
 
+def test_one_row_of_each_group_and_no_text_is_lost(spark):
+    """Rows of one id with several texts, repeated rows, and columns named as those that the operator adds."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, a), (5, a), (5, b), (5, b.upper()), (6, b), (7, "c d"), (7, "c d"), (8, ""), (8, None), (8, ""), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id_", "2 as digest_", "3 as gone_", "4 as id", "5 as n", "6 as rows", "7 as comp")
+    got = keep_one(df)
+    assert got.columns == df.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [k for k in kept if k[1] and k[0] is not None and k[0] < 7] in ([(1, a), (5, b)], [(1, a), (5, b.upper())])
+    assert Counter(k[0] for k in kept) == {1: 1, 5: 1, 7: 1, 8: 3, None: 2}
+
+
 def test_near_copies_of_all_distances(spark):
     """Families of edited copies around the threshold, many unrelated documents that share passages, in small blocks and few levels."""
     rnd, rows = random.Random(5), []

@@ -27,9 +27,24 @@ def test_odd_rows(odd, none):
     assert SourceMix(none).taken.count() == 0
     assert mixed_documents(odd).columns == odd.columns
     assert mixed_documents(none).count() == 0
+    clash = odd.selectExpr("*", "1 as _id", "2 as id_", "3 as times_", "4 as turn_", "5 as _taken", "6 as digest")
+    assert mixed_documents(clash).columns == clash.columns and mixed_documents(clash).count() == mixed_documents(odd).count()
     assert sorted(map(str, m.taken.collect())) == sorted(map(str, SourceMix(odd, block=64).taken.collect()))
 
 
+def test_mixed_documents_meet_their_targets_but_for_one_document(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes = Counter()
+    for r in mixed_documents(docs).collect():
+        sizes[r.source] += words(r.text)
+    longest = {}
+    for r in docs.collect():
+        longest[r.source] = max(longest.get(r.source, 0), words(r.text))
+    sources = SourceMix(docs).sources.collect()
+    assert all(abs(sizes[r.source] - r.quota) < max(1, longest[r.source]) for r in sources)
+
+
 def test_schedule_is_even(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     m = SourceMix(docs, block=16)

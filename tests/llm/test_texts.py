@@ -1,7 +1,9 @@
 """Language identification, decontamination, chat formatting, WARC audit and the pipeline."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -89,6 +91,22 @@ def test_predictions_use_the_text_alone(spark):
     assert a == b
 
 
+def test_letters_only(spark):
+    model = LanguageModel.fit(spark.createDataFrame([("one two three", "en"), ("eins zwei drei", "de")], "text string, lang string"))
+    assert [x[0] for x in model.score(["½ ² Ⅷ", "12 _ %", "", None, "٣"])] == ["und"] * 5
+    assert [x[0] for x in model.score(["two", "zwei"])] == ["en", "de"]
+
+
+def test_rows_that_cannot_be_judged_stay(spark, odd, none):
+    """Without languages nothing is known, so nothing goes; with them what has no letter goes."""
+    assert keep_known(odd.withColumn("lang", F.lit(None).cast("string"))).count() == odd.count()
+    assert keep_known(none).count() == 0
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    some = docs.union(docs.limit(1).selectExpr("-1L", "'½ 12'", "lang", "source", "n_chars")).union(docs.limit(1).selectExpr("-2L", "cast(null as string)", "lang", "source", "n_chars"))
+    kept = {r.doc_id for r in keep_known(some).collect()}
+    assert not kept & {-1, -2} and len(kept) > 0.9 * docs.count()
+
+
 def test_no_training_rows(odd):
     assert {r.lang_pred for r in LanguageModel.fit(odd.where("false")).predict(odd).collect()} == {"und"}
     assert keep_known(odd).columns == odd.columns
@@ -131,7 +149,10 @@ def test_leaks_of_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "w0x0 w1x1 w2x2 w3x3 w4x4 w5x5 w6x6 w7x7 w8x8 w9x9"), (2, None), (3, ""), (None, "id has this text at all"), (4, "tiny"), (5, "TWO"), (6, "one \n two"), (7, "phab")], "item_id long, text string")
     assert {(r.id, r.item_id) for r in leaks(odd, bench).collect()} == {(7, 1), (None, None), (8, 5), (9, 5), (8, 6), (9, 6)}
     assert leaks(none, bench).count() == 0 and leaks(odd, bench.where("false")).count() == 0
-    assert keep_clean(odd, bench).count() == odd.count() - 4 and keep_clean(odd, bench).columns == odd.columns
+    assert keep_clean(odd, bench).count() == odd.count() - 2 and keep_clean(odd, bench).columns == odd.columns
+    assert keep_clean(odd, bench, evidence=1).count() == odd.count() - 4
+    clash = odd.withColumn("_lower", F.lit(1)).withColumn("lower_", F.lit(2))
+    assert keep_clean(clash, bench).count() == odd.count() - 2 and keep_clean(clash, bench).columns == clash.columns
     assert None not in {r.doc_id for r in keep_clean(odd, bench).collect()}
     assert list(Items([]).regions(np.zeros(100, "uint8"), np.array([0, 100]))) == []
 
@@ -144,6 +165,42 @@ def test_passages_of_long_items_and_other_white_space(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.id: r for r in leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert set(got) == {0, 1, 3} and all(r.edits == 0 for r in got.values())
+    assert got[3].share == 1 and 0.2 < got[0].share < 0.4 and 0.6 < got[1].share < 0.75
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in keep_clean(docs, bench).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in keep_clean(docs, bench, share=0.6).collect()} == {0, 2}
+
+
+def test_one_rule_for_items_of_all_sizes(spark):
+    """Items of 8 to 2000 bytes, edited more and less than a fourteenth: edits and shares by the whole table of each piece."""
+    rnd, docs, items = random.Random(11), [], []
+    for i, size in enumerate((8, 12, 15, 16, 20, 28, 39, 40, 60, 100, 511, 513, 900, 2000)):
+        body = "".join(rnd.choice("abcdefghijklmnop ") for _ in range(size - 2))
+        items.append((i, "q" + body.replace("  ", "xy") + "z"))
+        for share in (0.0, 0.04, 0.06, 0.12):
+            text = list(items[-1][1])
+            for _ in range(round(share * size)):
+                text[rnd.randrange(len(text))] = rnd.choice("0123")
+            docs.append((len(docs), f"{rnd.choice(['word ', 'word'])}{''.join(text)} end"))
+    docs.append((len(docs), "the quick brown fox jumps over the dog"))
+    items.append((len(items), "the quick brown fox jumped over the dog"))
+    got = {(r.id, r.item_id): r for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    for i, item in items:
+        b = " ".join(item.split()).encode()
+        starts = [0] if len(b) <= 512 else [*range(0, len(b) - 512, 256), len(b) - 512]
+        for d, text in docs:
+            t = " ".join(text.split()).encode()
+            if not budget(len(b)):
+                held = {0} if re.search(rb"(?<![0-9A-Za-z])" + re.escape(b) + rb"(?![0-9A-Za-z])", t) else set()
+            elif len(b) > 100 and d // 4 != i:
+                continue
+            else:
+                held = {s for s in starts if edit_distance_within(b[s : s + 512], t) <= budget(len(b[s : s + 512]))}
+            bytes_held = {x for s in held for x in range(s, min(len(b), s + 512))}
+            assert ((d, i) in got) == bool(held), (i, d)
+            if held:
+                assert math.isclose(got[d, i].share, len(bytes_held) / len(b))
+    assert got[len(docs) - 1, len(items) - 1].edits == 2
 
 
 def test_a_passage_that_many_items_share(spark, monkeypatch):
