@@ -23,6 +23,9 @@ MAPPINGS = (
 )
 _WORDS = "filter(split({0}, '[ ]+'), x -> x <> '')"
 _NAMES = "regexp_extract_all({0}, ':[ ]*([A-Za-z_][A-Za-z0-9_]*)(?![A-Za-z0-9_]*:)', 1)"
+_RANGE = "try_cast(get(split(trim(a['valid_range']), '[ ,]+'), {0}) as double)"
+#: The type of a packed variable's factors, null where there are two.
+_FACTOR = "case when not coalesce(t['scale_factor'] <> t['add_offset'], false) then coalesce(t['add_offset'], t['scale_factor']) end"
 _TIME_UNITS = r"^\\s*(year|month|day|hour|hr|minute|min|second|sec|s|h|d)s? +since +[0-9]{1,4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}(:[0-9]{2}(:[0-9]{2}(\\.[0-9]+)?)?)?)?( *(Z|UTC|[+-][0-9:]+))?\\s*$"
 
 #: Rules of variables by code: an SQL condition on a row of ``described``; ``a`` is the map of values, ``t`` that of types.
@@ -34,12 +37,12 @@ VARIABLE_RULES = {
     "CF_23b": "size(filter(file_vars, x -> lower(x) = lower(var))) > 1",
     "CF_24a": "size(array_distinct(dims)) < size(dims)",
     "CF_24b": "array_compact(transform(dims, d -> axes[d])) <> array_sort(array_compact(transform(dims, d -> axes[d])))",
-    "CF_251a": "try_cast(a['_FillValue'] as double) between try_cast(a['valid_min'] as double) and try_cast(a['valid_max'] as double)",
+    "CF_251a": f"exists(transform(array(a['_FillValue'], a['missing_value']), x -> try_cast(x as double)), x -> x between {_RANGE.format(0)} and {_RANGE.format(1)} or x between try_cast(a['valid_min'] as double) and try_cast(a['valid_max'] as double))",
     "CF_26a": "exists(array('_FillValue', 'missing_value', 'valid_min', 'valid_max'), x -> t[x] <> type)",
     "CF_26b": "exists(array('units', 'standard_name', 'long_name', 'cell_methods', 'coordinates'), x -> t[x] not in ('char', 'string'))",
     "CF_26c": "exists(array('scale_factor', 'add_offset', 'valid_min', 'valid_max'), x -> t[x] in ('char', 'string'))",
     "CF_31a": "a['units'] in ('level', 'layer', 'sigma_level')",
-    "CF_32a": "a['standard_name'] is null and a['long_name'] is null",
+    "CF_32a": "a['standard_name'] is null and a['long_name'] is null and bounded is null and not array_contains(mappings, var) and a['grid_mapping_name'] is null and a['compress'] is null and type not in ('char', 'string')",
     "CF_33a": "a['standard_name'] is not null and not known_name",
     "CF_33b": f"size({_WORDS.format('a[\'standard_name\']')}) = 2 and not array_contains(array{MODIFIERS}, get({_WORDS.format('a[\'standard_name\']')}, 1))",
     "CF_33c": f"size({_WORDS.format('a[\'standard_name\']')}) > 2",
@@ -55,7 +58,7 @@ VARIABLE_RULES = {
     "CF_4a": "upper(a['axis']) not in ('X', 'Y', 'Z', 'T')",
     "CF_4b": "upper(a['axis']) <> role",
     "CF_41b": "role in ('X', 'Y') and is_coord and a['units'] is null",
-    "CF_41c": "role in ('X', 'Y') and is_coord and a['standard_name'] is null",
+    "CF_41c": "is_coord and a['standard_name'] is null and (var in ('rlon', 'rlat') or upper(a['axis']) in ('X', 'Y') and a['units'] rlike '^degrees?$')",
     "CF_43a": "lower(a['positive']) not in ('up', 'down')",
     "CF_43b": "a['positive'] is not null and not role <=> 'Z'",
     "CF_43c": "role = 'Z' and is_coord and a['positive'] is null and not coalesce(a['units'] in ('Pa', 'hPa', 'bar', 'mbar'), false)",
@@ -91,9 +94,9 @@ VARIABLE_RULES = {
     "CF_732e": "size(regexp_extract_all(a['cell_methods'], '\\\\(', 0)) <> size(regexp_extract_all(a['cell_methods'], '\\\\)', 0))",
     "CF_74c": "a['climatology'] is not null and not role <=> 'T'",
     "CF_81a": "t['scale_factor'] <> t['add_offset']",
-    "CF_81b": "t['scale_factor'] <> type and type not in ('byte', 'short', 'int')",
-    "CF_81c": "t['scale_factor'] not in ('float', 'double', 'byte')",
-    "CF_81d": "t['scale_factor'] = 'float' and type = 'int'",
+    "CF_81b": f"{_FACTOR} <> type and type not in ('byte', 'short', 'int')",
+    "CF_81c": f"{_FACTOR} <> type and {_FACTOR} not in ('float', 'double')",
+    "CF_81d": f"{_FACTOR} = 'float' and type = 'int'",
     "CF_82a": "a['compress'] is not null and type not in ('byte', 'short', 'int')",
     "CF_82b": f"exists({_WORDS.format('a[\'compress\']')}, x -> not array_contains(map_keys(sizes), x))",
     "CF_9b": "a['featureType'] is not null",
@@ -104,7 +107,7 @@ VARIABLE_RULES = {
 #: Rules of files by code: conditions on a row of ``files``; ``g`` is the map of global attributes.
 FILE_RULES = {
     "CF_0b": "size(array_except(map_keys(sizes), flatten(all_dims))) > 0",
-    "CF_0f": "not exists(all_dims, x -> size(x) > 1)",
+    "CF_0f": "not any_data",
     "CF_261a": "g['Conventions'] is null",
     "CF_261b": "not g['Conventions'] rlike 'CF-1[.][0-9]+'",
     "CF_261c": "g['Conventions'] rlike 'CF-1[.]3([^0-9]|$)'",
@@ -113,6 +116,21 @@ FILE_RULES = {
     "CF_9d": f"not array_contains(array{FEATURES}, g['featureType'])",
 }
 
+#: Evidence that row ``r`` of a file's ``rows`` is a data variable, and that it is not: what attributes and dimensions it has, and which
+#: variables name it or have all its dimensions beside others. A variable with as much of the one as of the other is data.
+_DATA = " + ".join(
+    [f"int(r.a['{x}'] is not null)" for x in ("ancillary_variables", "cell_measures", "cell_methods", "coordinates", "flag_values", "flag_masks", "grid_mapping")]
+    + ["int(r.a['_FillValue'] is not null or r.a['missing_value'] is not null)", "int(size(r.dims) > 2)", "int(exists(rows, o -> o.a['ancillary_variables'] <=> r.var))"]
+)
+_AUX = " + ".join(
+    [f"int(r.a['{x}'] is not null)" for x in ("axis", "cf_role", "instance_dimension", "sample_dimension", "positive", "bounds", "climatology")]
+    + [
+        "int(exists(rows, o -> o.a['bounds'] <=> r.var or o.a['climatology'] <=> r.var))", "int(exists(rows, o -> array_contains(o.dims, r.var)))",
+        f"int(exists(rows, o -> coalesce(array_contains({_WORDS.format('o.a[\'coordinates\']')}, r.var), false)))", "int(r.a['grid_mapping_name'] is not null or exists(rows, o -> o.a['grid_mapping'] <=> r.var))",
+        "int(size(r.dims) > 0 and exists(rows, o -> size(r.dims) < size(o.dims) and size(array_except(r.dims, o.dims)) = 0))",
+    ]
+)
+
 
 def chapter(code: str) -> int:
     """The chapter that a code belongs to: the first digit behind the mark."""
@@ -124,9 +142,11 @@ def described(vars: DataFrame, atts: DataFrame, dims: DataFrame, names: DataFram
     ``axes`` (place of a coordinate's axis in T, Z, Y, X by its name), ``mappings``, ``g`` of its file; ``role``, the axis that units,
     standard name or axis letter tell; ``is_coord``; ``bounded`` (dims, units) if it holds the bounds of another variable; ``known_name``
     and ``same_units`` by the table ``names`` (name, units) of standard names. Repeated attributes count once, nulls not at all."""
-    own = atts.where("att is not null and value is not null").dropDuplicates(["file_id", "var", "att"])
+    own = atts.where("var is not null and att is not null and value is not null").dropDuplicates(["file_id", "var", "att"])
     maps = own.groupBy("file_id", "var").agg(F.map_from_entries(F.collect_list(F.struct("att", "value"))).alias("a"), F.map_from_entries(F.collect_list(F.struct("att", "att_type"))).alias("t"))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    dims = dims.where("dim is not null")
+    vars = vars.where("file_id is not null and var is not null")
     v = vars.join(maps, ["file_id", "var"], "left").withColumn("a", F.coalesce("a", empty)).withColumn("t", F.coalesce("t", empty))
     units, name, axis = (F.coalesce(F.col("a")[x], F.lit("")) for x in ("units", "standard_name", "axis"))
     role = (
@@ -140,7 +160,7 @@ def described(vars: DataFrame, atts: DataFrame, dims: DataFrame, names: DataFram
     place = F.when(F.col("role") == "T", 1).when(F.col("role") == "Z", 2).when(F.col("role") == "Y", 3).when(F.col("role") == "X", 4)
     holder = F.coalesce(F.col("a")["bounds"], F.col("a")["climatology"])
     by_file = v.groupBy("file_id").agg(
-        F.collect_set("var").alias("file_vars"), F.collect_list("dims").alias("all_dims"),
+        F.collect_set("var").alias("file_vars"), F.collect_list("dims").alias("all_dims"), F.collect_list(F.struct("var", "dims", "a")).alias("rows"),
         F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("is_coord") & place.isNotNull(), F.struct("var", place.alias("place")))))).alias("axes"),
         F.collect_set(F.col("a")["grid_mapping"]).alias("mappings"),
         F.collect_list(F.when(holder.isNotNull(), F.struct(holder.alias("of"), F.col("dims").alias("dims"), F.col("a")["units"].alias("units")))).alias("bounds"),
@@ -149,6 +169,7 @@ def described(vars: DataFrame, atts: DataFrame, dims: DataFrame, names: DataFram
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     g = maps.where("var = ''").select("file_id", F.col("a").alias("g"))
     by_file = by_file.join(sizes, "file_id", "left").join(g, "file_id", "left").withColumn("sizes", F.coalesce("sizes", none)).withColumn("g", F.coalesce("g", empty))
+    by_file = by_file.withColumn("any_data", F.expr(f"exists(rows, r -> {_DATA} >= {_AUX})")).drop("rows")
     d = v.join(by_file, "file_id").withColumn("bounded", F.get(F.filter("bounds", lambda x: x["of"] == F.col("var")), F.lit(0)))
     table = names.select(F.col("name").alias("_name"), F.col("units").alias("_units"), F.lit(True).alias("_in")).dropDuplicates(["_name"])
     d = d.join(table, F.get(F.split(F.trim(F.col("a")["standard_name"]), " +"), F.lit(0)) == F.col("_name"), "left")
@@ -161,7 +182,7 @@ def findings(variables: DataFrame, chapters: list[int] | None = None) -> DataFra
     chosen = lambda rules: {k: v for k, v in rules.items() if chapters is None or chapter(k) in chapters}
     fired = lambda rules: F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.expr(v), F.lit(k)) for k, v in rules.items()]))
     of_vars = variables.select("file_id", "var", F.explode(fired(chosen(VARIABLE_RULES))).alias("code"))
-    files = variables.select("file_id", "g", "sizes", "all_dims").dropDuplicates(["file_id"]) if chosen(FILE_RULES) else None
+    files = variables.select("file_id", "g", "sizes", "all_dims", "any_data").dropDuplicates(["file_id"]) if chosen(FILE_RULES) else None
     if files is None:
         return of_vars
     return of_vars.union(files.select("file_id", F.lit("").alias("var"), F.explode(fired(chosen(FILE_RULES))).alias("code")))

@@ -78,11 +78,11 @@ _chapter(2, _all(
     [("CF_261a", "conventions IS NULL"), ("CF_261b", "conventions = 'CF1'"), ("CF_261c", "conventions = 'CF-1.3'")],
 ))
 _chapter(3, _all([
-    ("CF_32a", "standard_name IS NULL"), ("CF_33a", "string_split(standard_name, ' ')[1] NOT IN ('longitude', 'latitude', 'time', 'air_temperature')"), ("CF_33b", "standard_name LIKE '% %'"),
+    ("CF_32a", "standard_name IS NULL AND NOT (var = 'time_bnds' AND EXISTS (SELECT 1 FROM y z WHERE z.file_id = y.file_id AND z.bounds = 'time_bnds'))"), ("CF_33a", "string_split(standard_name, ' ')[1] NOT IN ('longitude', 'latitude', 'time', 'air_temperature')"), ("CF_33b", "standard_name LIKE '% %'"),
     ("CF_33e", "standard_name = 'air_temperature' AND units <> 'K'"),
 ]))
 _chapter(4, _all([
-    ("CF_4a", "axis NOT IN ('X', 'Y', 'Z', 'T')"), ("CF_4b", "axis <> role"), ("CF_41b", "var IN ('lon', 'lat') AND units IS NULL"), ("CF_41c", "var IN ('lon', 'lat') AND standard_name IS NULL"), ("CF_43a", "positive NOT IN ('up', 'down')"),
+    ("CF_4a", "axis NOT IN ('X', 'Y', 'Z', 'T')"), ("CF_4b", "axis <> role"), ("CF_41b", "var IN ('lon', 'lat') AND units IS NULL"), ("CF_43a", "positive NOT IN ('up', 'down')"),
     ("CF_43b", "positive IS NOT NULL AND role <> 'Z'"), ("CF_44a", "var = 'time' AND units IS NULL"), ("CF_44b", "var = 'time' AND units NOT LIKE '% since %'"),
 ]))
 _chapter(5, _all([("CF_5a", "len([c for c in string_split(coordinates, ' ') if NOT list_contains(names, c)]) > 0"), ("CF_56c", "NOT list_contains(names, grid_mapping)")]))
@@ -90,5 +90,5 @@ _chapter(7, _all([
     ("CF_71b", "var = 'time_bnds' AND len(ds) <> 2 AND EXISTS (SELECT 1 FROM y z WHERE z.file_id = y.file_id AND z.bounds = 'time_bnds')"), ("CF_71g", "bounds IS NOT NULL AND NOT list_contains(names, bounds)"),
     ("CF_72b", "cell_measures NOT LIKE 'area: %' AND cell_measures NOT LIKE 'volume: %'"), ("CF_72d", "cell_measures LIKE '%: %' AND NOT list_contains(names, string_split(cell_measures, ': ')[2])"),
 ]))
-_chapter(8, _all([("CF_81a", "scale_factor_type <> add_offset_type"), ("CF_81b", "scale_factor_type <> type AND type NOT IN ('byte', 'short', 'int')")]))
+_chapter(8, _all([("CF_81a", "scale_factor_type <> add_offset_type"), ("CF_81b", "scale_factor_type = add_offset_type AND scale_factor_type <> type AND type NOT IN ('byte', 'short', 'int')")]))
 _chapter(9, _all([("CF_9e", "cf_role NOT IN ('timeseries_id', 'profile_id', 'trajectory_id')")], [("CF_9a", "feature LIKE '% %'"), ("CF_9d", "feature <> 'point'")]))
