@@ -40,9 +40,17 @@ LEAST_OWN, LEAST_ALL = 100, 20
 FARTHEST = 0.995
 #: Of a language's texts a centroid has this share at least, and two texts.
 LEAST_SHARE = 0.02
-#: What is no letter: Python's ``\w`` has numerals that are not digits (\u00bd, \u00b2, \u2167) too.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha())
-_NOT_LETTERS = re.compile(rf"[\W\d_{re.escape(_NUMERALS)}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Python's ``\w`` has numerals that are neither letters nor digits (\u00bd, \u00b2, \u2167); few texts have any, so they are looked for apart.
+_NUMERALS = frozenset(c for c in map(chr, range(0x80, 0x20000)) if c.isnumeric() and not c.isalpha())
+
+
+def letters(text: str) -> str:
+    """The text in lower case with one blank for each run of what is no letter, and at both ends."""
+    out = _NOT_LETTERS.sub(" ", text.lower())
+    if not out.isascii() and (odd := _NUMERALS.intersection(set(out))):
+        out = re.sub(" +", " ", out.translate(dict.fromkeys(map(ord, odd), " ")))
+    return f" {out} "
 
 
 def has_letter(text: str) -> bool:
@@ -64,7 +72,7 @@ def _batches(texts):
 
 def counts(texts: list[str]) -> np.ndarray:
     """How often each place occurs: a row for each text, over its whole length."""
-    words = [" " + _NOT_LETTERS.sub(" ", t.lower()) + " " for t in texts]
+    words = [letters(t) for t in texts]
     codes = np.frombuffer("".join(words).encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
     rows = np.repeat(np.arange(len(texts)), [len(w) for w in words])
     out = np.zeros(len(texts) * DIMS, np.float32)
