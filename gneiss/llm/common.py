@@ -63,8 +63,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Delete what ``materialise`` wrote for ``tables``, once all that reads them has been written itself."""
+def release(*tables: DataFrame | None) -> None:
+    """Delete what ``materialise`` wrote for ``tables``, once all that reads them has been written itself; None is nothing."""
     for df in tables:
         if at := getattr(df, "_table", None):
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)

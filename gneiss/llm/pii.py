@@ -12,7 +12,10 @@ Collision checks: the surrogate of a part must differ from every real part of it
 other surrogate. Where that fails the next attempt is drawn, until it holds for all; the table of parts is only as
 large as the distinct parts.
 
-Names are found after a title only (``_TITLE``), in Latin, Cyrillic and Greek script.
+Names are found after a title only (``_TITLES``, ``Dr`` and ``Prof``), in Latin, Cyrillic and Greek script: with degrees, initials, particles, inner
+capitals, hyphens and apostrophes, and in capitals throughout. Titles, degrees and particles stay.
+
+What a run writes and its result still reads (the searched texts, what was found, the surrogates) stays in the shared folder; all else is deleted.
 """
 
 from __future__ import annotations
@@ -20,30 +23,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import materialise
+from gneiss.llm.common import materialise, release
 
 # What counts as an entity, in order of preference at one place.
 # A run that has no bound is possessive and starts where the run before it ends, so that no text is searched twice.
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b(?!\.[0-9])"
+_IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]{0,40}[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![0-9A-Za-z:])"
 _CARD = r"\b[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}\b"
 _SSN = r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"
 _LOCAL = r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}\b|\b[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}\b"
-_TITLE = r"(?:Mr|Mrs|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Señor|Señora|Господин|Госпожа|Κύριος|Κυρία)"
+_TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Madam", "Herr", "Frau", "Monsieur", "Madame", "Señor", "Señora", "Господин", "Госпожа", "Κύριος", "Κυρία")
+_DEGREES = ("Dr", "Prof", "Professor", "Professorin", "Doktor", "Doctor", "Rev", "Hon", "Ing")
+_PARTICLES = ("von", "van", "zu", "zur", "zum", "vom", "und", "de", "der", "den", "del", "della", "di", "da", "dos", "das", "du", "des", "la", "le", "ten", "ter", "af", "av", "bin", "ibn", "al", "el")
+_TITLE = f"(?:{'|'.join([*_TITLES, *map(str.upper, _TITLES), 'Dr', 'Prof', 'Professor', 'DR', 'PROF'])})"
+_DEGREE = rf"(?: (?:{'|'.join([*_DEGREES, *map(str.upper, _DEGREES)])})\b\.?)"
+_PARTICLE = rf"(?: (?:{'|'.join(_PARTICLES)})\b)"
 # No group of a number, and no word of a name, takes the start of the entity that follows it. A number that is none without
 # the groups that look like another entity (+33 1 23.45.67.89) keeps them, by the last form of its pattern.
-_APART = rf"(?! (?:{_EMAIL}|{_IP}|{_SSN}|{_LOCAL}))"
+_OTHER = f"{_EMAIL}|{_IP}|{_IP6}|{_SSN}|{_LOCAL}"
+# numbers with a trunk zero: an area code of three digits or more, or five pairs
+_TRUNK = rf"(?<![0-9A-Za-z.,/-])(?:(?=(?:[ /-]?[0-9]){{9,12}}(?![0-9]))0[0-9]{{2,4}}[ /-][0-9]{{3,8}}(?:(?! (?:0|{_CARD}|{_OTHER}))[ -][0-9]{{3,5}})?\b|0[1-9](?:[ .-][0-9]{{2}}){{4}}\b)"
+_APART = rf"(?! (?:{_OTHER}|{_TRUNK}))"
 _PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?"
-_WORD = rf" (?!{_EMAIL})\p{{Lu}}[\p{{Ll}}'’-]++"
+#: A word of a name goes on over capitals, hyphens and apostrophes inside it, but not over the s of a possessive; an initial has its point.
+_WORD = rf" (?!{_EMAIL})(?!{_TITLE}\b)(?!AKIA[0-9A-Z]{{16}}\b)\p{{Lu}}(?:[\p{{L}}\p{{M}}]|-(?=\p{{L}})|['’](?=\p{{L}})(?!s\b))++(?![0-9])"
+_INITIAL = r" \p{Lu}\."
 PATTERNS = {
     "email": _EMAIL,
     "secret": r"\b(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}+)\b",
     "ip": _IP,
+    "ip6": _IP6,
     "iban": rf"\b[A-Z]{{2}}[0-9]{{2}}(?:(?:[A-Z0-9]{{4}}){{3,7}}[A-Z0-9]{{0,3}}\b|(?:{_APART} ?[A-Z0-9]{{4}}){{3,7}}(?:{_APART} ?[A-Z0-9]{{1,3}})?\b|(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?\b)",
     "card": _CARD,
     "ssn": _SSN,
-    "phone": rf"{_PHONE}(?:{_APART}(?! {_CARD})[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_PHONE}(?:[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_LOCAL}",
-    "name": rf"\b{_TITLE}\.?(?! {_TITLE}\b){_WORD}(?:(?! {_TITLE}\b){_WORD})?",
+    "phone": rf"{_PHONE}(?:{_APART}(?! {_CARD})[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_PHONE}(?:[ .-]?[0-9]{{2,4}}){{2,4}}\b|{_LOCAL}|{_TRUNK}",
+    "name": rf"\b{_TITLE}\b\.?{_DEGREE}{{0,3}}(?:{_INITIAL}){{0,3}}(?:(?:{_WORD}(?:{_INITIAL}){{0,2}})?{_PARTICLE}{{0,3}}{_WORD})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Señora", "Госпожа", "Κυρία")
@@ -83,18 +98,36 @@ def _script(c: Column) -> Column:
 
 def parts_of(entity: Column, kind: Column) -> Column:
     """(kind, canon, kind2, canon2): the canonical parts of an entity; the second is null but for addresses and names."""
-    words = F.split(F.regexp_replace(F.lower(entity), "^[^ ]+ ", ""), " ")
-    female = F.regexp_replace(F.substring_index(entity, " ", 1), "\\.", "").isin(*FEMALE)
-    family, named = F.element_at(words, -1), F.size(words) > 1
-    given = F.when(named, F.concat_ws("|", F.element_at(words, 1), F.when(female, "f").otherwise("m"), family))
+    words = F.split(entity, " ")
+    female = F.upper(F.regexp_replace(F.get(words, F.lit(0)), "\\.", "")).isin(*map(str.upper, FEMALE))
+    family = F.lower(F.element_at(words, -1))
+    first_names = F.transform(F.filter(F.slice(words, 1, F.size(words) - 1), _is_given), F.lower)
+    named = F.size(first_names) > 0
+    given = F.when(named, F.concat_ws("|", F.array_join(first_names, " "), F.when(female, "f").otherwise("m"), family))
     mail, host = F.lower(entity), F.lower(F.substring_index(entity, "@", -1))
-    number = F.when(kind.isin("card", "ssn", "iban"), _bare(entity)).when(kind == "phone", F.concat(F.when(F.startswith(entity, F.lit("+")), "+").otherwise(""), _bare(entity)))
+    number = F.when(kind == "ip6", F.lower(entity)).when(kind.isin("card", "ssn", "iban"), _bare(entity)).when(kind == "phone", F.concat(F.when(F.startswith(entity, F.lit("+")), "+").otherwise(""), _bare(entity)))
     first = F.when(kind == "email", mail).when(kind == "name", F.coalesce(given, family)).otherwise(F.coalesce(number, entity))
     kind1 = F.when((kind == "name") & ~named, "family").when(kind == "name", "given").otherwise(kind)
     kind2 = F.when(kind == "email", "host").when((kind == "name") & named, "family")
     return F.struct(kind1.alias("kind"), first.alias("canon"), kind2.alias("kind2"), F.when(kind == "email", host).when((kind == "name") & named, family).alias("canon2"))
 
 
+def _is_given(word: Column) -> Column:
+    """Whether a word of a name before the last is a given name or an initial: no title, degree or particle."""
+    fixed = [*_TITLES, *_DEGREES, "Prof", "Dr"]
+    return ~F.upper(F.regexp_replace(word, "\\.", "")).isin(*map(str.upper, fixed)) & ~word.isin(*_PARTICLES)
+
+
+def _named(entity: Column, given: Column, family: Column) -> Column:
+    """A name with its titles and particles as they are, the last word ``family``, a given name ``given`` and each initial a letter of it; words in
+    capitals stay in capitals."""
+    words = F.split(entity, " ")
+    cased = lambda w, form: F.when((F.length(w) > 1) & (w == F.upper(w)), F.upper(form)).otherwise(form)
+    letter = lambda i: F.concat(F.upper(F.substr(given, F.pmod(i, F.greatest(F.length(given), F.lit(1))) + 1, F.lit(1))), F.lit("."))
+    told = lambda w, i: F.when(i == F.size(words) - 1, cased(w, family)).when(~_is_given(w), w).when(w.rlike("^\\p{Lu}\\.$"), letter(i)).otherwise(cased(w, given))
+    return F.array_join(F.transform(words, told), " ")
+
+
 def _stream(*parts: Column) -> Column:
     """256 keyed hex digits."""
     return F.concat(*[F.sha2(F.concat_ws("|", *parts, F.lit(str(i))), 512) for i in range(2)])
@@ -168,6 +201,8 @@ def drawn(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
 
 def _drawn(kind: Column, canon: Column, attempt: Column, stream: Column) -> Column:
     ip = F.concat_ws(".", (F.pmod(_byte(stream, F.lit(0)), F.lit(223)) + 1).cast("string"), *[_byte(stream, F.lit(i)).cast("string") for i in (1, 2, 3)])
+    hexes = F.transform(F.split(canon, ""), lambda c, i: F.when(c.rlike("[0-9a-f]"), F.substr(F.lit("0123456789abcdef"), F.pmod(_byte(stream, i), F.lit(16)) + 1, F.lit(1))).otherwise(c))
+    ip6 = F.array_join(hexes, "")
     code = F.when(F.substring(canon, 2, 1).isin(*CALLING[0]), 1).when(F.substring(canon, 2, 2).isin(*CALLING[1]), 2).otherwise(3)
     kept = F.when(F.startswith(canon, F.lit("+")), code + 1).otherwise(0)
     phone = F.concat(F.substr(canon, F.lit(1), kept), _same_form(F.substr(canon, kept + 1, F.length(canon)), stream))
@@ -190,6 +225,7 @@ def _drawn(kind: Column, canon: Column, attempt: Column, stream: Column) -> Colu
         .when(kind == "secret", secret)
         .when(kind == "ip", ip)
         .when(kind == "card", _luhn_valid(_same_form(canon, stream), canon))
+        .when(kind == "ip6", ip6)
         .when(kind == "phone", phone)
         .when(kind == "iban", _iban_valid(_same_form(canon, stream), canon))
         .when(kind == "given", F.concat_ws("|", F.lower(given), F.get(of, F.lit(1)), F.get(of, F.lit(2))))
@@ -218,7 +254,7 @@ def _assembled(entity: Column, kind: Column, first: Column, second: Column) -> C
     # an address and its canonical form agree place by place
     mail_form = F.concat(at(first, "@", 1), F.lit("@"), second)
     mail = F.array_join(F.zip_with(F.split(entity, ""), F.split(mail_form, ""), lambda c, f: F.when(c.rlike("[A-Z]"), F.upper(f)).otherwise(f)), "")
-    name = F.concat_ws(" ", at(entity, " ", 1), F.when(second.isNotNull(), capital(at(first, "|", 1))), capital(F.coalesce(second, first)))
+    name = _named(entity, F.when(second.isNotNull(), capital(at(first, "|", 1))), capital(F.coalesce(second, first)))
     return F.when(kind == "email", mail).when(kind == "name", name).when(kind.isin("ip", "secret"), first).otherwise(laid_over(entity, bare(first)))
 
 
@@ -229,18 +265,22 @@ def drawn_parts(real: DataFrame, key: str, most_attempts: int = 64) -> DataFrame
     it up. Raises if some part finds none in ``most_attempts`` draws (then more parts exist than forms).
     """
     taken = real.select(F.col("kind").alias("k"), F.col("canon").alias("form"), F.lit(True).alias("taken"))
-    open_, settled = real.withColumn("attempt", F.lit(0)), None
+    open_, settled, last = real.withColumn("attempt", F.lit(0)), None, None
     for _ in range(most_attempts):
         new = open_.withColumn("form", drawn(F.col("kind"), F.col("canon"), key, F.col("attempt"))).withColumn("old", F.lit(1))
         if settled is not None:
             new = new.unionByName(settled.withColumn("old", F.lit(0)))
         first = F.row_number().over(Window.partitionBy("kind", "form").orderBy("old", "canon"))
         judged = new.join(taken, (F.col("kind") == F.col("k")) & (new.form == taken.form), "left").select("kind", "canon", "attempt", new.form, "old", "taken")
-        judged = materialise(judged.withColumn("good", (first == 1) & F.col("taken").isNull()), "judged")
+        before, judged = last, materialise(judged.withColumn("good", (first == 1) & F.col("taken").isNull()), "judged")
+        release(before)
+        last = judged
         settled = judged.where("good").select("kind", "canon", "attempt", "form")
         bad = judged.where("not good")
         if not bad.limit(1).count():
-            return settled.select("kind", "canon", "form")
+            out = settled.select("kind", "canon", "form")
+            out._table = judged._table
+            return out
         open_ = bad.select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
     raise RuntimeError("no surrogates without collision are left")
 
@@ -250,11 +290,14 @@ def surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFr
     e = entities.select("entity", kind_of(F.col("entity")).alias("kind"))
     e = materialise(e.select("entity", F.col("kind").alias("sort"), parts_of(F.col("entity"), F.col("kind")).alias("p")).select("entity", "sort", "p.*"), "entities")
     real = e.select("kind", "canon").union(e.where("kind2 is not null").select("kind2", "canon2")).distinct()
-    forms = drawn_parts(materialise(real, "parts"), key, most_attempts)
+    real = materialise(real, "parts")
+    forms = drawn_parts(real, key, most_attempts)
     first = forms.withColumnRenamed("form", "form1")
     second = forms.select(F.col("kind").alias("kind2"), F.col("canon").alias("canon2"), F.col("form").alias("form2"))
     both = e.join(first, ["kind", "canon"]).join(second, ["kind2", "canon2"], "left")
-    return both.select("entity", F.col("sort").alias("kind"), "canon", _assembled(F.col("entity"), F.col("sort"), F.col("form1"), F.col("form2")).alias("surrogate"))
+    out = materialise(both.select("entity", F.col("sort").alias("kind"), "canon", _assembled(F.col("entity"), F.col("sort"), F.col("form1"), F.col("form2")).alias("surrogate")), "surrogates")
+    release(e, real, forms)
+    return out
 
 
 def _is_kind(kind: str):
@@ -264,7 +307,7 @@ def _is_kind(kind: str):
 def with_surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, text, n_entities, kinds): every document with its entities replaced; ``kinds`` counts them.
 
-    Null texts stay null and texts without entities stay as they are, with 0 entities. Texts are searched once: what is found
+    An empty table gives an empty one. Null texts stay null and texts without entities stay as they are, with 0 entities. Texts are searched once: what is found
     is written beside each text, and only texts with entities are shuffled, by their MD5 digest, so that copies are
     done once. Null ids and repeated rows keep their rows. Other columns are ignored.
     """
@@ -274,7 +317,7 @@ def with_surrogates(docs: DataFrame, key: str, id: str = "doc_id", text: str = "
     plain, hit = d.where("text_md5 is null").select("id", "text"), d.where("text_md5 is not null")
     found = hit.select("text_md5", F.posexplode("entities").alias("place", "entity"))
     found = materialise(found.dropDuplicates(["text_md5", "place"]), "found")
-    table = materialise(surrogates(found.select("entity").distinct(), key), "surrogates")
+    table = surrogates(found.select("entity").distinct(), key)
     by_text = found.join(table, "entity").groupBy("text_md5").agg(F.sort_array(F.collect_list(F.struct("place", "surrogate", "kind"))).alias("s"))
     joined = hit.drop("entities").join(by_text, "text_md5")
     pieces = F.split("text", ANY, -1)
