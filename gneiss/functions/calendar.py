@@ -104,3 +104,54 @@ def seconds_of(text: Column) -> Column:
     p = F.split(text, ":")
     part = lambda i: F.coalesce(F.get(p, F.lit(i)).try_cast("double"), F.lit(0.0))
     return part(0) * 3600 + part(1) * 60 + part(2)
+
+
+def calendar_day(year: Column, month: Column, day: Column, calendar: str) -> Column:
+    """The Julian day number of a date in the ``julian``, ``proleptic_gregorian`` or mixed ``standard`` calendar, in which the day after
+    1582-10-04 (Julian) is 1582-10-15 (Gregorian). Years count through 0 and below."""
+    # years begin in March, so that a leap day is the last of its year
+    late = F.floor((F.lit(14) - month) / 12)
+    y, m = (year + 4800 - late).cast("long"), (month + 12 * late - 3).cast("long")
+    base = day + F.floor((153 * m + 2) / 5) + 365 * y + F.floor(y / 4)
+    julian, gregorian = (base - 32083).cast("long"), (base - F.floor(y / 100) + F.floor(y / 400) - 32045).cast("long")
+    if calendar in ("standard", "gregorian"):
+        return F.when(year * 10000 + month * 100 + day >= 15821015, gregorian).otherwise(julian)
+    return {"julian": julian, "proleptic_gregorian": gregorian}[calendar]
+
+
+#: Fixed value: the Julian day number of 1582-10-15, the first Gregorian date of the mixed calendar.
+CHANGE = 2299161
+
+
+def calendar_date(number: Column, calendar: str) -> Column:
+    """(year, month, day) of a Julian day number; the inverse of ``calendar_day``."""
+    n = number.cast("long")
+    # centuries of the Gregorian calendar add days that its common ones lack
+    a = n + 32044
+    b = F.floor((4 * a + 3) / 146097)
+    gregorian = (F.struct(b.alias("b"), (a - F.floor(146097 * b / 4)).alias("c")))
+    julian = F.struct(F.lit(0).cast("long").alias("b"), (n + 32082).alias("c"))
+    if calendar in ("standard", "gregorian"):
+        part = F.when(n >= CHANGE, gregorian).otherwise(julian)
+    else:
+        part = {"julian": julian, "proleptic_gregorian": gregorian}[calendar]
+    d = F.floor((4 * part["c"] + 3) / 1461)
+    e = part["c"] - F.floor(1461 * d / 4)
+    m = F.floor((5 * e + 2) / 153)
+    return F.struct(
+        (100 * part["b"] + d - 4800 + F.floor(m / 10)).cast("long").alias("year"), (m + 3 - 12 * F.floor(m / 10)).cast("long").alias("month"), (e - F.floor((153 * m + 2) / 5) + 1).cast("long").alias("day")
+    )
+
+
+def custom_day(year: Column, month: Column, day: Column, lengths: list[int]) -> Column:
+    """Days since 0000-01-01 in a calendar whose months have these ``lengths`` in every year."""
+    before = [sum(lengths[:k]) for k in range(len(lengths))]
+    return (year * sum(lengths) + F.element_at(F.array(*[F.lit(b) for b in before]), month.cast("int")) + day - 1).cast("long")
+
+
+def custom_date(number: Column, lengths: list[int]) -> Column:
+    """(year, month, day) of a day of ``custom_day``."""
+    total, starts = sum(lengths), F.array(*[F.lit(sum(lengths[:k])) for k in range(len(lengths))])
+    rest = F.pmod(number, F.lit(total))
+    month = F.size(F.filter(starts, lambda b: b <= rest))
+    return F.struct(F.floor(number / total).cast("long").alias("year"), month.cast("long").alias("month"), (rest - F.element_at(starts, month) + 1).cast("long").alias("day"))

@@ -1,8 +1,8 @@
 """Every query of the library and its SQL."""
 
-from gneiss import q_archive, q_cellmethods, q_conformity, q_convention_faults, q_conventions, q_drs, q_records, q_roles, q_rules
+from gneiss import q_archive, q_cellmethods, q_conformity, q_convention_faults, q_conventions, q_drs, q_numbers, q_records, q_roles, q_rules
 
-_MODULES = [q_records, q_archive, q_rules, q_conventions, q_convention_faults, q_conformity, q_cellmethods, q_roles, q_drs]
+_MODULES = [q_records, q_archive, q_rules, q_conventions, q_convention_faults, q_conformity, q_cellmethods, q_roles, q_drs, q_numbers]
 
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
