@@ -6,6 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Most rows of a rule table that becomes part of the plan or goes to every task.
+MOST_RULES = 10_000
+
+
+def _few(rules: DataFrame) -> list:
+    rows = rules.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return rows
+
+
 def resolved(findings: DataFrame, directives: DataFrame, limit: int = 4, record: str = "rec", freq: str = "freq") -> DataFrame:
     """Findings (code, var, level, ...) with the directive that governs each: the exact (code, var) before
     (code, *) before (*, var). Discarded findings go; the others get the directive's level, ``limit`` at most.
@@ -18,8 +29,10 @@ def resolved(findings: DataFrame, directives: DataFrame, limit: int = 4, record:
     """
     rank = F.when(F.col("code") == "*", 3).when(F.col("var") == "*", 2).otherwise(1)
     d = directives.select("code", "var", F.struct(rank.alias("rank"), "level", F.col("var").alias("of"), "discard", "values", "freqs", "records").alias("d"))
-    by_code = d.where("code <> '*'").groupBy("code").agg(F.collect_list("d").alias("_by_code"))
-    by_var = d.where("code = '*'").groupBy("var").agg(F.collect_list("d").alias("_by_var"))
+    # codes and variables are hot keys of the findings: a check list of few rows goes to them
+    near = F.broadcast if directives.limit(MOST_RULES + 1).count() <= MOST_RULES else lambda x: x
+    by_code = near(d.where("code <> '*'").groupBy("code").agg(F.collect_list("d").alias("_by_code")))
+    by_var = near(d.where("code = '*'").groupBy("var").agg(F.collect_list("d").alias("_by_var")))
     f = findings.join(by_code, "code", "left").join(by_var, "var", "left")
     none = F.array().cast(dict(by_var.dtypes)["_by_var"])
     mine = F.filter(F.coalesce("_by_code", none), lambda x: (x["of"] == F.col("var")) | (x["of"] == "*"))
@@ -84,8 +97,16 @@ def unlocked(records: DataFrame, series: list[str], order: list[str], level: str
 
 def erased(findings: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """Findings without those that a summarising code of the same key erases; ``rules``: (code, erases)."""
-    gone = findings.join(rules, "code").select(*keys, F.col("erases").alias("code")).distinct()
-    return findings.join(gone, [*keys, "code"], "left_anti")
+    pairs: dict[str, set[str]] = {}
+    for r in _few(rules.select("code", "erases").where("code is not null and erases is not null").distinct()):
+        pairs.setdefault(r["code"], set()).add(r["erases"])
+    if not pairs:
+        return findings
+    table = F.create_map(*[x for c, e in sorted(pairs.items()) for x in (F.lit(c), F.array(*[F.lit(v) for v in sorted(e)]))])
+    # codes of a key that erase any are few, whatever it has of others
+    gone = findings.where(F.col("code").isin(*pairs)).groupBy(*keys).agg(F.collect_set("code").alias("gone_"))
+    gone = gone.withColumn("gone_", F.array_distinct(F.flatten(F.transform("gone_", lambda c: F.element_at(table, c)))))
+    return findings.join(gone, keys, "left").where(~F.coalesce(F.array_contains("gone_", F.col("code")), F.lit(False))).select(*findings.columns)
 
 
 def union_by_precedence(lists: list[DataFrame], keys: list[str]) -> DataFrame:

@@ -44,14 +44,14 @@ def percent_plausibility(series: DataFrame, units: str, lo: str, hi: str) -> Dat
     return series.withColumn("code", code)
 
 
-def outliers(series: DataFrame, keys: list[str], value: str, run: int = 5, count: int = 5, share: float = 0.01, magnitude: int = 5, passes: int = 4) -> DataFrame:
+def outliers(series: DataFrame, keys: list[str], value: str, run: int = 5, count: int = 5, share: float = 0.01, magnitude: int = 5) -> DataFrame:
     """Records beyond the threshold at which the number of records beyond it stays the same ``run`` times.
 
     Thresholds rise from the mean by steps of half a standard deviation, a hundred of them; counts of records beyond
     each come from one aggregation over (series x thresholds), runs of equal counts by gaps and islands. A
     series that reaches no such run before the count is 0 has no outlier; one whose count never is 0 is
-    judged again with steps of twice the size, ``passes`` times at most (the k-th pass needs more than 2500 * 4^(k - 1)
-    records). If the run holds more than ``share`` and more than ``count`` records, only those beyond 10^``magnitude`` times the scale
+    judged again with steps of twice the size, until it is (n records lie within sqrt(n) deviations of their mean, so
+    the k-th pass needs more than 2500 * 4^(k - 1) records). If the run holds more than ``share`` and more than ``count`` records, only those beyond 10^``magnitude`` times the scale
     of the mean are outliers. Series of extremes are given by ``value``: minima and maxima are judged alike.
     Null and NaN values take no part; a series of fewer than two values or without spread has none.
     """
@@ -63,7 +63,7 @@ def outliers(series: DataFrame, keys: list[str], value: str, run: int = 5, count
     far = v.join(stats, keys).withColumn("_steps", F.abs(F.col(value) - F.col("_mean")) / (F.col("_sd") / 2))
     # the last pass of a series is the first in which its farthest record is within a hundred thresholds
     last = F.ceil(F.log2(F.greatest(F.max("_steps") / 100, F.lit(1.0)))).cast("int")
-    reached = far.groupBy(*keys).agg(F.least(last, F.lit(passes - 1)).alias("_last"))
+    reached = far.groupBy(*keys).agg(last.alias("_last"))
     all_steps = far.join(reached, keys).withColumn("_pass", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_beyond", F.least(F.ceil(F.col("_steps") / F.pow(F.lit(2.0), F.col("_pass"))), F.lit(101)).cast("int"))
     steps = all_steps.where("_beyond > 1").groupBy(*keys, "_pass", "_beyond").agg(F.count("*").alias("_c"))
     spread = reached.withColumn("_pass", F.explode(F.sequence(F.lit(0), "_last"))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(100))))

@@ -26,7 +26,8 @@ MOST_RULES = 10_000
 def requested(atts: DataFrame, required: DataFrame, owner: list[str]) -> DataFrame:
     """(owner, att, code): ``missing`` where an owner lacks a required attribute, ``unmatched`` where its value is not allowed.
 
-    atts: (owner.., att, value); required: (att, allowed array, null: any value).
+    atts: (owner.., att, value); required: (att, allowed array, null: any value). An owner's required attributes are gathered in its row, and
+    the rules are judged there; repeated attributes are judged each.
     """
     rows = required.select("att", "allowed").limit(MOST_RULES + 1).collect()
     if len(rows) > MOST_RULES:
@@ -34,11 +35,16 @@ def requested(atts: DataFrame, required: DataFrame, owner: list[str]) -> DataFra
     if not rows:
         return atts.select(*owner, "att", F.lit(None).cast("string").alias("code")).where("false")
     none = F.lit(None).cast("array<string>")
+    names = sorted({r["att"] for r in rows if r["att"] is not None})
     rules = F.array(*[F.struct(F.lit(r["att"]).alias("att"), (none if r["allowed"] is None else F.array(*[F.lit(v) for v in r["allowed"]]).cast("array<string>")).alias("allowed")) for r in rows])
-    want = atts.select(*owner).distinct().select(*owner, F.explode(rules).alias("_r")).select(*owner, "_r.*")
-    j = want.join(atts, [*owner, "att"], "left")
-    code = F.when(F.col("value").isNull(), "missing").when(F.col("allowed").isNotNull() & ~F.array_contains("allowed", F.col("value")), "unmatched")
-    return j.withColumn("code", code).where("code is not null").select(*owner, "att", "code")
+    held = atts.groupBy(*owner).agg(F.collect_list(F.when(F.col("att").isin(*names), F.struct("att", "value"))).alias("held_"))
+
+    def judged(rule):
+        mine = F.filter("held_", lambda x: x["att"] == rule["att"])
+        fault = lambda v: F.struct(rule["att"].alias("att"), F.when(v.isNull(), "missing").when(rule["allowed"].isNotNull() & ~F.array_contains(rule["allowed"], v), "unmatched").alias("code"))
+        return F.when(F.size(mine) == 0, F.array(fault(F.lit(None).cast("string")))).otherwise(F.transform(mine, lambda x: fault(x["value"])))
+
+    return held.select(*owner, F.inline(F.filter(F.flatten(F.transform(rules, judged)), lambda x: x["code"].isNotNull())))
 
 
 def encoding_faults(paths: DataFrame, id: str, parts: Column, encodings: DataFrame) -> DataFrame:

@@ -60,8 +60,10 @@ def dedup_keep_last(spark, sf_dir):
  SELECT var, freq FROM req WHERE freq IN (SELECT freq FROM del) AND NOT EXISTS (SELECT 1 FROM del WHERE del.var = req.var AND del.freq = req.freq)""")
 def not_delivered(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    types = F.array(*[F.lit(r[0]) for r in e.select("event_type").distinct().orderBy("event_type").limit(1000).collect()]).cast("array<string>")
-    required = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("var"), F.explode(types).alias("freq"))
+    nations = sorted(r[0] for r in table(spark, sf_dir, "nation").select("n_nationkey").distinct().limit(10_001).collect())
+    if len(nations) > 10_000:
+        raise ValueError("more than 10000 variables are required")
+    required = e.select(F.col("event_type").alias("freq")).distinct().select(F.explode(F.array(*[F.lit(n) for n in nations]).cast("array<bigint>")).alias("var"), "freq")
     # of one in five pairs of variable and frequency nothing was delivered
     delivered = e.where("event_type <> 'click' and (user_id % 40 + length(event_type)) % 5 > 0").select((F.col("user_id") % 40).alias("var"), F.col("event_type").alias("freq"))
     return catalog.not_delivered(required, delivered, "freq", "var").select("var", "freq")

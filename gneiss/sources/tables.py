@@ -17,9 +17,19 @@ def archive(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", comment: str = "#") -> DataFrame:
-    """(line, items): trimmed items of each line; comments, blank lines and continuation marks are taken away."""
-    t = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", f"{comment}.*$", "").alias("value"))
-    return t.where(F.trim("value") != "").select("line", F.transform(F.split("value", separator), lambda x: F.trim(x)).alias("items"))
+    """(line, items): trimmed items of each line of a rule file, lines numbered from 1 in their file. Comments and blank lines are taken away; a line that
+    ends in a backslash goes on in the next and counts as one with the number of its last. A file is read as one text: these files have some hundred lines."""
+    lines = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.rtrim(F.regexp_replace(x, f"{comment}.*$", "")).alias("text")))
+    start = F.struct(F.array().cast("array<struct<line:bigint,text:string>>").alias("done"), F.lit("").alias("held"))
+
+    def step(acc, x):
+        said = F.concat(acc["held"], F.regexp_replace(x["text"], r"\\$", ""))
+        return F.when(F.endswith(x["text"], F.lit("\\")), F.struct(acc["done"].alias("done"), said.alias("held"))).otherwise(
+            F.struct(F.array_append(acc["done"], F.struct(x["line"].alias("line"), said.alias("text"))).alias("done"), F.lit("").alias("held"))
+        )
+
+    t = spark.read.text(path, wholetext=True).select(F.inline(F.aggregate(lines, start, step)["done"]))
+    return t.where(F.trim("text") != "").select("line", F.transform(F.split("text", separator), lambda x: F.trim(x)).alias("items"))
 
 
 def attributes(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
