@@ -8,12 +8,17 @@ children, where a node's hash covers the lengths and hashes below it in their or
 shifts the offsets behind it but changes its own branch only; below a leaf that differs records meet by key.
 
 No file grows with the input: there are as many as ``files_for`` says, some ``per_file`` records in each.
+
+Files that lie in any other order, such as that of a crawl, are read by ``read_warc`` and given to the audit by ``scanned``: there the leaves of the
+tree are ranges of offsets. Rot changes one branch; a lost or added record shifts what lies behind it in its file, whose
+branches are then opened too, and the records in them still cancel out by key and digest.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -73,15 +78,38 @@ def files_for(pages: DataFrame, per_file: int = 1024) -> int:
     return max(1, math.ceil(pages.count() / per_file))
 
 
-def merkle(leaves: DataFrame) -> DataFrame:
-    """(file, level, node, offset, length, sha256) of every range: level 1 holds the buckets, level ``DEPTH`` + 1 a root for each file."""
+def scanned(read: DataFrame, root: str, width: int = 1 << 20) -> DataFrame:
+    """(file, bucket, key, place, offset, length, sha256) of the records that ``read_warc`` has read, for ``audit``.
+
+    A file goes by its path below ``root``, a record by its id, else its URI, else its digest; a bucket is a range of ``width`` bytes of
+    offsets, the same for both replicas. What is broken is one record up to its file's end. Bodies are not shuffled; a file
+    of many records is ordered in one task, with some hundred bytes for each.
+    """
+    at = F.locate(root.rstrip("/") + "/", F.col("path"))
+    file = F.when(at > 0, F.substr("path", at + len(root.rstrip("/")) + 1, F.length("path"))).otherwise(F.col("path"))
+    r = read.select(file.alias("file"), F.expr(f"offset div {int(width)}").alias("bucket"), F.coalesce("record_id", "uri", "sha256").alias("key"), "offset", "length", "sha256")
+    place = (F.row_number().over(Window.partitionBy("file").orderBy("offset")) - 1).cast("long")
+    return r.select("file", "bucket", "key", place.alias("place"), "offset", "length", "sha256")
+
+
+def depth_of(*leaves: DataFrame) -> int:
+    """Levels above the buckets until each file has one root, the same for both replicas."""
+    most = max((t.agg(F.max("bucket")).first()[0] or 0) for t in leaves)
+    depth = 1
+    while FANOUT**depth <= most:
+        depth += 1
+    return depth
+
+
+def merkle(leaves: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(file, level, node, offset, length, sha256) of every range: level 1 holds the buckets, level ``depth`` + 1 a root for each file."""
     below = F.sort_array(F.collect_list(F.struct("place", "length", "sha256", "offset")))
     level = leaves.groupBy("file", F.col("bucket").alias("node")).agg(below.alias("b"))
     out = []
-    for depth in range(1, DEPTH + 2):
+    for k in range(1, depth + 2):
         told = F.array_join(F.transform("b", lambda x: F.concat_ws(":", x["length"].cast("string"), x["sha256"])), "\n")
         total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["length"])
-        level = level.select("file", F.lit(depth).alias("level"), "node", F.element_at("b", 1)["offset"].alias("offset"), total.alias("length"), F.sha2(told, 256).alias("sha256"))
+        level = level.select("file", F.lit(k).alias("level"), "node", F.element_at("b", 1)["offset"].alias("offset"), total.alias("length"), F.sha2(told, 256).alias("sha256"))
         out.append(level)
         children = F.sort_array(F.collect_list(F.struct(F.col("node").alias("place"), "length", "sha256", "offset")))
         level = level.groupBy("file", F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("b"))
@@ -94,17 +122,18 @@ def merkle(leaves: DataFrame) -> DataFrame:
 def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(file, key, state, place, offset, length, sha256, their_*): the records in which two replicas differ.
 
-    ``ours`` and ``theirs`` are ``records`` of the same number of files. state: ``changed``, or where only one
+    ``ours`` and ``theirs`` are ``records`` of the same number of files, or ``scanned`` with the same width; two empty tables have no differences. state: ``changed``, or where only one
     has a record of this key ``missing`` (theirs lacks it) or ``surplus``. Equal roots end a file's audit; below
     a root that differs, only differing nodes are opened. In a bucket that differs equal records cancel out, as often as both have
     them, and what is left meets by key; of several records of a key the k-th by digest meets the k-th.
     """
     a, b = materialise(ours, "ours"), materialise(theirs, "theirs")
-    ta, tb = materialise(merkle(a), "tree"), materialise(merkle(b), "tree")
+    depth = depth_of(a, b)
+    ta, tb = materialise(merkle(a, depth), "tree"), materialise(merkle(b, depth), "tree")
     suspect = None
-    for depth in range(DEPTH + 1, 0, -1):
-        x = ta.where(F.col("level") == depth).select("file", "node", "sha256")
-        y = tb.where(F.col("level") == depth).select("file", "node", F.col("sha256").alias("h"))
+    for k in range(depth + 1, 0, -1):
+        x = ta.where(F.col("level") == k).select("file", "node", "sha256")
+        y = tb.where(F.col("level") == k).select("file", "node", F.col("sha256").alias("h"))
         if suspect is not None:
             below = suspect.select("file", F.explode(F.sequence(F.col("node") * FANOUT, F.col("node") * FANOUT + FANOUT - 1)).alias("node"))
             x, y = x.join(below, ["file", "node"], "left_semi"), y.join(below, ["file", "node"], "left_semi")
@@ -113,7 +142,7 @@ def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         suspect = differ
     release(ta, tb)
     at = suspect.withColumnRenamed("node", "bucket")
-    nth = Window.partitionBy("file", "bucket", "key", "sha256").orderBy("place")
+    nth = Window.partitionBy("file", "key", "sha256").orderBy("place")
     side = lambda t: t.join(at, ["file", "bucket"], "left_semi").withColumn("nth", F.row_number().over(nth))
     x, y = materialise(side(a), "ours-open"), materialise(side(b), "theirs-open")
     release(a, b, suspect)
@@ -153,15 +182,45 @@ def parsed(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
         at = stop + len(END)
 
 
+def unzipped(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bytes]]:
+    """(offset, length, headers, body, record) of a file whose records are gzip members one after the other; offsets and lengths are those of
+    the members, the record is what they hold. What is no whole member, to the end of the file, is one record of type ``broken``."""
+    at = 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            raw = member.decompress(data[at:] if at else data)
+        except zlib.error:
+            raw = None
+        if raw is None or not member.eof:
+            yield at, len(data) - at, {"warc-type": "broken"}, data[at:], data[at:]
+            return
+        size = len(data) - at - len(member.unused_data)
+        for _, _, headers, body in parsed(raw):
+            yield at, size, headers, body, raw
+            break
+        at += size
+
+
+def records_of(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bytes]]:
+    """(offset, length, headers, body, record) of a WARC file, plain or of gzip members."""
+    if data.startswith(b"\x1f\x8b"):
+        yield from unzipped(data)
+    else:
+        for at, n, headers, body in parsed(data):
+            yield at, n, headers, body, data[at : at + n]
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, length, type, uri, date, record_id, body, sha256) of the records of all files below ``path``. A file is read
-    whole by one task, so files should be of the usual size of an archive's, a gigabyte at most."""
+    """(path, offset, length, type, uri, date, record_id, body, sha256) of the records of all files below ``path``, plain or of gzip members; the
+    digest is of the record as it is unzipped. A file is read whole by one task, so files should be of the usual size of an archive's, a
+    gigabyte at most."""
     import hashlib
 
     def run(batches):
         for batch in batches:
             for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(p, at, n, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-record-id"), b.decode("utf-8", "replace"), hashlib.sha256(content[at : at + n]).hexdigest()) for at, n, h, b in parsed(content)]
+                rows = [(p, at, n, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("warc-record-id"), b.decode("utf-8", "replace"), hashlib.sha256(raw).hexdigest()) for at, n, h, b, raw in records_of(content)]
                 for i in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows[i : i + 256]], schema)
 

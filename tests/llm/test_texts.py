@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from gneiss.llm import chat, registry
 from gneiss.llm.decontaminate import Items, budget, keep_clean, leaks
 from gneiss.llm.jaccard_join import jaccard_components
 from gneiss.llm.langid import LanguageModel, cluster, drawn, held_out, keep_known
-from gneiss.llm.warc import audit, files_for, merkle, read_warc, records, write_warc
+from gneiss.llm.warc import audit, files_for, merkle, read_warc, records, scanned, write_warc
 
 
 def test_languages_are_told_apart_on_held_out_rows(spark, odd, none):
@@ -315,7 +316,6 @@ def test_branches_are_ranked_by_mean_score(spark):
 
 
 def brute_audit(ours, theirs):
-    """State by key of plain rows (key, url, body): what is left when equal rows cancel out."""
     from collections import Counter
 
     a, b = Counter(ours), Counter(theirs)
@@ -351,6 +351,37 @@ def test_fixity(spark):
     assert audit(empty, empty).count() == 0 and audit(records(pages, 1), empty).count() == len(rows)
 
 
+@pytest.mark.parametrize("zipped", [False, True])
+def test_audit_of_files_in_crawl_order(spark, tmp_path, zipped):
+    """Files in any order, as they were read: rot, a lost record, an added one, a lost file and a cut file are found, and nothing else."""
+    import gzip
+
+    def record(i, body):
+        raw = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n".encode()
+        return gzip.compress(raw, mtime=0) if zipped else raw
+
+    def write(where, files):
+        (tmp_path / where / "crawl").mkdir(parents=True)
+        for name, parts in files.items():
+            (tmp_path / where / "crawl" / name).write_bytes(b"".join(parts))
+
+    rnd = random.Random(4)
+    files = {f"{k}.warc": [record(f"{k}-{i}", f"body {rnd.random()} " * rnd.randrange(1, 60)) for i in rnd.sample(range(200), 80)] for k in "abcdef"}
+    write("one", files)
+    bad = {k: list(v) for k, v in files.items()}
+    bad["a.warc"][40] = record("a-rot", "rotten")
+    del bad["b.warc"][3]
+    bad["c.warc"].insert(70, record("c-new", "new"))
+    del bad["d.warc"]
+    bad["e.warc"][-1] = bad["e.warc"][-1][:-9]
+    write("two", bad)
+    one, two = (scanned(read_warc(spark, str(tmp_path / w)), f"{w}/crawl", 2048) for w in ("one", "two"))
+    got = Counter((r.file, r.state) for r in audit(one, two).collect())
+    assert got == {("a.warc", "missing"): 1, ("a.warc", "surplus"): 1, ("b.warc", "missing"): 1, ("c.warc", "surplus"): 1, ("d.warc", "missing"): 80, ("e.warc", "missing"): 1, ("e.warc", "surplus"): 1}
+    rows = {r.key: r for r in audit(one, two).where("file = 'b.warc'").collect()}
+    assert [r.place for r in rows.values()] == [3] and audit(one, one).count() == 0
+
+
 def test_warc_files_are_read_back(spark, tmp_path):
     rows = [(i, f"http://h/{i}", f"<p>{i}</p>\r\n\r\n" * (i % 5)) for i in range(40)] + [(None, None, None), (41, "http://ü", "ä\n" * 9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
