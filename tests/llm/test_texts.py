@@ -316,8 +316,6 @@ def test_branches_are_ranked_by_mean_score(spark):
 
 
 def brute_audit(ours, theirs):
-    from collections import Counter
-
     a, b = Counter(ours), Counter(theirs)
     left, right = Counter(k for k, _, _ in (a - b).elements()), Counter(k for k, _, _ in (b - a).elements())
     out = Counter()
