@@ -206,6 +206,8 @@ class JaccardJoin:
             .withColumn("both", F.size(F.array_intersect("x", "y")))
             .withColumn("either", F.size("x") + F.size("y") - F.col("both"))
             .select("a", "b", (1 - F.col("both") / F.col("either")).alias("d"), (100 * F.col("both") >= self.percent * F.col("either")).alias("linked"))
+            # an exchange between the joins and the grouping: a pivot of many members is split as a skewed join
+            .repartition("a", "b")
             .distinct()
         )
         beyond = bound.where("far").select("a", "b", F.col("dlo"), F.lit(1.0).alias("dhi"), F.lit(False).alias("linked"))

@@ -217,3 +217,61 @@ def test_sparse_sites_shrink(spark):
 def test_urls(spark, url, host, path):
     r = spark.createDataFrame([(url,)], "u string").select(host_of(F.col("u")).alias("h"), path_of(F.col("u")).alias("p")).first()
     assert r.h == host and (r.p or "") == (path or "")
+
+
+def test_scores_are_those_of_a_twin(spark):
+    """The regression by another solver, and sums, strengths, rates and scores by loops over the documents."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    host, path = F.col("source"), F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")))
+    got = {r.id: r for r in classify(docs, labels, host, path).collect()}
+    quality = {r.doc_id: float(r.quality) for r in labels.collect()}
+
+    def form(text):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", (text or "").lower()) if w]
+        n, chars = max(1, len(words)), max(1, len(text or ""))
+        many = lambda p: len(re.findall(p, text or ""))
+        return [math.log1p(len(words)), len(set(words)) / n, min(chars / n, 40), min(many("[#*$%&|<>]") / n, 4), min(many("!") / n, 4), many("[A-Z]") / chars, many("[0-9]") / chars, min(many("\n") / n, 1)]
+
+    rows = [(r.doc_id, r.source or "", f"{r.source or ''}/{r.lang or ''}", form(r.text)) for r in docs.collect()]
+    x, y = np.array([f for i, _, _, f in rows if i in quality]), np.array([quality[i] for i, _, _, _ in rows if i in quality])
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+    z, w = np.hstack([(x - mean) / scale, np.ones((len(x), 1))]), np.zeros(x.shape[1] + 1)
+    ridge = np.array([1.0] * x.shape[1] + [1e-6])
+    # iteratively reweighted least squares, damped until the loss falls
+    loss = lambda v: np.logaddexp(0, -(2 * y - 1) * (z @ v)).sum() + (ridge * v * v).sum() / 2
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(z @ w)))
+        step = np.linalg.lstsq((z.T * (p * (1 - p))) @ z + np.diag(ridge), z.T @ (p - y) + ridge * w, rcond=None)[0]
+        t = 1.0
+        while loss(w - t * step) > loss(w) and t > 1e-9:
+            t /= 2
+        w = w - t * step
+    at = {i: float(((np.array(f) - mean) / scale) @ w[:-1] + w[-1]) for i, _, _, f in rows}
+    share = {i: quality.get(i, 1 / (1 + math.exp(-at[i]))) for i in at}
+    sums = {}
+    for i, h, p, _ in rows:
+        for key in (h, (h, p), None):
+            k, n = sums.get(key, (0.0, 0))
+            sums[key] = (k + share[i], n + 1)
+    total = sums[None][0] / sums[None][1]
+
+    def strength(sites):
+        n = sum(s[1] for s in sites)
+        between = (sum(m * (k / m - r) ** 2 for k, m, r in sites) - sum(r * (1 - r) for _, _, r in sites)) / n
+        return 10_000.0 if between <= 0 else min(10_000.0, max(1.0, sum(m * r * (1 - r) for _, m, r in sites) / n / between - 1))
+
+    hosts = {k: v for k, v in sums.items() if isinstance(k, str)}
+    a = strength([(k, n, total) for k, n in hosts.values()])
+    rate = lambda k, n: (k + a * total) / (n + a)
+    b = strength([(k, n, rate(*hosts[key[0]])) for key, (k, n) in sums.items() if isinstance(key, tuple)])
+    even = math.log(y.mean() / (1 - y.mean()))
+    for i, h, p, _ in rows:
+        own_host = rate(hosts[h][0] - share[i], hosts[h][1] - 1)
+        own_path = (sums[h, p][0] - share[i] + b * own_host) / (sums[h, p][1] - 1 + b)
+        score = 1 / (1 + math.exp(-(math.log(own_path / (1 - own_path)) + at[i] - even)))
+        assert math.isclose(got[i].host_rate, own_host, rel_tol=1e-4, abs_tol=1e-5) and math.isclose(got[i].path_rate, own_path, rel_tol=1e-4, abs_tol=1e-5) and math.isclose(got[i].score, score, rel_tol=1e-3, abs_tol=1e-4)

@@ -92,6 +92,48 @@ def test_predictions_use_the_text_alone(spark):
     assert a == b
 
 
+def test_predictions_are_those_of_a_twin(spark):
+    """n-grams counted in dictionaries, weights from all training texts, the nearest centroid by a loop; the centroids by the same sample
+    are the means of their nearest texts."""
+    from gneiss.llm.langid import DIMS
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = docs.where(~held_out())
+    model = LanguageModel.fit(train, per_lang=60)
+    mask = (1 << 64) - 1
+
+    def places(text):
+        words = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())) + " "
+        out = Counter()
+        for n in (2, 3):
+            for i in range(len(words) - n + 1):
+                gram = words[i : i + n]
+                if gram[0] == " " and gram[-1] == " ":
+                    continue
+                h = n
+                for c in gram:
+                    h = ((h + ord(c)) * 0x9E3779B97F4A7C15) & mask
+                    h ^= h >> 29
+                out[h >> 52] += 1
+        return out
+
+    rows = train.where("lang is not null and text is not null").collect()
+    known = [places(r.text) for r in rows if any(map(str.isalpha, r.text))]
+    df = Counter(k for p in known for k in p)
+    idf = [math.log((1 + len(known)) / (1 + df[k])) + 1 for k in range(DIMS)]
+    assert np.allclose(model.idf, idf, rtol=1e-5)
+    got = {r.id: r for r in model.predict(docs).collect()}
+    for r in docs.collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        v = {k: math.log1p(n) * idf[k] for k, n in places(r.text).items()}
+        length = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * c[k] for k, x in v.items()) / length for c in model.centroids]
+        assert math.isclose(got[r.doc_id].score, max(cos), abs_tol=1e-4)
+        assert got[r.doc_id].lang_pred in {model.langs[i] for i, c in enumerate(cos) if c > max(cos) - 1e-4}
+
+
 def test_letters_only(spark):
     model = LanguageModel.fit(spark.createDataFrame([("one two three", "en"), ("eins zwei drei", "de")], "text string, lang string"))
     assert [x[0] for x in model.score(["½ ² Ⅷ", "12 _ %", "", None, "٣"])] == ["und"] * 5
