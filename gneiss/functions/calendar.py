@@ -52,16 +52,26 @@ def add_model_months(number: Column, months: Column, calendar: str) -> Column:
     return F.least(first + d["day"] - 1, next_ - 1)
 
 
-UNITS = r"^\s*([A-Za-z]+?)s?\s+since\s+([0-9]{1,4})-([0-9]{1,2})-([0-9]{1,2})(?:[T ]([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?)?\s*(?:Z|UTC|[+-][0-9:]+)?\s*$"
+UNITS = r"^\s*([A-Za-z]+?)s?\s+since\s+([0-9]{1,4})-([0-9]{1,2})-([0-9]{1,2})(?:[T ]\s*([0-9]{1,2}):([0-9]{2})(?::([0-9]{2})(?:\.[0-9]*)?)?)?\s*(?:Z|UTC|([+-][0-9]{1,2})(?::?([0-9]{2}))?)?\s*$"
 
 
 def parsed_units(units: Column) -> Column:
-    """(unit, reference timestamp) of ``<unit>s since <date> [<time>]``; null where the grammar does not fit."""
-    part = lambda k: F.regexp_extract(units, UNITS, k)
-    pad = lambda c, n: F.lpad(F.when(c == "", "0").otherwise(c), n, "0")
-    date = F.concat_ws("-", pad(part(2), 4), pad(part(3), 2), pad(part(4), 2))
-    time = F.concat_ws(":", pad(part(5), 2), pad(part(6), 2), pad(part(7), 2))
-    return F.when(units.rlike(UNITS), F.struct(F.lower(part(1)).alias("unit"), F.try_to_timestamp(F.concat_ws(" ", date, time)).alias("reference")))
+    """(unit, reference timestamp) of ``<unit>s since <date> [<time>] [<zone>]``; null where the grammar does not fit. The reference is in UTC: an offset is
+    taken off. The text is matched once, its parts are cut out of what the match gives."""
+    matched = F.split(F.regexp_replace(units, UNITS, "|$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|")
+    whole = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+
+    def read(p):
+        part = lambda k: F.get(p, F.lit(k))
+        pad = lambda c, n: F.lpad(F.when(c == "", "0").otherwise(c), n, "0")
+        date = F.concat_ws("-", pad(part(2), 4), pad(part(3), 2), pad(part(4), 2))
+        time = F.concat_ws(":", pad(part(5), 2), pad(part(6), 2), pad(part(7), 2))
+        minutes = whole(part(8)) * 60 + F.when(F.startswith(part(8), F.lit("-")), -1).otherwise(1) * whole(part(9))
+        local = F.try_to_timestamp(F.concat_ws(" ", date, time))
+        at = F.when(minutes == 0, local).otherwise(F.timestamp_micros(F.unix_micros(local) - minutes.cast("long") * 60_000_000))
+        return F.when((F.size(p) == 10) & (part(0) == ""), F.struct(F.lower(part(1)).alias("unit"), at.alias("reference")))
+
+    return F.transform(F.array(matched), read)[0]
 
 
 def since(time: Column, reference: Column, unit: str) -> Column:

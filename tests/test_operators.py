@@ -160,6 +160,12 @@ def test_dates(spark):
     assert r.u.unit == "day" and str(r.u.reference) == "1850-01-01 06:30:00" and r.bad is None
 
 
+def test_offsets_of_time_units(spark):
+    rows = ["days since 2000-01-01 06:00:00 +02:00", "hours since 2000-1-1 06:00 -0330", "seconds since 2000-01-01T00:00:00.5 Z", "days since 2000-01-01 06:00:00 -5", "days since 2000-13-01", "|days since 2000-01-01", None, ""]
+    got = [r.u and (r.u.unit, str(r.u.reference)) for r in spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, x string").select("i", calendar.parsed_units(F.col("x")).alias("u")).orderBy("i").collect()]
+    assert got == [("day", "2000-01-01 04:00:00"), ("hour", "2000-01-01 09:30:00"), ("second", "2000-01-01 00:00:00"), ("day", "2000-01-01 11:00:00"), ("day", "None"), None, None, None]
+
+
 def test_geometry(spark):
     lon, lat = F.lit(12.5), F.lit(48.25)
     back = geometry.unrotated(geometry.rotated(lon, lat, -162.0, 39.25)["lon"], geometry.rotated(lon, lat, -162.0, 39.25)["lat"], -162.0, 39.25)
