@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from gneiss.operators import conventions
+from gneiss.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
 
@@ -41,11 +44,33 @@ SELECT p_partkey, '', 'featureType', 'char', CASE WHEN p_size % 15 = 0 THEN 'pro
 NAMES = [("longitude", "degree"), ("latitude", "degree"), ("time", "s"), ("air_temperature", "K")]
 
 
+def _columns(select: str) -> list[str]:
+    """The expressions of a select list: what commas outside of quotes and brackets part, without names behind ``AS``."""
+    out, depth, quoted, word = [], 0, False, ""
+    for c in select + ",":
+        quoted ^= c == "'"
+        depth += 0 if quoted else (c == "(") - (c == ")")
+        if c == "," and not depth and not quoted:
+            out.append(re.sub(r"\s+AS\s+\w+\s*$", "", word).strip())
+            word = ""
+        else:
+            word += c
+    return out
+
+
+def _rows(part, union: str, names: list[str]):
+    """A union of selects from the part table as one scan: every branch is an element of an array."""
+    branches = [re.sub(r"^\s*SELECT\s+|\s+FROM \{part\}\s*$", "", x.strip()) for x in re.split(r"UNION ALL", union)]
+    structs = [", ".join(f"'{n}', {e}" for n, e in zip(names, _columns(b)[1:], strict=True)) for b in branches]
+    each = F.expr(f"inline(array({', '.join(f'named_struct({x})' for x in structs)}))")
+    return part.select(F.col("p_partkey").alias("file_id"), each)
+
+
 def _layout(spark, sf_dir):
-    part = f"parquet.`{sf_dir}/part.parquet`"
-    vars_ = spark.sql(VARS.format(part=part)).withColumn("dims", F.split("dims", ","))
-    d = conventions.described(vars_, spark.sql(ATTS.format(part=part)), spark.sql(DIMS.format(part=part)).withColumn("size", F.col("size").cast("long")), spark.createDataFrame(NAMES, "name string, units string"))
-    return d
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_retailprice")
+    vars_ = _rows(part, VARS, ["var", "type", "dims"]).withColumn("dims", F.split("dims", ","))
+    atts, dims = _rows(part, ATTS, ["var", "att", "att_type", "value"]), _rows(part, DIMS, ["dim", "size"])
+    return conventions.described(vars_, atts, dims.withColumn("size", F.col("size").cast("long")), spark.createDataFrame(NAMES, "name string, units string"))
 
 
 _WITH = f"""WITH v AS ({VARS.format(part="part")}), t AS ({ATTS.format(part="part")}), a AS (SELECT * FROM t WHERE value IS NOT NULL),
