@@ -165,3 +165,21 @@ def custom_date(number: Column, lengths: list[int]) -> Column:
     rest = F.pmod(number, F.lit(total))
     month = F.size(F.filter(starts, lambda b: b <= rest))
     return F.struct(F.floor(number / total).cast("long").alias("year"), month.cast("long").alias("month"), (rest - F.element_at(starts, month) + 1).cast("long").alias("day"))
+
+
+def model_seconds(year: Column, month: Column, day: Column, second: Column, calendar: str) -> Column:
+    """Seconds since 0000-01-01 00:00 of a date and a second of its day in a calendar of equal years."""
+    return model_day(year, month, day, calendar) * 86400 + second.cast("long")
+
+
+def add_model_time(number: Column, calendar: str, years: Column | int = 0, months: Column | int = 0, days: Column | int = 0, seconds: Column | int = 0) -> Column:
+    """Model seconds some years, months, days and seconds later: years and months first, where a day past the month's end is its last."""
+    col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    day = add_model_months(F.floor(number / 86400), col(years) * 12 + col(months), calendar)
+    return (day + col(days)) * 86400 + F.pmod(number, F.lit(86400)) + col(seconds)
+
+
+def model_time(number: Column, calendar: str) -> Column:
+    """(year, month, day, second) of model seconds."""
+    d = model_date(F.floor(number / 86400), calendar)
+    return F.struct(d["year"].alias("year"), d["month"].alias("month"), d["day"].alias("day"), F.pmod(number, F.lit(86400)).cast("long").alias("second"))

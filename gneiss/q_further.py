@@ -13,7 +13,7 @@ from gneiss.plans import directives, selection
 from gneiss.q_records import ORACLES as RECORD_SQL
 from gneiss.q_records import _records
 from gneiss.sources.shared import shared_folder
-from gneiss.sources.tables import delimited, table
+from gneiss.sources.tables import delimited, resolved_names, table
 from gneiss.streaming.series import OUTPUT, continue_into
 
 QUERIES, ORACLES = {}, {}
@@ -222,3 +222,18 @@ def rule_lines(spark, sf_dir):
     part.select(text).write.text(at)
     lines = delimited(spark, f"{at}/*.txt")
     return lines.select("line", F.col("items")[0].alias("first"), F.col("items")[1].alias("second"))
+
+
+@query("""WITH e AS (SELECT DISTINCT replace(p_name, ' ', '_') AS id, 'K' || min(p_size) AS units FROM part GROUP BY p_name)
+ SELECT id AS name, id, units AS canonical_units FROM e UNION ALL SELECT 'old_' || id, id, units FROM e UNION ALL SELECT 'older_' || id, id, units FROM e UNION ALL SELECT 'lost', 'gone', NULL""")
+def name_aliases(spark, sf_dir):
+    """A table of standard names in XML that the parts make, with aliases, aliases of aliases and one of nothing."""
+    at = f"{shared_folder(spark)}/rules-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "part").groupBy(F.translate("p_name", " ", "_").alias("id")).agg(F.min("p_size").cast("string").alias("size"))
+    tag = lambda t, id, inner: F.concat(F.lit(f'<{t} id="'), id, F.lit('">'), inner, F.lit(f"</{t}>"))
+    entry_of = lambda c: F.concat(F.lit("<entry_id>"), c, F.lit("</entry_id>"))
+    entries = tag("entry", F.col("id"), F.concat(F.lit("<canonical_units>K"), "size", F.lit("</canonical_units>")))
+    lines = e.select(F.concat_ws("\n", entries, tag("alias", F.concat(F.lit("old_"), "id"), entry_of(F.col("id"))), tag("alias", F.concat(F.lit("older_"), "id"), entry_of(F.concat(F.lit("old_"), "id")))).alias("value"))
+    whole = lines.agg(F.concat(F.lit("<table>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit('\n<alias id="lost"><entry_id>gone</entry_id></alias>\n</table>')).alias("value"))
+    whole.coalesce(1).write.text(at)
+    return resolved_names(spark, f"{at}/*.txt")

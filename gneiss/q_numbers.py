@@ -86,3 +86,15 @@ def calendar_days(spark, sf_dir):
     o = o.select("o_orderkey", *[calendar.calendar_day(F.col("y"), F.col("m"), F.col("d"), k).alias(n) for n, k in kinds.items()], calendar.custom_day(F.col("y"), F.col("m"), F.col("d"), lengths).alias("custom"))
     back = {n: calendar.calendar_date(F.col(n), k) for n, k in kinds.items()} | {"custom": calendar.custom_date(F.col("custom"), lengths)}
     return o.select("*", *[(b["year"] * 10000 + b["month"] * 100 + b["day"]).alias(f"back_{n}") for n, b in back.items()])
+
+
+@query("""WITH d AS (SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, least(day(o_orderdate), 30) AS d, o_orderkey % 86400 AS s, o_orderkey % 40 AS months, o_orderkey % 50 AS days, o_orderkey * 7 % 90000 AS seconds FROM orders),
+ t AS (SELECT *, (y * 12 + m - 1 + 12 + months) * 30 + d - 1 + days + (s + seconds) // 86400 AS n, (s + seconds) % 86400 AS second FROM d)
+ SELECT o_orderkey, CAST(n // 360 AS BIGINT) AS year, CAST(n % 360 // 30 + 1 AS BIGINT) AS month, CAST(n % 30 + 1 AS BIGINT) AS day, CAST(second AS BIGINT) AS second FROM t""")
+def model_time_sums(spark, sf_dir):
+    """Dates of years of 360 days a year, some months, days and seconds later."""
+    k = F.col("o_orderkey")
+    at = calendar.model_seconds(F.year("o_orderdate"), F.month("o_orderdate"), F.least(F.day("o_orderdate"), F.lit(30)), k % 86400, "360_day")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", calendar.add_model_time(at, "360_day", 1, k % 40, k % 50, k * 7 % 90000).alias("t"))
+    t = calendar.model_time(F.col("t"), "360_day")
+    return o.select("o_orderkey", *[t[c].alias(c) for c in ("year", "month", "day", "second")])

@@ -42,6 +42,17 @@ def standard_names(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "entry").load(path).select(F.col("_id").alias("id"), *[c for c in ("canonical_units", "amip", "grib")])
 
 
+def resolved_names(spark: SparkSession, path: str) -> DataFrame:
+    """(name, id, canonical_units) of the standard names of a table in XML and of their aliases: an alias has the id and the units of the entry it
+    stands for; of a chain of aliases each link is followed once, and one whose entry is not there has null units."""
+    entries = spark.read.format("xml").option("rowTag", "entry").schema("_id string, canonical_units string").load(path)
+    aliases = spark.read.format("xml").option("rowTag", "alias").schema("_id string, entry_id string").load(path).where("_id is not null")
+    own = entries.where("_id is not null").select(F.col("_id").alias("name"), F.col("_id").alias("id"), "canonical_units")
+    step = aliases.select(F.col("_id").alias("link"), F.col("entry_id").alias("further"))
+    near = aliases.join(step, aliases["entry_id"] == step["link"], "left").select(F.col("_id").alias("name"), F.coalesce("further", "entry_id").alias("id"))
+    return own.unionByName(near.join(own.select("id", "canonical_units"), "id", "left"))
+
+
 def append_results(results: DataFrame, path: str, by: list[str]) -> None:
     """Add record results to the table under ``path``, partitioned by ``by``."""
     results.write.mode("append").partitionBy(*by).parquet(path)
