@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gneiss.fixtures import FILES, file_catalog
 from gneiss.functions import calendar, geometry
 from gneiss.operators import catalog, rules
+from gneiss.sources.shared import shared_folder
 from gneiss.sources.tables import table
 from gneiss.streaming.continuation import Continuation, run_available
 
@@ -204,15 +207,7 @@ def grid_arithmetic(spark, sf_dir):
 def streaming_continuation(spark, sf_dir):
     """Events that arrive in three parts, each a run of the stream that goes on from the one before: the flags are those of
     the whole table, wherever it is cut."""
-    import tempfile
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="gneiss-")
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = table(spark, sf_dir, "events")
     k = F.col("event_id")
     time = F.when(k % 20 == 0, k.cast("double") - 500).when(k % 31 == 0, 0.0).otherwise(k.cast("double"))
