@@ -122,7 +122,7 @@ def _names_without_bounds(items: Column, file_vars: Column) -> Column:
 def file_variables(vars: DataFrame, atts: DataFrame, texts: DataFrame) -> DataFrame:
     """(file_id, file_vars, file_dims): each file's variables with what the rules ask of them."""
     kinds = ("standard_name", "units", "bounds", "climatology", "formula_terms")
-    own = atts.where(F.col("att").isin(*kinds) & F.col("value").isNotNull()).groupBy("file_id", "var").pivot("att", list(kinds)).agg(F.first("value"))
+    own = atts.where(F.col("att").isin(*kinds) & F.col("value").isNotNull()).groupBy("file_id", "var").pivot("att", list(kinds)).agg(F.min("value"))
     v = vars.join(own, ["file_id", "var"], "left").join(texts.select("file_id", "var", "texts"), ["file_id", "var"], "left")
     units, std = F.coalesce("units", F.lit("")), F.coalesce("standard_name", F.lit(""))
     row = F.struct(
@@ -146,7 +146,7 @@ def faults(vars: DataFrame, atts: DataFrame, names: DataFrame, texts: DataFrame,
     item ends the judgement of a text, what was found before it stands. ``recommendations`` adds 731a, 73e and 734a. Null values and
     texts without words have no findings but 73b; variables of null file or name are left out; each code counts once.
     """
-    own = atts.where("att in ('cell_methods', 'coordinates') and value is not null").groupBy("file_id", "var").pivot("att", ["cell_methods", "coordinates"]).agg(F.first("value"))
+    own = atts.where("att in ('cell_methods', 'coordinates') and value is not null").groupBy("file_id", "var").pivot("att", ["cell_methods", "coordinates"]).agg(F.min("value"))
     context = file_variables(vars.where("file_id is not null and var is not null"), atts, texts)
     d = vars.join(own.where("cell_methods is not null"), ["file_id", "var"]).join(context, "file_id")
     cm = F.trim("cell_methods")
