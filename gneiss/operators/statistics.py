@@ -114,3 +114,16 @@ def detrended(cells: DataFrame, cell: list[str], time: str, value: str) -> DataF
     """``value`` less its linear trend in each cell; the trend is an aggregate joined back."""
     fit = cells.groupBy(*cell).agg(F.regr_slope(value, time).alias("_m"), F.regr_intercept(value, time).alias("_c"))
     return cells.join(fit, cell).withColumn("residual", F.col(value) - F.col("_m") * F.col(time) - F.col("_c")).drop("_m", "_c")
+
+
+def layered(cells: DataFrame, index: str, levels: list[int], size: int) -> DataFrame:
+    """``cells`` with ``layer``, the places in the levels above the horizontal field, and ``cell``, the place in the field, of an ``index`` that counts
+    through all fields of ``size`` cells, the last level running fastest; both are null for an index out of range. A record of several
+    levels is then judged layer by layer, by grouping."""
+    rest, places, fields = F.floor(F.col(index) / size), [], 1
+    for n in reversed(levels):
+        places.append(F.pmod(F.floor(rest / fields), F.lit(n)).cast("long"))
+        fields *= n
+    there = (F.col(index) >= 0) & (F.col(index) < fields * size)
+    layer = F.array(*reversed(places)).cast("array<bigint>")
+    return cells.withColumns({"layer": F.when(there, layer), "cell": F.when(there, F.pmod(F.col(index), F.lit(size)).cast("long"))})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gneiss.fixtures import FILES, file_catalog
 from gneiss.functions import geometry, strings
-from gneiss.operators import annotations, anomaly, catalog, timeaxis
+from gneiss.operators import annotations, anomaly, catalog, statistics, timeaxis
 from gneiss.plans import directives, selection
 from gneiss.q_records import ORACLES as RECORD_SQL
 from gneiss.q_records import _records
@@ -237,3 +237,13 @@ def name_aliases(spark, sf_dir):
     whole = lines.agg(F.concat(F.lit("<table>\n"), F.array_join(F.collect_list("value"), "\n"), F.lit('\n<alias id="lost"><entry_id>gone</entry_id></alias>\n</table>')).alias("value"))
     whole.coalesce(1).write.text(at)
     return resolved_names(spark, f"{at}/*.txt")
+
+
+@query("""WITH e AS (SELECT value, event_id % 700 AS i FROM events WHERE event_id % 700 < 600)
+ SELECT i // 200 AS level, i // 50 % 4 AS band, count(*) AS n, min(value) AS mn, max(value) AS mx, count(DISTINCT i % 50) AS cells FROM e GROUP BY 1, 2""")
+def layer_statistics(spark, sf_dir):
+    """Statistics of each layer of records of three levels, four bands and fields of fifty cells; what lies beyond is left out."""
+    e = table(spark, sf_dir, "events").select("value", (F.col("event_id") % 700).alias("i"))
+    l = statistics.layered(e, "i", [3, 4], 50).where("layer is not null")
+    g = l.groupBy(F.col("layer")[0].alias("level"), F.col("layer")[1].alias("band"))
+    return g.agg(F.count("*").alias("n"), F.min("value").alias("mn"), F.max("value").alias("mx"), F.count_distinct("cell").alias("cells"))
