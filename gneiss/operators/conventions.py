@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.functions.units import compatible
+from gneiss.functions.units import dimension
 
 #: Modifiers of standard names, feature types, roles and grid mappings that the conventions know.
 MODIFIERS = ("detection_minimum", "number_of_observations", "standard_error", "status_flag")
@@ -171,9 +171,11 @@ def described(vars: DataFrame, atts: DataFrame, dims: DataFrame, names: DataFram
     by_file = by_file.join(sizes, "file_id", "left").join(g, "file_id", "left").withColumn("sizes", F.coalesce("sizes", none)).withColumn("g", F.coalesce("g", empty))
     by_file = by_file.withColumn("any_data", F.expr(f"exists(rows, r -> {_DATA} >= {_AUX})")).drop("rows")
     d = v.join(by_file, "file_id").withColumn("bounded", F.get(F.filter("bounds", lambda x: x["of"] == F.col("var")), F.lit(0)))
-    table = names.select(F.col("name").alias("_name"), F.col("units").alias("_units"), F.lit(True).alias("_in")).dropDuplicates(["_name"])
+    table = names.groupBy(F.col("name").alias("_name")).agg(F.min("units").alias("_units")).withColumn("_powers", dimension(F.col("_units"))["powers"]).withColumn("_in", F.lit(True))
+    # the same text, or else the same powers of base units
+    same = F.when(F.col("a")["units"] == F.col("_units"), F.lit(True)).when(F.col("_in"), dimension(F.col("a")["units"])["powers"] == F.col("_powers"))
     d = d.join(table, F.get(F.split(F.trim(F.col("a")["standard_name"]), " +"), F.lit(0)) == F.col("_name"), "left")
-    return d.withColumn("known_name", F.coalesce("_in", F.lit(False))).withColumn("same_units", compatible(F.col("a")["units"], F.col("_units"))).drop("_in", "_name", "_units", "bounds")
+    return d.withColumn("known_name", F.coalesce("_in", F.lit(False))).withColumn("same_units", same).drop("_in", "_name", "_units", "_powers", "bounds")
 
 
 def findings(variables: DataFrame, chapters: list[int] | None = None) -> DataFrame:

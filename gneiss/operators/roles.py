@@ -3,7 +3,7 @@
 A variable is data if as much speaks for data as against it. Its attributes and dimensions speak for themselves; then what a variable
 is says something about those that it names: a data variable's ancillary variables are data, its coordinates and cell measures are not; a variable
 that is none makes its bounds, coordinates and formula terms none. Evidence once passed stays, so the loop ends: each round adds some of a
-finite set (two for each reference) or is the last. A round is joins by (file, variable); files are small, so no key is hot.
+finite set (one for each reference) or is the last. What doesn't depend on a state is passed before. A round is joins by (file, variable); files are small, so no key is hot.
 """
 
 from __future__ import annotations
@@ -44,6 +44,21 @@ def own_evidence(vars: DataFrame, atts: DataFrame) -> DataFrame:
     return said.unionByName(many).unionByName(fewer).unionByName(axis).distinct()
 
 
+def _mapped(values: dict[str, str]):
+    return F.element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v))]), F.col("att"))
+
+
+def _balance(evidence: DataFrame) -> DataFrame:
+    return evidence.groupBy("file_id", "var").agg(F.count_if(F.col("side") == "data").alias("n_data"), F.count_if(F.col("side") == "auxiliary").alias("n_auxiliary"))
+
+
+def _sum(counts: DataFrame, more: DataFrame) -> DataFrame:
+    """``counts`` (file_id, var, n_data, n_auxiliary; null: none) with what ``more`` has beside."""
+    m = more.select("file_id", "var", F.col("n_data").alias("d"), F.col("n_auxiliary").alias("a"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return counts.join(m, ["file_id", "var"], "left").select("file_id", "var", (zero("n_data") + zero("d")).alias("n_data"), (zero("n_auxiliary") + zero("a")).alias("n_auxiliary"))
+
+
 def variable_roles(vars: DataFrame, atts: DataFrame) -> DataFrame:
     """(file_id, var, role, n_data, n_auxiliary) of every variable.
 
@@ -54,23 +69,24 @@ def variable_roles(vars: DataFrame, atts: DataFrame) -> DataFrame:
     """
     vars = vars.where("file_id is not null and var is not null").select("file_id", "var", "type", F.coalesce("dims", F.array().cast("array<string>")).alias("dims")).dropDuplicates(["file_id", "var"])
     refs = written(references(atts, vars), "references")
-    held = written(own_evidence(vars, atts).withColumn("of", F.lit("")), "evidence")
-    passes = F.create_map(*[x for k, (needs, _) in PASSED.items() for x in (F.lit(k), F.lit(needs))])
-    gives = F.create_map(*[x for k, (_, side) in PASSED.items() for x in (F.lit(k), F.lit(side))])
-    balance = lambda e: e.groupBy("file_id", "var").agg(F.count_if(F.col("side") == "data").alias("n_data"), F.count_if(F.col("side") == "auxiliary").alias("n_auxiliary"))
-    known = held.count()
+    free = [a for a, (needs, _) in PASSED.items() if needs == "any"]
+    says = lambda r: r.select("file_id", F.col("name").alias("var"), F.col("att").alias("by"), _mapped({k: side for k, (_, side) in PASSED.items()}).alias("side"))
+    base = written(_balance(own_evidence(vars, atts).select("file_id", "var", "by", "side").unionByName(says(refs.where(F.col("att").isin(free))))), "evidence")
+    # what depends on the state of the variable that names another
+    open_, passed = refs.where(~F.col("att").isin(free)), refs.where("false")
     while True:
-        state = refs.join(balance(held), ["file_id", "var"], "left").withColumn("is", F.when(F.coalesce("n_data", F.lit(0)) >= F.coalesce("n_auxiliary", F.lit(0)), "data").otherwise("auxiliary"))
-        new = state.where(F.element_at(passes, F.col("att")).isin("any") | (F.element_at(passes, F.col("att")) == F.col("is")))
-        # what bounds of a data variable are doesn't change, but that of another variable passes on
-        more = held.unionByName(new.select("file_id", F.col("name").alias("var"), F.col("att").alias("by"), F.element_at(gives, F.col("att")).alias("side"), F.col("var").alias("of"))).distinct()
-        more = written(more, "evidence")
-        dropped(held)
-        held, before, known = more, known, more.count()
-        if known == before:
+        state = _sum(open_.select("file_id", "var").distinct().join(base, ["file_id", "var"], "left"), _balance(says(passed)))
+        is_ = F.when(F.col("n_data") >= F.col("n_auxiliary"), "data").otherwise("auxiliary")
+        now = open_.join(state, ["file_id", "var"]).where(_mapped({k: needs for k, (needs, _) in PASSED.items()}) == is_).select(*refs.columns)
+        more = written(passed.union(now.join(passed, refs.columns, "left_anti")), "passed")
+        old, new = passed.count(), more.count()
+        dropped(passed)
+        passed = more
+        if new == old:
             break
+    held = _sum(vars.select("file_id", "var").join(base, ["file_id", "var"], "left"), _balance(says(passed)))
     named = refs.groupBy("file_id", F.col("name").alias("var")).agg(F.collect_set("att").alias("by"))
-    d = vars.join(balance(held), ["file_id", "var"], "left").join(named, ["file_id", "var"], "left").na.fill(0, ["n_data", "n_auxiliary"])
+    d = vars.join(held, ["file_id", "var"], "left").join(named, ["file_id", "var"], "left")
     by = lambda *atts: F.coalesce(F.arrays_overlap("by", F.array(*[F.lit(a) for a in atts])), F.lit(False))
     data = F.col("n_data") >= F.col("n_auxiliary")
     role = (

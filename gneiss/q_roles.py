@@ -44,6 +44,7 @@ e0 AS MATERIALIZED (
  UNION SELECT file_id, var, 'dimensions', 1, '' FROM v WHERE len(dims) > 2
  UNION SELECT v.file_id, v.var, 'part', -1, '' FROM v JOIN v w ON w.file_id = v.file_id AND len(v.dims) > 0 AND len(v.dims) < len(w.dims) AND list_has_all(w.dims, v.dims)
  UNION SELECT file_id, var, 'dimension', -1, '' FROM v WHERE list_contains(dims, var)
+ UNION SELECT file_id, name, att, -1, var FROM refs WHERE att IN ('coordinates', 'bounds', 'cell_measures', 'grid_mapping')
 ), {", ".join(_ROUND.format(k=k, p=k - 1) for k in range(1, _ROUNDS))},
 b AS (SELECT file_id, var, count(*) FILTER (WHERE side > 0) AS n_data, count(*) FILTER (WHERE side < 0) AS n_auxiliary FROM e{_ROUNDS - 1} GROUP BY 1, 2),
 n AS (SELECT file_id, name AS var, list(DISTINCT att) AS kinds FROM refs GROUP BY 1, 2)
