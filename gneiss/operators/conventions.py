@@ -1,9 +1,10 @@
 """Convention rules as column conditions over variables and files.
 
 A layout is three long tables: ``vars`` (file_id, var, type, dims array), ``atts`` (file_id, var, '' if global, att, att_type,
-value) and ``dims`` (file_id, dim, size). ``described`` makes one row of each variable with its attributes as maps and the
-names of its file beside it: two groupings, by variable and by file. Every rule is then a condition on such a row, so that all
+value) and ``dims`` (file_id, dim, size). ``described`` brings the rows of a file together by one grouping and makes one row of each
+variable with its attributes as maps and the names of its file beside it. Every rule is then a condition on such a row, so that all
 rules of all chapters are one pass, and a chapter is a choice of rules. A file's names are few; no group grows with the archive.
+No table but that of standard names is broadcast: Spark takes what is exploded from a small file for small.
 """
 
 from __future__ import annotations
@@ -12,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.functions.units import dimension
+from gneiss.sources.shared import dealt
 
+#: Rows of variables, attributes and dimensions that one task groups by file.
+FILE_ROWS = 1_000_000
 #: Modifiers of standard names, feature types, roles and grid mappings that the conventions know.
 MODIFIERS = ("detection_minimum", "number_of_observations", "standard_error", "status_flag")
 FEATURES = ("point", "timeSeries", "profile", "trajectory", "timeSeriesProfile", "trajectoryProfile")
@@ -116,18 +120,18 @@ FILE_RULES = {
     "CF_9d": f"not array_contains(array{FEATURES}, g['featureType'])",
 }
 
-#: Evidence that row ``r`` of a file's ``rows`` is a data variable, and that it is not: what attributes and dimensions it has, and which
+#: Evidence that row ``r`` of a file's ``vs`` is a data variable, and that it is not: what attributes and dimensions it has, and which
 #: variables name it or have all its dimensions beside others. A variable with as much of the one as of the other is data.
 _DATA = " + ".join(
     [f"int(r.a['{x}'] is not null)" for x in ("ancillary_variables", "cell_measures", "cell_methods", "coordinates", "flag_values", "flag_masks", "grid_mapping")]
-    + ["int(r.a['_FillValue'] is not null or r.a['missing_value'] is not null)", "int(size(r.dims) > 2)", "int(exists(rows, o -> o.a['ancillary_variables'] <=> r.var))"]
+    + ["int(r.a['_FillValue'] is not null or r.a['missing_value'] is not null)", "int(size(r.dims) > 2)", "int(exists(vs, o -> o.a['ancillary_variables'] <=> r.var))"]
 )
 _AUX = " + ".join(
     [f"int(r.a['{x}'] is not null)" for x in ("axis", "cf_role", "instance_dimension", "sample_dimension", "positive", "bounds", "climatology")]
     + [
-        "int(exists(rows, o -> o.a['bounds'] <=> r.var or o.a['climatology'] <=> r.var))", "int(exists(rows, o -> array_contains(o.dims, r.var)))",
-        f"int(exists(rows, o -> coalesce(array_contains({_WORDS.format('o.a[\'coordinates\']')}, r.var), false)))", "int(r.a['grid_mapping_name'] is not null or exists(rows, o -> o.a['grid_mapping'] <=> r.var))",
-        "int(size(r.dims) > 0 and exists(rows, o -> size(r.dims) < size(o.dims) and size(array_except(r.dims, o.dims)) = 0))",
+        "int(exists(vs, o -> o.a['bounds'] <=> r.var or o.a['climatology'] <=> r.var))", "int(exists(vs, o -> array_contains(o.dims, r.var)))",
+        f"int(exists(vs, o -> coalesce(array_contains({_WORDS.format('o.a[\'coordinates\']')}, r.var), false)))", "int(r.a['grid_mapping_name'] is not null or exists(vs, o -> o.a['grid_mapping'] <=> r.var))",
+        "int(size(r.dims) > 0 and exists(vs, o -> size(r.dims) < size(o.dims) and size(array_except(r.dims, o.dims)) = 0))",
     ]
 )
 
@@ -141,41 +145,49 @@ def described(vars: DataFrame, atts: DataFrame, dims: DataFrame, names: DataFram
     """A row of each variable: file_id, var, type, dims; ``a`` and ``t``, its attributes' values and types; ``file_vars``, ``sizes``,
     ``axes`` (place of a coordinate's axis in T, Z, Y, X by its name), ``mappings``, ``g`` of its file; ``role``, the axis that units,
     standard name or axis letter tell; ``is_coord``; ``bounded`` (dims, units) if it holds the bounds of another variable; ``known_name``
-    and ``same_units`` by the table ``names`` (name, units) of standard names. Repeated attributes count once, nulls not at all."""
-    own = atts.where("var is not null and att is not null and value is not null").dropDuplicates(["file_id", "var", "att"])
-    maps = own.groupBy("file_id", "var").agg(F.map_from_entries(F.collect_list(F.struct("att", "value"))).alias("a"), F.map_from_entries(F.collect_list(F.struct("att", "att_type"))).alias("t"))
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    dims = dims.where("dim is not null")
-    vars = vars.where("file_id is not null and var is not null")
-    v = vars.join(maps, ["file_id", "var"], "left").withColumn("a", F.coalesce("a", empty)).withColumn("t", F.coalesce("t", empty))
-    units, name, axis = (F.coalesce(F.col("a")[x], F.lit("")) for x in ("units", "standard_name", "axis"))
-    role = (
-        F.when(units.rlike("^degrees?_?(east|E)$") | name.isin("longitude", "grid_longitude", "projection_x_coordinate"), "X")
-        .when(units.rlike("^degrees?_?(north|N)$") | name.isin("latitude", "grid_latitude", "projection_y_coordinate"), "Y")
-        .when(units.rlike(" since ") | (name == "time"), "T")
-        .when(name.rlike("^(air_pressure|height|depth|altitude|(atmosphere|ocean)_.*_coordinate)$"), "Z")
-        .otherwise(F.upper(axis))
-    )
-    v = v.withColumn("role", F.when(role.isin("X", "Y", "Z", "T"), role)).withColumn("is_coord", (F.size("dims") == 1) & (F.get("dims", F.lit(0)) == F.col("var")))
-    place = F.when(F.col("role") == "T", 1).when(F.col("role") == "Z", 2).when(F.col("role") == "Y", 3).when(F.col("role") == "X", 4)
-    holder = F.coalesce(F.col("a")["bounds"], F.col("a")["climatology"])
-    by_file = v.groupBy("file_id").agg(
-        F.collect_set("var").alias("file_vars"), F.collect_list("dims").alias("all_dims"), F.collect_list(F.struct("var", "dims", "a")).alias("rows"),
-        F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("is_coord") & place.isNotNull(), F.struct("var", place.alias("place")))))).alias("axes"),
-        F.collect_set(F.col("a")["grid_mapping"]).alias("mappings"),
-        F.collect_list(F.when(holder.isNotNull(), F.struct(holder.alias("of"), F.col("dims").alias("dims"), F.col("a")["units"].alias("units")))).alias("bounds"),
+    and ``same_units`` by the table ``names`` (name, units) of standard names; ``first``, true in one row of each file. Repeated attributes
+    count once, nulls not at all."""
+    one = lambda df, name, *columns: df.select("file_id", F.struct(*columns).alias(name))
+    v = one(vars.where("file_id is not null and var is not null"), "v", "var", "type", "dims")
+    x = one(atts.where("file_id is not null and var is not null and att is not null and value is not null"), "x", "var", "att", "value", "att_type")
+    rows = v.unionByName(x, True).unionByName(one(dims.where("file_id is not null and dim is not null"), "d", "dim", "size"), True)
+    # a row a file; of repeated attributes and dimensions the least value counts
+    f = dealt(rows, ["file_id"], FILE_ROWS).groupBy("file_id").agg(F.collect_list("v").alias("vs"), F.sort_array(F.collect_list("x")).alias("xs"), F.sort_array(F.collect_list("d")).alias("ds")).where("size(vs) > 0")
+    least = lambda entries, same: F.filter(entries, lambda x, i: (i == 0) | ~same(x, F.get(entries, i - 1)))
+    f = f.withColumn("xs", least(F.col("xs"), lambda x, y: (x["var"] == y["var"]) & (x["att"] == y["att"]))).withColumn("ds", least(F.col("ds"), lambda x, y: x["dim"] == y["dim"]))
+    pairs = lambda var, value: F.map_from_entries(F.transform(F.filter("xs", lambda x: x["var"] == var), lambda x: F.struct(x["att"].alias("att"), x[value].alias(value))))
+    f = f.withColumn("vs", F.transform("vs", lambda v: F.struct(v["var"].alias("var"), v["type"].alias("type"), v["dims"].alias("dims"), pairs(v["var"], "value").alias("a"), pairs(v["var"], "att_type").alias("t"))))
+    f = f.withColumn("g", pairs(F.lit(""), "value")).withColumn("sizes", F.map_from_entries("ds")).drop("xs", "ds")
+
+    def placed(v):
+        units, name, axis = (F.coalesce(v["a"][x], F.lit("")) for x in ("units", "standard_name", "axis"))
+        role = (
+            F.when(units.rlike("^degrees?_?(east|E)$") | name.isin("longitude", "grid_longitude", "projection_x_coordinate"), "X")
+            .when(units.rlike("^degrees?_?(north|N)$") | name.isin("latitude", "grid_latitude", "projection_y_coordinate"), "Y")
+            .when(units.rlike(" since ") | (name == "time"), "T")
+            .when(name.rlike("^(air_pressure|height|depth|altitude|(atmosphere|ocean)_.*_coordinate)$"), "Z")
+            .otherwise(F.upper(axis))
+        )
+        is_coord = (F.size(v["dims"]) == 1) & (F.get(v["dims"], F.lit(0)) == v["var"])
+        return F.struct(*[v[c].alias(c) for c in ("var", "type", "dims", "a", "t")], F.when(role.isin("X", "Y", "Z", "T"), role).alias("role"), is_coord.alias("is_coord"))
+
+    f = f.withColumn("vs", F.transform("vs", placed))
+    place = lambda v: F.array_position(F.array(*[F.lit(x) for x in "TZYX"]), v["role"]).cast("int")
+    holder = lambda v: F.coalesce(v["a"]["bounds"], v["a"]["climatology"])
+    f = f.select(
+        "file_id", "vs", "g", "sizes", F.array_distinct(F.transform("vs", lambda v: v["var"])).alias("file_vars"), F.array_compact(F.transform("vs", lambda v: v["dims"])).alias("all_dims"),
+        F.map_from_entries(F.array_distinct(F.transform(F.filter("vs", lambda v: v["is_coord"] & v["role"].isNotNull()), lambda v: F.struct(v["var"].alias("var"), place(v).alias("place"))))).alias("axes"),
+        F.array_distinct(F.array_compact(F.transform("vs", lambda v: v["a"]["grid_mapping"]))).alias("mappings"),
+        F.transform(F.filter("vs", lambda v: holder(v).isNotNull()), lambda v: F.struct(holder(v).alias("of"), v["dims"].alias("dims"), v["a"]["units"].alias("units"))).alias("bounds"),
+        F.expr(f"exists(vs, r -> {_DATA} >= {_AUX})").alias("any_data"),
     )
-    sizes = dims.dropDuplicates(["file_id", "dim"]).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "size"))).alias("sizes"))
-    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
-    g = maps.where("var = ''").select("file_id", F.col("a").alias("g"))
-    by_file = by_file.join(sizes, "file_id", "left").join(g, "file_id", "left").withColumn("sizes", F.coalesce("sizes", none)).withColumn("g", F.coalesce("g", empty))
-    by_file = by_file.withColumn("any_data", F.expr(f"exists(rows, r -> {_DATA} >= {_AUX})")).drop("rows")
-    d = v.join(by_file, "file_id").withColumn("bounded", F.get(F.filter("bounds", lambda x: x["of"] == F.col("var")), F.lit(0)))
+    bounded = lambda v: F.get(F.filter("bounds", lambda x: x["of"] == v["var"]), F.lit(0))
+    d = f.select(*f.columns, F.posexplode_outer("vs").alias("at", "v")).select(*[c for c in f.columns if c not in ("vs", "bounds")], "v.*", (F.col("at") == 0).alias("first"), bounded(F.col("v")).alias("bounded"))
     table = names.groupBy(F.col("name").alias("_name")).agg(F.min("units").alias("_units")).withColumn("_powers", dimension(F.col("_units"))["powers"]).withColumn("_in", F.lit(True))
     # the same text, or else the same powers of base units
     same = F.when(F.col("a")["units"] == F.col("_units"), F.lit(True)).when(F.col("_in"), dimension(F.col("a")["units"])["powers"] == F.col("_powers"))
-    d = d.join(table, F.get(F.split(F.trim(F.col("a")["standard_name"]), " +"), F.lit(0)) == F.col("_name"), "left")
-    return d.withColumn("known_name", F.coalesce("_in", F.lit(False))).withColumn("same_units", same).drop("_in", "_name", "_units", "_powers", "bounds")
+    d = d.join(F.broadcast(table), F.get(F.split(F.trim(F.col("a")["standard_name"]), " +"), F.lit(0)) == F.col("_name"), "left")
+    return d.withColumn("known_name", F.coalesce("_in", F.lit(False))).withColumn("same_units", same).drop("_in", "_name", "_units", "_powers")
 
 
 def findings(variables: DataFrame, chapters: list[int] | None = None) -> DataFrame:
@@ -183,8 +195,8 @@ def findings(variables: DataFrame, chapters: list[int] | None = None) -> DataFra
     files have an empty var. A condition that is null does not fire."""
     chosen = lambda rules: {k: v for k, v in rules.items() if chapters is None or chapter(k) in chapters}
     fired = lambda rules: F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.expr(v), F.lit(k)) for k, v in rules.items()]))
-    of_vars = variables.select("file_id", "var", F.explode(fired(chosen(VARIABLE_RULES))).alias("code"))
-    files = variables.select("file_id", "g", "sizes", "all_dims", "any_data").dropDuplicates(["file_id"]) if chosen(FILE_RULES) else None
-    if files is None:
-        return of_vars
-    return of_vars.union(files.select("file_id", F.lit("").alias("var"), F.explode(fired(chosen(FILE_RULES))).alias("code")))
+    coded = lambda var, codes: F.transform(codes, lambda c: F.struct(var.alias("var"), c.alias("code")))
+    found = coded(F.col("var"), fired(chosen(VARIABLE_RULES)))
+    if chosen(FILE_RULES):
+        found = F.concat(found, F.when(F.col("first"), coded(F.lit(""), fired(chosen(FILE_RULES)))).otherwise(F.array().cast("array<struct<var:string,code:string>>")))
+    return variables.select("file_id", F.inline(found))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from gneiss.operators import conventions
+from gneiss.sources.shared import dealt
 from gneiss.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -67,7 +68,7 @@ def _rows(part, union: str, names: list[str]):
 
 
 def _layout(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_retailprice")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_name", "p_brand", "p_retailprice"), ["p_partkey"])
     vars_ = _rows(part, VARS, ["var", "type", "dims"]).withColumn("dims", F.split("dims", ","))
     atts, dims = _rows(part, ATTS, ["var", "att", "att_type", "value"]), _rows(part, DIMS, ["dim", "size"])
     return conventions.described(vars_, atts, dims.withColumn("size", F.col("size").cast("long")), spark.createDataFrame(NAMES, "name string, units string"))

@@ -1,4 +1,4 @@
-"""Tables in the folder that all executors share, where a loop cuts its lineage."""
+"""Tables in the folder that all executors share, where a loop cuts its lineage, and tables dealt out for grouping."""
 
 from __future__ import annotations
 
@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def dealt(df: DataFrame, keys: list[str], rows: int = 20_000) -> DataFrame:
+    """``df`` dealt out by ``keys`` into parts of about ``rows`` rows, and into as many as shuffles have at least. A number of parts that is
+    given is not lowered for compressed bytes being few, so that what a task holds does not grow with the table; a small file of many rows, of
+    which each stands for many more, is not left to one task."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; where it is unset a local session gets a temporary one, and on a cluster it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

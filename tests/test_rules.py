@@ -158,3 +158,12 @@ def test_erased_requested_and_lines(spark, tmp_path):
     assert sorted(tuple(r) for r in rules.requested(atts, need, ["owner"]).collect()) == [("o", "a", "unmatched"), ("o", "c", "missing"), *[(x, y, "missing") for x in "pq" for y in "ac"]]
     (tmp_path / "r.csv").write_text("# head\na, b \\\n, c # tail\n\n d\\\n\\\ne\nf")
     assert [(r.line, list(r["items"])) for r in delimited(spark, str(tmp_path / "r.csv")).orderBy("line").collect()] == [(3, ["a", "b", "c"]), (7, ["de"]), (8, ["f"])]
+
+
+def test_exploded_rows_of_a_small_file_are_not_broadcast(spark, sf):
+    """Only the table of standard names may go through the driver."""
+    from gneiss import registry
+
+    for name in ("conventions_chapter_4", "cell_method_faults"):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastExchange") <= 1, name
