@@ -2,7 +2,8 @@
 
 A text is a row of items ``name: [name: ...] method [where|over|within type ...] [(comment)]``. ``items`` reads it by one fold over
 its words. ``faults`` judges each item in the row of its variable, with the variables of its file beside it (one grouping by
-file: a file has few variables), so that a text of any number of items moves no rows.
+file: a file has few variables), so that a text of any number of items moves no rows. Joins are hinted to sort and merge, since Spark takes
+what is exploded from a small file for small; only the table of standard names is broadcast.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def file_variables(vars: DataFrame, atts: DataFrame, texts: DataFrame) -> DataFr
     """(file_id, file_vars, file_dims): each file's variables with what the rules ask of them."""
     kinds = ("standard_name", "units", "bounds", "climatology", "formula_terms")
     own = atts.where(F.col("att").isin(*kinds) & F.col("value").isNotNull()).groupBy("file_id", "var").pivot("att", list(kinds)).agg(F.min("value"))
-    v = vars.join(own, ["file_id", "var"], "left").join(texts.select("file_id", "var", "texts"), ["file_id", "var"], "left")
+    v = vars.join(own.hint("merge"), ["file_id", "var"], "left").join(texts.select("file_id", "var", "texts").hint("merge"), ["file_id", "var"], "left")
     units, std = F.coalesce("units", F.lit("")), F.coalesce("standard_name", F.lit(""))
     row = F.struct(
         F.col("var").alias("var"), F.col("standard_name").alias("std"), "texts",
@@ -148,7 +149,7 @@ def faults(vars: DataFrame, atts: DataFrame, names: DataFrame, texts: DataFrame,
     """
     own = atts.where("att in ('cell_methods', 'coordinates') and value is not null").groupBy("file_id", "var").pivot("att", ["cell_methods", "coordinates"]).agg(F.min("value"))
     context = file_variables(vars.where("file_id is not null and var is not null"), atts, texts)
-    d = vars.join(own.where("cell_methods is not null"), ["file_id", "var"]).join(context, "file_id")
+    d = vars.join(own.where("cell_methods is not null").hint("merge"), ["file_id", "var"]).join(context.hint("merge"), "file_id")
     cm = F.trim("cell_methods")
     d = d.withColumn("items", items("cell_methods")).withColumn("cm", cm)
     count = lambda c: F.length("cm") - F.length(F.replace("cm", F.lit(c), F.lit("")))
@@ -183,6 +184,6 @@ def faults(vars: DataFrame, atts: DataFrame, names: DataFrame, texts: DataFrame,
     # a name that is no other may still be a standard name of the table: only such names meet it
     left = d.where(form.isNull() & ~F.col("open") & F.col("comment_fault").isNull()).select("file_id", "var", "file_dims", F.explode("strange").alias("name"))
     table = names.select("name", F.lit(True).alias("in_table")).distinct()
-    unknown = left.join(table, "name", "left").where("in_table is null or array_contains(file_dims, name)").select("file_id", "var", F.lit("CF_73c").alias("code")).distinct()
+    unknown = left.join(F.broadcast(table), "name", "left").where("in_table is null or array_contains(file_dims, name)").select("file_id", "var", F.lit("CF_73c").alias("code")).distinct()
     marks = atts.where("att in ('climatology', 'cell_methods') and value is not null").groupBy("file_id").agg(F.bool_or(F.col("att") == "cell_methods").alias("told"))
     return one.unionByName(unknown).unionByName(marks.where("not told").select("file_id", F.lit("").alias("var"), F.lit("CF_74b").alias("code")))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.operators import cellmethods
+from gneiss.sources.shared import dealt
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,7 +37,7 @@ def _var(name, type, *dims):
 
 
 def cell_method_faults(spark, sf_dir):
-    t = _texts(spark, sf_dir)
+    t = dealt(_texts(spark, sf_dir), ["p_partkey"])
     vars_ = t.select(
         F.col("p_partkey").alias("file_id"),
         F.inline(F.array(_var("time", "double", "time"), _var("lat", "double", "lat"), _var("lon", "double", "lon"), _var("v", "float", "time", "lat", "lon"), _var("reg", "char", "len"), _var("typ", "char", "len"),
