@@ -46,16 +46,32 @@ def clear_low_bits(value: Column, n: int) -> Column:
     return F.shiftleft(F.shiftright(value.cast("long"), n), n)
 
 
+def on_edge(lat: Column, lon: Column, lats: Column, lons: Column) -> Column:
+    """Whether a point lies on an edge of the polygon of the vertices ``lats`` and ``lons``; nulls give null."""
+    n = F.size(lats)
+
+    def on(i):
+        j = F.when(i == 0, n - 1).otherwise(i - 1)
+        y, yj, x, xj = F.get(lats, i), F.get(lats, j), F.get(lons, i), F.get(lons, j)
+        return ((xj - x) * (lat - y) == (lon - x) * (yj - y)) & lat.between(F.least(y, yj), F.greatest(y, yj)) & lon.between(F.least(x, xj), F.greatest(x, xj))
+
+    return F.exists(F.sequence(F.lit(0), n - 1), on)
+
+
 def inside(lat: Column, lon: Column, lats: Column, lons: Column) -> Column:
     """Whether a point lies in the polygon of the vertices ``lats`` and ``lons`` (arrays of one length), by the parity of the edges
-    that a ray from it crosses. Points on an edge may fall to either side; polygons of fewer than three vertices hold nothing; nulls give null."""
+    that a ray from it crosses. A point on an edge counts as lying a little to the north-east of it, so that it is in one of the cells side by side; numbers
+    are multiplied only, so decimals are judged exactly. Polygons of fewer than three vertices hold nothing; nulls give null."""
     at = lambda a, i: F.get(a, i)
     n = F.size(lats)
 
     def crossed(i):
         j = F.when(i == 0, n - 1).otherwise(i - 1)
         y, yj, x, xj = at(lats, i), at(lats, j), at(lons, i), at(lons, j)
-        return ((y > lat) != (yj > lat)) & (lon < F.try_divide((xj - x) * (lat - y), yj - y) + x)
+        # the ray goes north-east: what lies across it is the difference of the coordinates
+        b, bj, at_b = y - x, yj - xj, lat - lon
+        ahead = ((yj + xj) - (y + x)) * (at_b - b) - ((lat + lon) - (y + x)) * (bj - b)
+        return ((b > at_b) != (bj > at_b)) & F.when(bj > b, ahead > 0).otherwise(ahead < 0)
 
     hits = F.size(F.filter(F.sequence(F.lit(0), n - 1), crossed))
     return F.when(n < 3, F.lit(False)).otherwise(hits % 2 == 1)

@@ -14,13 +14,13 @@ from gneiss.operators.conformity import inside
 
 def _near(lon: Column, to: Column) -> Column:
     """A longitude as the one of its turns that is nearest to another."""
-    return to + F.pmod(lon - to + 180.0, F.lit(360.0)) - 180.0
+    return to + F.pmod(lon - to + 180, F.lit(360)) - 180
 
 
 def located(points: DataFrame, cells: DataFrame, degrees: float = 5.0) -> DataFrame:
     """(point columns.., cell): every point (lat, lon, ...) with each cell (cell, lats, lons arrays of vertices) that holds it.
 
-    Points on an edge may be in either or both cells; points outside of all cells, or with a null coordinate, have no row, and neither have cells of
+    A point on an edge is in the cell north-east of it (exactly so if all are decimals); points outside of all cells, or with a null coordinate, have no row, and neither have cells of
     fewer than three vertices or with a null one. Cells around a pole have to be cut at a meridian. The bucket should be about as
     large as a cell: many cells in a bucket cost comparisons, many buckets in a cell cost rows. A crowded bucket of points is
     split by Spark as a skewed join; cells in it are as many as the grid has there.

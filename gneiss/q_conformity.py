@@ -69,4 +69,5 @@ def point_in_cell(spark, sf_dir):
     """Whether a point lies in the triangle (0, 0), (0, 40), (size, 10) of its part."""
     p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1.0).cast("double").alias("s"), (F.col("p_retailprice") % 50).alias("lat"), (F.col("p_partkey") % 50 + 0.25).cast("double").alias("lon"))
     lats, lons = F.array(F.lit(0.0), F.lit(0.0), F.col("s")), F.array(F.lit(0.0), F.lit(40.0), F.lit(10.0))
-    return p.where("lat <> 0").select("p_partkey", conformity.inside(F.col("lat"), F.col("lon"), lats, lons).alias("inside"))
+    at = (F.col("lat"), F.col("lon"), lats, lons)
+    return p.where("lat <> 0").select("p_partkey", (conformity.inside(*at) & ~conformity.on_edge(*at)).alias("inside"))

@@ -4,6 +4,7 @@ import datetime
 import math
 import random
 import statistics as st
+from decimal import Decimal
 
 import pytest
 from hypothesis import given, settings
@@ -336,3 +337,20 @@ def test_flag_faults_by_mask(spark):
     rows = [(1, [1, 2], [1, 3], "a b"), (2, [1, 4], [1, 3], "a b"), (3, [0, 1], [0, 1], "a b"), (4, [1], None, "a b"), (5, [1, 1], [1, 1], "a b"), (6, None, [4, 8], "a b"), (7, None, None, None), (8, [], None, "")]
     a = spark.createDataFrame(rows, "file_id long, flag_values array<int>, flag_masks array<int>, flag_meanings string")
     assert {r.file_id: r.code for r in flag_faults(a).collect()} == {2: "outside_mask", 3: "zero_mask", 4: "sizes", 5: "repeated"}
+
+
+def test_points_on_edges_are_in_one_cell(spark):
+    from gneiss.operators import gridlookup
+    from gneiss.operators.conformity import inside, on_edge
+
+    row, dec = "cell int, lats array<decimal(15,9)>, lons array<decimal(15,9)>", "id int, lat decimal(15,9), lon decimal(15,9)"
+    corner = lambda i, j: (Decimal(60 * j + i) / 10, Decimal(90 * i + 3 * j) / 10)
+    around = lambda i, j: [corner(i, j), corner(i + 1, j), corner(i + 1, j + 1), corner(i, j + 1)]
+    cells = [(10 * j + i, [c[0] for c in around(i, j)], [c[1] for c in around(i, j)]) for i in range(3) for j in range(3)]
+    # the corner, the lower and the left edge of the middle cell
+    points = [(0, *corner(1, 1)), (1, (corner(1, 1)[0] + corner(2, 1)[0]) / 2, (corner(1, 1)[1] + corner(2, 1)[1]) / 2), (2, (corner(1, 1)[0] + corner(1, 2)[0]) / 2, (corner(1, 1)[1] + corner(1, 2)[1]) / 2)]
+    found = gridlookup.located(spark.createDataFrame(points, dec), spark.createDataFrame(cells, row), 6.0).select("id", "cell").collect()
+    assert sorted(tuple(r) for r in found) == [(0, 11), (1, 11), (2, 11)]
+    at = (F.col("lat"), F.col("lon"), F.array(F.lit(0.0), F.lit(0.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(40.0), F.lit(10.0)))
+    p = spark.createDataFrame([(2.0, 5.0), (2.0, 5.1), (2.0, 25.0)], "lat double, lon double").select((inside(*at) & ~on_edge(*at)).alias("x"))
+    assert [r["x"] for r in p.collect()] == [False, True, False]
