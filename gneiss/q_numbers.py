@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from gneiss.functions import bits, calendar
 from gneiss.operators import gridlookup
+from gneiss.sources.shared import dealt
 from gneiss.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -59,11 +62,11 @@ def byte_checksums(spark, sf_dir):
 def grid_lookup(spark, sf_dir):
     """Events in the cells of a sheared grid of parts, which goes on over the date line."""
     k = F.col("p_partkey")
-    corner = lambda di, dj: (F.lit(-60.0) + 6.0 * (F.floor(k / 40) + dj) + 0.1 * (k % 40 + di), F.lit(-180.0) + 9.0 * (k % 40 + di) + 0.3 * (F.floor(k / 40) + dj))
+    corner = lambda di, dj: [((a * (F.floor(k / 40) + dj) + b * (k % 40 + di) - c) / 10).cast("decimal(15,9)") for a, b, c in ((60, 1, 600), (3, 90, 1800))]
     around = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)]
     cells = table(spark, sf_dir, "part").where("p_partkey < 800").select(k.alias("cell"), F.array(*[c[0] for c in around]).alias("lats"), F.array(*[c[1] for c in around]).alias("lons"))
-    e = F.col("event_id").cast("double")
-    points = table(spark, sf_dir, "events").select("event_id", (e * 7.313 % 110 - 55).alias("lat"), (e * 13.717 % 360 - 180).alias("lon"))
+    e = lambda step, turn: (F.col("event_id") * F.lit(Decimal(step))).cast("double") % turn - turn / 2
+    points = dealt(table(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("event_id", e("7.313", 110).cast("decimal(15,9)").alias("lat"), e("13.717", 360).cast("decimal(15,9)").alias("lon"))
     return gridlookup.located(points, cells, 6.0).select("event_id", "cell")
 
 
