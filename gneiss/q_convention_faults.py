@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.operators import conventions
+from gneiss.sources.shared import dealt
 from gneiss.sources.tables import table
 
 VARS = [
@@ -150,7 +151,7 @@ def layouts() -> tuple[list, list, list]:
 
 def convention_faults(spark, sf_dir):
     """All rules of all chapters in one pass over files of which each breaks one rule."""
-    part = table(spark, sf_dir, "part")
+    part = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), ["p_partkey"])
     brand = F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")
     files = part.select(F.col("p_partkey").alias("file_id"), ((F.col("p_size") * 25 + brand) % len(FAULTS)).alias("m"))
     vars_, atts, dims = layouts()
