@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.operators import sampling
+from gneiss.sources.shared import dealt
 from gneiss.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -75,7 +76,7 @@ def _rows():
 
 
 def sampling_faults(spark, sf_dir):
-    files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("file_id"), ((F.col("p_size") * 25 + F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")) % len(FAULTS)).alias("m"))
+    files = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), ["p_partkey"]).select(F.col("p_partkey").alias("file_id"), ((F.col("p_size") * 25 + F.regexp_extract("p_brand", "[0-9]+", 0).cast("int")) % len(FAULTS)).alias("m"))
     vars_, atts, dims, values = _rows()
     of = lambda rows, schema: files.join(F.broadcast(spark.createDataFrame(rows, f"m int, {schema}")), "m").drop("m")
     v = of(vars_, "var string, type string, dims string, role string, axis string").withColumn("dims", F.when(F.col("dims") == "", F.array().cast("array<string>")).otherwise(F.split("dims", ",")))
