@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gneiss.operators import experiment
+from gneiss.sources.shared import dealt
 
 QUERIES, ORACLES = {}, {}
 
@@ -19,7 +20,7 @@ FILES = """SELECT p_partkey AS file_id, p_size, p_type, noun, adj, CASE WHEN p_s
 
 
 def experiment_faults(spark, sf_dir):
-    f = spark.sql(FILES.format(part=f"parquet.`{sf_dir}/part.parquet`"))
+    f = dealt(spark.sql(FILES.format(part=f"parquet.`{sf_dir}/part.parquet`")), ["file_id"])
     atts = f.unpivot("file_id", ["source", "model_id", "forcing", "frequency", "realization"], "att", "value")
     return experiment.experiment_faults(atts, FORCINGS)
 
