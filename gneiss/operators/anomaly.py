@@ -90,12 +90,12 @@ def largest_outlier(found: DataFrame, keys: list[str], value: str, at: list[str]
 def replicated(records: DataFrame, keys: list[str], rec: str, checksum: str, only_groups: int = 0) -> DataFrame:
     """(keys, first, last, source, length): runs of records that repeat a run of earlier ones.
 
-    Each record is matched with the earliest one of equal checksum (an aggregate, not all pairs); runs
+    Each record is matched with the earliest one of equal checksum (a minimum, not all pairs); records that are dealt out by ``keys`` stay where they are; runs
     in which both sides move in step are islands of the difference. ``only_groups`` leaves out runs not longer.
     Records flagged as fill or constant should be left out before.
     """
-    earliest = records.groupBy(*keys, checksum).agg(F.min(rec).alias("source"))
-    m = records.join(earliest, [*keys, checksum]).where(F.col("source") < F.col(rec)).select(*keys, rec, "source")
+    earliest = F.min(rec).over(Window.partitionBy(*keys, checksum))
+    m = records.dropna(subset=[*keys, checksum]).withColumn("source", earliest).where(F.col("source") < F.col(rec)).select(*keys, rec, "source")
     w = Window.partitionBy(*keys).orderBy(rec)
     new = F.when((F.col(rec) - F.lag(rec).over(w) == 1) & (F.col("source") - F.lag("source").over(w) == 1), 0).otherwise(1)
     m = m.withColumn("new", new).withColumn("island", F.sum("new").over(w))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gneiss.fixtures import EVENT_CELLS, RECORDS, event_cells
 from gneiss.operators import anomaly, histogram, statistics, timeaxis
+from gneiss.sources.shared import dealt
 from gneiss.sources.tables import table
 
 QUERIES, ORACLES = {}, {}
@@ -122,7 +123,7 @@ _REP = """rec AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey OR
 def replicated_only_groups(spark, sf_dir):
     from pyspark.sql import Window
 
-    l = table(spark, sf_dir, "lineitem")
+    l = dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity"), ["l_suppkey"], 500_000)
     rec = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")).cast("long")
     r = l.select("l_suppkey", rec.alias("rec"), (F.col("l_quantity").cast("long") % 5).alias("sum"))
     return anomaly.replicated(r, ["l_suppkey"], "rec", "sum", only_groups=1)

@@ -167,3 +167,10 @@ def test_exploded_rows_of_a_small_file_are_not_broadcast(spark, sf):
     for name in ("conventions_chapter_4", "cell_method_faults"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("BroadcastExchange") <= 1, name
+
+
+def test_replicated_records_are_shuffled_once(spark, sf):
+    from gneiss import registry
+
+    plan = registry.QUERIES["replicated_only_groups"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
