@@ -1,7 +1,8 @@
-"""Series that go on as a stateful stream: each series' state lies in Spark's state store.
+"""Series that go on as a stateful stream: the state of each series lies in Spark's state store.
 
-A micro-batch touches the states of its own series only; nothing of the others is read or written. The rows of one series in one
-batch meet in one task, in pieces; how large a batch is, the source's options say (``maxFilesPerTrigger``).
+Series share a call and a row of the store by buckets of their names, as a call a series costs far more than its rows do. A micro-batch
+touches the states of the buckets that it has rows of; nothing of the others is read or written. The rows of one bucket in one batch
+meet in one task, in pieces; how large a batch is, the source's options say (``maxFilesPerTrigger``).
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUTPUT = "series string, seq long, time double, value double, step double, flag int, n long, s double, ss double, mn double, mx double"
-#: Of a series: its last time and its reference step (NaN: none yet), and the running statistics of its values.
-STATE = "last_time double, ref_step double, n long, s double, ss double, mn double, mx double"
+#: Of each series of a bucket: its last time and its reference step (NaN: none yet), and the running statistics of its values.
+STATE = "series array<string>, last_time array<double>, ref_step array<double>, n array<long>, s array<double>, ss array<double>, mn array<double>, mx array<double>"
+#: Buckets of series. A stream that goes on keeps the number that it began with.
+BUCKETS = 1024
 _NONE = float("nan")
+_NEW = (_NONE, _NONE, 0, 0.0, 0.0, _NONE, _NONE)
 
 
 def continued(stream: DataFrame, slack: float = 1.25) -> DataFrame:
@@ -27,10 +32,11 @@ def continued(stream: DataFrame, slack: float = 1.25) -> DataFrame:
     """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, ref, n, s, ss, mn, mx = state.get if state.exists else (_NONE, _NONE, 0, 0.0, 0.0, _NONE, _NONE)
+        known = {series: of for series, *of in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(parts)).sort_values("seq", kind="stable")
         out = []
-        for seq, time, value in zip(rows["seq"], rows["time"], rows["value"], strict=True):
+        for series, seq, time, value in zip(*[rows[c].tolist() for c in ("series", "seq", "time", "value")], strict=True):
+            last, ref, n, s, ss, mn, mx = known.get(series, _NEW)
             step = time - last
             if time == time:
                 ref = step if ref != ref and step == step else ref
@@ -39,11 +45,13 @@ def continued(stream: DataFrame, slack: float = 1.25) -> DataFrame:
             if value == value and value is not None:
                 n, s, ss = n + 1, s + value, ss + value * value
                 mn, mx = (value, value) if n == 1 else (min(mn, value), max(mx, value))
-            out.append((key[0], seq, time, value, None if step != step else step, flag, n, s, ss, None if n == 0 else mn, None if n == 0 else mx))
-        state.update((last, ref, n, s, ss, mn, mx))
+            known[series] = (last, ref, n, s, ss, mn, mx)
+            out.append((series, seq, time, value, None if step != step else step, flag, n, s, ss, None if n == 0 else mn, None if n == 0 else mx))
+        state.update(tuple(map(list, zip(*((series, *of) for series, of in known.items()), strict=True))))
         yield pd.DataFrame(out, columns=["series", "seq", "time", "value", "step", "flag", "n", "s", "ss", "mn", "mx"])
 
-    return stream.select("series", "seq", "time", "value").groupBy("series").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.pmod(F.xxhash64("series"), F.lit(BUCKETS)).alias("bucket"), "series", "seq", "time", "value")
+    return rows.groupBy("bucket").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def continue_into(stream: DataFrame, path: str, checkpoint: str, slack: float = 1.25) -> None:

@@ -174,3 +174,16 @@ def test_replicated_records_are_shuffled_once(spark, sf):
 
     plan = registry.QUERIES["replicated_only_groups"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_series_share_rows_of_the_state_store(spark, tmp_path):
+    """The store has at most a row a bucket, and each series goes on from its own state; a null series is one too."""
+    from gneiss.streaming import series
+
+    n = 1500
+    for part in range(2):
+        spark.range(n).selectExpr("if(id = 0, null, concat('s', id)) as series", f"id + {part * n} as seq", f"double({part}) as time", "double(id) as value").write.mode("append").parquet(str(tmp_path / "in"))
+        continue_into(spark.readStream.schema("series string, seq long, time double, value double").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "progress"))
+    rows = spark.read.schema(OUTPUT).parquet(str(tmp_path / "out")).where("seq >= 1500").collect()
+    assert len(rows) == n and all((r.n, r.step, r.s, r.series) == (2, 1.0, 2.0 * (r.seq - n), None if r.seq == n else f"s{r.seq - n}") for r in rows)
+    assert spark.read.format("statestore").load(str(tmp_path / "progress")).count() <= series.BUCKETS < n
