@@ -187,3 +187,12 @@ def test_series_share_rows_of_the_state_store(spark, tmp_path):
     rows = spark.read.schema(OUTPUT).parquet(str(tmp_path / "out")).where("seq >= 1500").collect()
     assert len(rows) == n and all((r.n, r.step, r.s, r.series) == (2, 1.0, 2.0 * (r.seq - n), None if r.seq == n else f"s{r.seq - n}") for r in rows)
     assert spark.read.format("statestore").load(str(tmp_path / "progress")).count() <= series.BUCKETS < n
+
+
+@pytest.mark.parametrize("chapter", [5])
+def test_no_exploded_rows_of_a_chapter_are_broadcast(spark, sf, chapter):
+    """Only the table of standard names may go through the driver."""
+    from gneiss import registry
+
+    plan = registry.QUERIES[f"conventions_chapter_{chapter}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1
