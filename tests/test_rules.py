@@ -189,7 +189,7 @@ def test_series_share_rows_of_the_state_store(spark, tmp_path):
     assert spark.read.format("statestore").load(str(tmp_path / "progress")).count() <= series.BUCKETS < n
 
 
-@pytest.mark.parametrize("chapter", [0, 5, 7, 9])
+@pytest.mark.parametrize("chapter", [0, 2, 5, 7, 9])
 def test_no_exploded_rows_of_a_chapter_are_broadcast(spark, sf, chapter):
     """Only the table of standard names may go through the driver."""
     from gneiss import registry
