@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -18,17 +18,22 @@ def archive(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 def delimited(spark: SparkSession, path: str, separator: str = ",", comment: str = "#") -> DataFrame:
     """(line, items): trimmed items of each line of a rule file, lines numbered from 1 in their file. Comments and blank lines are taken away; a line that
-    ends in a backslash goes on in the next and counts as one with the number of its last. A file is read as one text: these files have some hundred lines."""
-    lines = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).cast("long").alias("line"), F.rtrim(F.regexp_replace(x, f"{comment}.*$", "")).alias("text")))
-    start = F.struct(F.array().cast("array<struct<line:bigint,text:string>>").alias("done"), F.lit("").alias("held"))
-
-    def step(acc, x):
-        said = F.concat(acc["held"], F.regexp_replace(x["text"], r"\\$", ""))
-        return F.when(F.endswith(x["text"], F.lit("\\")), F.struct(acc["done"].alias("done"), said.alias("held"))).otherwise(
-            F.struct(F.array_append(acc["done"], F.struct(x["line"].alias("line"), said.alias("text"))).alias("done"), F.lit("").alias("held"))
-        )
-
-    t = spark.read.text(path, wholetext=True).select(F.inline(F.aggregate(lines, start, step)["done"]))
+    ends in a backslash goes on in the next and counts as one with the number of its last, also where the file ends. Files are read in the parts that Spark
+    splits them into: lines are numbered in each part, behind those of the parts before."""
+    text = F.rtrim(F.regexp_replace(F.regexp_replace("value", r"\r\z", ""), f"{comment}.*$", ""))
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), text.alias("text"))
+    t = read.withColumn("_ends", (~F.endswith("text", F.lit("\\"))).cast("long"))
+    # a row a part, so a few: numbers in place of paths; lines, and lines that end something, of the parts before
+    order, before = Window.orderBy("_path", "_at"), Window.partitionBy("_path").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    parts = t.groupBy("_path", "_at").agg(F.count("*").alias("n"), F.sum("_ends").alias("ends"))
+    sums = [F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_before") for c in ("n", "ends")]
+    parts = parts.select("_path", "_at", F.row_number().over(order).alias("_part"), F.dense_rank().over(Window.orderBy("_path")).alias("_file"), *sums)
+    own = Window.partitionBy("_part").orderBy("_id")
+    group = F.col("_ends_before") + F.sum("_ends").over(own.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_ends")
+    t = t.join(F.broadcast(parts), ["_path", "_at"]).drop("_path", "_at")
+    t = t.select("_file", group.alias("_group"), F.struct((F.col("_n_before") + F.row_number().over(own)).alias("line"), "text").alias("x"))
+    t = t.groupBy("_file", "_group").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    t = t.select(F.element_at("xs", -1)["line"].alias("line"), F.array_join(F.transform("xs", lambda x: F.regexp_replace(x["text"], r"\\$", "")), "").alias("text"))
     return t.where(F.trim("text") != "").select("line", F.transform(F.split("text", separator), lambda x: F.trim(x)).alias("items"))
 
 

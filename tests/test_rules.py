@@ -160,6 +160,28 @@ def test_erased_requested_and_lines(spark, tmp_path):
     assert [(r.line, list(r["items"])) for r in delimited(spark, str(tmp_path / "r.csv")).orderBy("line").collect()] == [(3, ["a", "b", "c"]), (7, ["de"]), (8, ["f"])]
 
 
+def test_long_rule_files_are_read_in_parts(spark, tmp_path):
+    """Parts end anywhere, also inside of continued lines; the time grows with the lines, not with their square; an unfinished last line is one."""
+    import time
+
+    (tmp_path / "a.csv").write_text("".join(f"a{i} \\\n, {i} # no, {i}\r\n\n" for i in range(100)) + "z, \\\n \\\ny \\")
+    (tmp_path / "b.csv").write_text("b \\\n" * 50 + "c\n# d\n")
+    want = sorted([*[(3 * i + 2, [f"a{i}", str(i)]) for i in range(100)], (303, ["z", "y"]), (51, ["b " * 50 + "c"])])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("50", "1000", "1000000"):
+            for k in kept:
+                spark.conf.set(k, size)
+            assert sorted((r.line, list(r["items"])) for r in delimited(spark, str(tmp_path / "*.csv")).collect()) == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    (tmp_path / "long.txt").write_text("a, \\\nb # c\n" * 30_000)
+    begin = time.time()
+    got = delimited(spark, str(tmp_path / "long.txt")).where("items[0] = 'a' and items[1] = 'b'").agg(F.count("*"), F.max("line")).first()
+    assert tuple(got) == (30_000, 60_000) and time.time() - begin < 30
+
+
 def test_exploded_rows_of_a_small_file_are_not_broadcast(spark, sf):
     """Only the table of standard names may go through the driver."""
     from gneiss import registry
