@@ -65,8 +65,9 @@ def grid_lookup(spark, sf_dir):
     corner = lambda di, dj: [((a * (F.floor(k / 40) + dj) + b * (k % 40 + di) - c) / 10).cast("decimal(15,9)") for a, b, c in ((60, 1, 600), (3, 90, 1800))]
     around = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)]
     cells = table(spark, sf_dir, "part").where("p_partkey < 800").select(k.alias("cell"), F.array(*[c[0] for c in around]).alias("lats"), F.array(*[c[1] for c in around]).alias("lons"))
-    e = lambda step, turn: (F.col("event_id") * F.lit(Decimal(step))).cast("double") % turn - turn / 2
-    points = dealt(table(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("event_id", e("7.313", 110).cast("decimal(15,9)").alias("lat"), e("13.717", 360).cast("decimal(15,9)").alias("lon"))
+    # decimals all the way: beside an edge the noise of doubles of large numbers would choose the cell
+    e = lambda step, turn: (F.col("event_id") * F.lit(Decimal(step)) % F.lit(Decimal(turn)) - F.lit(Decimal(turn // 2))).cast("decimal(15,9)")
+    points = dealt(table(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("event_id", e("7.313", 110).alias("lat"), e("13.717", 360).alias("lon"))
     return gridlookup.located(points, cells, 6.0).select("event_id", "cell")
 
 

@@ -160,6 +160,22 @@ def test_erased_requested_and_lines(spark, tmp_path):
     assert [(r.line, list(r["items"])) for r in delimited(spark, str(tmp_path / "r.csv")).orderBy("line").collect()] == [(3, ["a", "b", "c"]), (7, ["de"]), (8, ["f"])]
 
 
+def test_points_of_large_keys_on_edges_of_cells(spark, tmp_path):
+    """Positions of large keys are decimals: those exactly on an edge are in the cell that the SQL says."""
+    import duckdb
+
+    from gneiss import registry
+
+    ids = [5360900, 3499800, 4858200, 4902400, 1859400, 1621600, 2776400, 2080100]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(800).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for name in ("events", "part"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(con.sql(registry.ORACLES["grid_lookup"]).fetchall())
+    assert len(want) == len(ids) and sorted(map(tuple, registry.QUERIES["grid_lookup"](spark, str(tmp_path)).collect())) == want
+
+
 def test_long_rule_files_are_read_in_parts(spark, tmp_path):
     """Parts end anywhere, also inside of continued lines; the time grows with the lines, not with their square; an unfinished last line is one."""
     import time
