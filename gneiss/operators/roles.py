@@ -59,15 +59,16 @@ def _sum(counts: DataFrame, more: DataFrame) -> DataFrame:
     return counts.join(m, ["file_id", "var"], "left").select("file_id", "var", (zero("n_data") + zero("d")).alias("n_data"), (zero("n_auxiliary") + zero("a")).alias("n_auxiliary"))
 
 
-def variable_roles(vars: DataFrame, atts: DataFrame) -> DataFrame:
+def variable_roles(vars: DataFrame, atts: DataFrame, order: str | None = None) -> DataFrame:
     """(file_id, var, role, n_data, n_auxiliary) of every variable.
 
     vars: (file_id, var, type, dims array); atts: (file_id, var, att, value). Roles: ``bounds``, ``map``, ``term`` and ``measure`` by the attribute that names
     a variable that is no data, ``label`` of text, ``coordinate`` of the one dimension it is named after, else ``data`` or ``auxiliary`` by
     evidence. Null files or names are left out, repeated rows count once, references to nothing or to oneself say nothing; an empty
-    table has no roles.
+    table has no roles. Of rows of one variable that differ the one of least ``order``, a column of ``vars``, counts; else, and of equal ones, that of least type and dims.
     """
-    vars = vars.where("file_id is not null and var is not null").select("file_id", "var", "type", F.coalesce("dims", F.array().cast("array<string>")).alias("dims")).dropDuplicates(["file_id", "var"])
+    one = F.struct(*([order] if order else []), "type", F.coalesce("dims", F.array().cast("array<string>")).alias("dims"))
+    vars = vars.where("file_id is not null and var is not null").groupBy("file_id", "var").agg(F.min(one).alias("one")).select("file_id", "var", "one.type", "one.dims")
     refs = written(references(atts, vars), "references")
     free = [a for a, (needs, _) in PASSED.items() if needs == "any"]
     says = lambda r: r.select("file_id", F.col("name").alias("var"), F.col("att").alias("by"), _mapped({k: side for k, (_, side) in PASSED.items()}).alias("side"))

@@ -19,13 +19,15 @@ ATTS = """SELECT l_orderkey AS file_id, 'v' || l_linenumber AS var, CASE l_suppk
  UNION ALL SELECT l_orderkey, 'v' || l_linenumber, CASE WHEN l_linestatus = 'F' THEN '_FillValue' ELSE 'missing_value' END, '1' FROM {lineitem} WHERE l_discount < 0.03"""
 #: Text, and how many of the dimensions a, b, c, d; one with a dimension of its own name.
 VARS = """SELECT l_orderkey AS file_id, 'v' || l_linenumber AS var, CASE WHEN l_quantity < 4 THEN 'char' ELSE 'double' END AS type,
-  CASE WHEN l_tax < 0.01 THEN '' WHEN l_tax < 0.02 THEN 'v' || l_linenumber WHEN l_tax < 0.04 THEN 'a' WHEN l_tax < 0.06 THEN 'a,b' ELSE 'a,b,c,d' END AS dims FROM {lineitem}"""
+  CASE WHEN l_tax < 0.01 THEN '' WHEN l_tax < 0.02 THEN 'v' || l_linenumber WHEN l_tax < 0.04 THEN 'a' WHEN l_tax < 0.06 THEN 'a,b' ELSE 'a,b,c,d' END AS dims{place} FROM {lineitem}"""
 
 
 def variable_roles(spark, sf_dir):
+    """The roles of lines; of lines that share order and number the first of the table gives the variable."""
     at = f"parquet.`{sf_dir}/lineitem.parquet`"
-    vars_ = spark.sql(VARS.format(lineitem=at)).withColumn("dims", F.when(F.col("dims") == "", F.array().cast("array<string>")).otherwise(F.split("dims", ",")))
-    return roles.variable_roles(vars_, spark.sql(ATTS.format(lineitem=at)))
+    place = ", struct(_metadata.file_path, _metadata.row_index) AS place"
+    vars_ = spark.sql(VARS.format(lineitem=at, place=place)).withColumn("dims", F.when(F.col("dims") == "", F.array().cast("array<string>")).otherwise(F.split("dims", ",")))
+    return roles.variable_roles(vars_, spark.sql(ATTS.format(lineitem=at)), "place")
 
 
 QUERIES["variable_roles"] = variable_roles
@@ -36,7 +38,7 @@ _ROUND = """e{k} AS MATERIALIZED (SELECT * FROM e{p} UNION SELECT r.file_id, r.n
   WHERE r.att IN ('coordinates', 'bounds', 'cell_measures', 'grid_mapping') OR (r.att = 'ancillary_variables' AND coalesce(s.s, 0) >= 0) OR (r.att = 'formula_terms' AND s.s < 0))"""
 
 ORACLES["variable_roles"] = f"""
-WITH v AS MATERIALIZED (SELECT file_id, var, any_value(type) AS type, any_value(CASE WHEN dims = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(dims, ',') END) AS dims FROM ({VARS.format(lineitem="lineitem")}) GROUP BY 1, 2),
+WITH v AS MATERIALIZED (SELECT file_id, var, any_value(type) AS type, any_value(CASE WHEN dims = '' THEN CAST([] AS VARCHAR[]) ELSE string_split(dims, ',') END) AS dims FROM ({VARS.format(lineitem="lineitem", place="")}) GROUP BY 1, 2),
 a AS MATERIALIZED ({ATTS.format(lineitem="lineitem")}),
 refs AS MATERIALIZED (SELECT DISTINCT a.file_id, a.var, att, v.var AS name FROM a JOIN v ON v.file_id = a.file_id AND v.var = replace(a.value, 'x: ', '') WHERE att IN ('ancillary_variables', 'coordinates', 'bounds', 'formula_terms', 'cell_measures', 'grid_mapping') AND a.var <> v.var),
 e0 AS MATERIALIZED (

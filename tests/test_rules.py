@@ -50,6 +50,28 @@ def test_roles_pass_along_a_chain(spark):
     assert {r.var: r.role for r in roles.variable_roles(vars_, atts).collect()} == {"a": "auxiliary", "b": "bounds", "c": "term", "d": "term"}
 
 
+def test_roles_of_repeated_variables(spark, sf, tmp_path):
+    """Of rows of a variable that differ the same one counts in any order of rows; in the query the first of the table, as in the SQL of one thread."""
+    import duckdb
+
+    from gneiss import registry
+
+    rows, atts = [(1, "a", "float", ["n"], 2), (1, "a", "char", ["n"], 3), (1, "a", "float", ["a"], 1)], spark.createDataFrame([], ATTS)
+    for r in (rows, rows[::-1]):
+        vars_ = spark.createDataFrame(r, VARS + ", place int").coalesce(1)
+        assert [x.role for x in roles.variable_roles(vars_, atts).collect()] == ["label"]
+        assert [x.role for x in roles.variable_roles(vars_, atts, "place").collect()] == ["coordinate"]
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    # Spark begins with the larger file
+    for name, which in (("a", "LIMIT 1000"), ("b", "OFFSET 1000")):
+        con.sql(f"COPY (SELECT * FROM '{sf}/lineitem.parquet' {which}) TO '{tmp_path}/lineitem.parquet/{name}.parquet'")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.sql(f"SELECT file_id, var, role, n_data, n_auxiliary FROM ({registry.ORACLES['variable_roles']})").fetchall()
+    assert sorted(map(tuple, registry.QUERIES["variable_roles"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_structures_of_odd_rows(spark, tmp_path):
     (tmp_path / "v.csv").write_text("BEGIN: DRS\n  A-DS: <activity>/<variable name>\n  <activity> = project_id\n  <variable name>\nEND: DRS\n")
     words = vocabulary(spark, str(tmp_path / "v.csv"))
